@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .arrow_files import token_file_round_trip
 from .hash_tree import shard_documents
 from .hilbert_pack import pack_along_curve
+from .langid import identify
+from .multi_index import search
+from .ordinal import grade_documents
+from .tiling import contaminated
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +25,22 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+def op3_word_first_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -28,8 +49,19 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+QUERIES = (
+    op1_hilbert_packing,
+    op2_inverted_multi_index,
+    op3_word_first_language_id,
+    op4_string_tiling_decontamination,
+    op6_ordinal_quality,
+    op7_hash_tree_sharding,
+    op10_arrow_token_files,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op7_hash_tree_sharding, op10_arrow_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
