@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_files import token_file_round_trip
+from .chosen_path import jaccard_join
 from .hash_tree import shard_documents
 from .hilbert_pack import pack_along_curve
 from .langid import identify
+from .license_join import oracle as license_oracle
+from .license_join import scan_licenses
 from .multi_index import search
 from .ordinal import grade_documents
 from .tiling import contaminated
+from .weak_pii import find_personal_data
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,10 @@ def op4_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,6 +53,14 @@ def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,8 +70,11 @@ QUERIES = (
     op2_inverted_multi_index,
     op3_word_first_language_id,
     op4_string_tiling_decontamination,
+    op5_license_set_join,
     op6_ordinal_quality,
     op7_hash_tree_sharding,
+    op8_chosen_path_join,
+    op9_weak_supervision_pii,
     op10_arrow_token_files,
 )
 
@@ -65,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_set_join": license_oracle()}
