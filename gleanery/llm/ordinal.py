@@ -1,12 +1,14 @@
 """A quality classifier: ordinal cumulative-link regression on graded ratings.
 
 The chance that a text's grade is at most k is sigmoid(threshold[k] - f(text)), with one weight for each hashed word, shared by
-all grades, and ordered thresholds. It gives an expected grade and the chance of reaching the top grade.
+all grades, and ordered thresholds. It gives an expected grade and the chance of reaching the top grade. Features are the
+distinct words, the distinct runs of other signs, and how much of the text is upper case or signs. Only those weigh whose
+mean grade departs from that of all by ``SCREEN`` standard errors, so that rare words of a few texts don't.
 
 The model is fitted on a bounded sample of rated texts (``max_rated``, taken by a hash of the key); every document is scored
 on its whole text.
 
-Defined cases: a null or empty text has no words and gets the grade that the thresholds alone give; without rated
+Defined cases: a null or empty text has no words and the grade of a text without any; without rated
 texts every document has the middle of the grades and is kept; ratings without a document teach nothing; repeated rows are
 scored once each; a document rated more than once counts with its lowest grade; extra columns are ignored.
 """
@@ -25,6 +27,7 @@ from .common import word_hashes
 
 WIDTH_BITS = 18
 GRADES = 3
+SCREEN, LEAST_TEXTS = 4.0, 5
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, floor_probability double, selected boolean"
 
 
@@ -45,19 +48,27 @@ def rating_grades(labels: DataFrame) -> DataFrame:
     return rated.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).alias("grade"))
 
 
-def hashed_words(text: str = "text") -> Column:
-    """The distinct words of a text as places among the weights."""
-    return F.array_distinct(F.transform(word_hashes(F.col(text)), lambda h: F.pmod(h, F.lit(1 << WIDTH_BITS)).cast("int")))
+def hashed_features(text: str = "text") -> Column:
+    """The features of a text as distinct places among the weights."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    length = F.greatest(F.length(whole), F.lit(1))
+    signs = F.filter(F.split(whole, r"[\p{L}\p{N}\s]+"), lambda x: x != "")
+    share = lambda pattern, steps: F.floor(F.lit(steps) * F.length(F.regexp_replace(whole, pattern, "")) / length)
+    marks = F.array(F.xxhash64(F.lit("upper"), share(r"[^\p{Lu}]", 10)), F.xxhash64(F.lit("signs"), share(r"[\p{L}\p{N}\s]", 20)))
+    hashes = F.concat(word_hashes(F.col(text)), F.transform(F.array_distinct(signs), lambda x: F.xxhash64(F.lit("sign"), x)), marks)
+    return F.array_distinct(F.transform(hashes, lambda h: F.pmod(h, F.lit(1 << WIDTH_BITS)).cast("int")))
 
 
-def train(features: list[np.ndarray], grades: np.ndarray, l2: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Model:
+def train(features: list[np.ndarray], grades: np.ndarray, l2: float = 1e-5, steps: int = 600, rate: float = 0.1) -> Model:
     """Full-batch Adam on the likelihood; thresholds stay ordered because each is the one before plus an exponential."""
     lengths = np.array([len(f) for f in features])
     index = np.concatenate(features) if len(features) else np.zeros(0, int)
     rows = np.repeat(np.arange(len(features)), lengths)
-    # a word in fewer than three rated texts says more about those texts than about their grade
-    common = np.bincount(index, minlength=1 << WIDTH_BITS) >= 3
-    index, rows = index[common[index]], rows[common[index]]
+    n = np.bincount(index, minlength=1 << WIDTH_BITS)
+    mean = np.bincount(index, grades[rows], minlength=1 << WIDTH_BITS) / np.maximum(n, 1)
+    spread = grades.std() if len(grades) else 0.0
+    telling = (n >= LEAST_TEXTS) & (np.abs(mean - (grades.mean() if len(grades) else 0)) * np.sqrt(n) >= SCREEN * max(spread, 1e-9))
+    index, rows = index[telling[index]], rows[telling[index]]
     shares = np.bincount(grades, minlength=GRADES).cumsum()[:-1] / max(1, len(grades))
     first = np.log(np.clip(shares, 0.01, 0.99) / (1 - np.clip(shares, 0.01, 0.99)))
     params = np.concatenate([np.zeros(1 << WIDTH_BITS), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
@@ -80,19 +91,19 @@ def train(features: list[np.ndarray], grades: np.ndarray, l2: float = 1e-4, step
     return Model(params[:free], params[free] + np.concatenate([[0], np.exp(params[free + 1 :]).cumsum()]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 12_000) -> Model:
     rated = rating_grades(labels)
     share = min(1.0, max_rated / max(1, rated.count()))
     point = F.pmod(F.xxhash64("doc_id", F.lit("rated")), F.lit(1 << 20)) / float(1 << 20)
     sample = rated.filter(point < share)  # about max_rated rows of two numbers
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = picked.select(hashed_words().alias("f"), "grade").toArrow()
+    rows = picked.select(hashed_features().alias("f"), "grade").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(1 << WIDTH_BITS), np.log([0.5, 2.0]))
     return train([f.values.to_numpy() if f.is_valid else np.zeros(0, int) for f in rows["f"]], rows["grade"].to_numpy().astype(int))
 
 
-def score(docs: DataFrame, model: Model, most_floor: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, most_floor: float = 0.3) -> DataFrame:
     """Expected grade, chance of the top grade, chance of the lowest, and whether the document is selected: the lowest
     grade (toxic) has a chance below ``most_floor``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights
@@ -108,7 +119,7 @@ def score(docs: DataFrame, model: Model, most_floor: float = 0.5) -> DataFrame:
             columns = [batch.column(0), *map(pa.array, ((1 - upto).sum(axis=1), tail, floor, floor < most_floor))]
             yield pa.record_batch(columns, ["doc_id", "expected_grade", "tail_probability", "floor_probability", "selected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed_words().alias("f")).mapInArrow(rate, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed_features().alias("f")).mapInArrow(rate, SCHEMA)
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
