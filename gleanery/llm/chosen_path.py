@@ -11,6 +11,10 @@ node of any size is spread over tasks. Pairs at the threshold share one child on
 a known chance, and as many runs are made as the target recall asks for. Links are verified by their exact Jaccard
 similarity.
 
+Before texts are read again for verification, sets meet in their nodes as sketches of 64 minima; pairs whose sketches agree
+in five standard errors fewer places than a pair at the threshold would are not similar, and a set without any other pair
+takes no further part.
+
 Each set carries the list of the nodes in which it is compared. A pair is counted only in the smallest node that both
 sets have, so the numbers of links are exact counts of the distinct links found although pairs are never written:
 a node yields a count for each set, and the components of its links as one edge for each set.
@@ -22,6 +26,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -41,6 +46,8 @@ RECALL = 0.999
 DEPTH = 3
 SMALL = 64
 BLOCK = 1024
+BINS = 64
+BROADCAST_ROWS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,43 +74,76 @@ def roots(runs: int) -> np.ndarray:
     return mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> np.ndarray:
-    """The children that a set chooses in each of its nodes."""
-    share = min(1.0, 1 / (threshold * len(tokens))) if len(tokens) else 0.0
-    limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
-    out = []
-    for node in nodes:
-        drawn = mix(tokens ^ node)
-        out.append(mix(drawn[drawn <= limit] + np.uint64(0x632BE59BD9B4E019)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children that a set chooses in each of its nodes: (parents, children)."""
+    limit = np.uint64(min((1 << 64) - 1, int(min(1.0, 1 / (threshold * len(tokens))) * (1 << 64))))
+    parents, below = [nodes[:0]], [nodes[:0]]
+    for lo in range(0, len(tokens), 1 << 14):
+        drawn = mix(tokens[None, lo : lo + (1 << 14)] ^ nodes[:, None])
+        chosen = np.nonzero(drawn <= limit)
+        parents.append(nodes[chosen[0]])
+        below.append(mix(drawn[chosen] + np.uint64(0x632BE59BD9B4E019)))
+    return np.concatenate(parents), np.concatenate(below)
+
+
+def tree(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(levels, parents, nodes) of all nodes that a set chooses down to ``depth``."""
+    level, parents, nodes, last = [], [], [], roots(runs)
+    for d in range(1, depth + 1):
+        above, last = children(last, tokens, threshold)
+        level.append(np.full(len(last), d, np.int32))
+        parents.append(above)
+        nodes.append(last)
+    return np.concatenate(level), np.concatenate(parents), np.concatenate(nodes)
+
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The smallest token in each of ``BINS`` equal ranges of hashes, 16 bits of it; 0 for an empty range."""
+    shift = np.uint64(64 - int(BINS).bit_length() + 1)
+    at = np.searchsorted(tokens, np.arange(BINS, dtype=np.uint64) << shift)
+    found = tokens[np.minimum(at, len(tokens) - 1)]
+    there = (at < len(tokens)) & (found >> shift == np.arange(BINS, dtype=np.uint64))
+    return np.where(there, (found & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
 
-def with_sets(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, key (of the text), cls (16 bytes that name the set; null without one), nodes of the first level."""
+
+def with_sets(docs: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
+    """doc_id, key (of the text), cls (16 bytes that name the set; null without one), its size, sketch and tree."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = roots(runs)
-        for batch in batches:
-            names, nodes = [], []
-            for words in batch.column(2):
-                tokens = shingle_set(words.values.to_numpy())
-                names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                nodes.append(children(top, tokens, threshold).view(np.int64) if len(tokens) else [])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "nodes"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                names, sizes, sketches, trees = [], [], [], []
+                for words in batch.column(2):
+                    tokens = shingle_set(words.values.to_numpy())
+                    some = len(tokens) > 0
+                    names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if some else None)
+                    sizes.append(len(tokens))
+                    sketches.append(sketch(tokens).tobytes() if some else None)
+                    trees.append(tree(tokens, runs, depth, threshold) if some else (np.zeros(0, np.int32), *[np.zeros(0, np.uint64)] * 2))
+                parts = [np.concatenate(x) for x in zip(*trees, strict=True)]
+                ends = np.cumsum([0] + [len(t[0]) for t in trees]).astype(np.int32)
+                nodes = pa.StructArray.from_arrays([pa.array(parts[0]), *(pa.array(x.view(np.int64)) for x in parts[1:])], ["level", "parent", "node"])
+                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), nodes)]
+                yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "cls", "size", "sketch", "tree"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), word_hashes(F.col("text")).alias("w"))
-    return picked.mapInArrow(split, "doc_id long, key long, cls binary, nodes array<long>")
+    return picked.mapInArrow(split, "doc_id long, key long, cls binary, size int, sketch binary, tree array<struct<level:int,parent:long,node:long>>")
 
 
 def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and its tokens, for the classes of ``wanted`` (doc_id and key of one text of each). Texts are read again rather
-    than kept as tokens, which would take more room than the texts."""
+    than kept as tokens, which would take more room than the texts. A short list of wanted texts is broadcast; a longer
+    one meets the texts in a shuffle."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w.values.to_numpy()).tobytes() for w in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
 
+    wanted = staged(wanted, "path-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["key"])
     found = texts.join(wanted, same).select("cls", word_hashes(F.col("text")).alias("w"))
@@ -111,16 +151,58 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(tokens, "cls binary, tokens binary")
 
 
-def next_level(held: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """cls, node: the children of the nodes of ``held``."""
+def split_nodes(classes: DataFrame, depth: int, small: int) -> DataFrame:
+    """cls, node, n of the nodes in which sets are compared: those of at most ``small`` sets, and all that are left at the
+    last level. Nodes of one set are dropped; of nodes with the same sets one stays."""
+    active, leaves = classes.select("cls", F.explode(F.filter("tree", lambda x: x["level"] == 1)["node"]).alias("node")), []
+    for level in range(1, depth + 1):
+        sizes = active.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        held = staged(active.join(sizes, "node"), "path-nodes")
+        if level == depth or held.filter(F.col("n") > small).isEmpty():
+            leaves.append(held.select("cls", "node"))
+            break
+        leaves.append(held.filter(F.col("n") <= small).select("cls", "node"))
+        crowded = held.filter(F.col("n") > small).groupBy("cls").agg(F.collect_set("node").alias("above"))  # runs / threshold**level of them on average
+        deeper = level + 1
+        below = F.filter("tree", lambda x: (x["level"] == deeper) & F.array_contains("above", x["parent"]))  # noqa: B023
+        active = classes.select("cls", "tree").join(crowded, "cls").select("cls", F.explode(below["node"]).alias("node"))
+    every = functools.reduce(DataFrame.union, leaves)
+    members = every.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    one = members.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
+    return every.join(one, "node")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            below = [children(np.array(n.as_py(), np.int64).view(np.uint64), np.frombuffer(t.as_buffer(), np.uint64), threshold).view(np.int64) for n, t in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(below, pa.list_(pa.int64()))], ["cls", "nodes"])
 
-    nodes = held.groupBy("cls").agg(F.collect_set("node").alias("nodes"))  # at most runs / threshold**depth of them on average
-    return nodes.join(tokens, "cls").select("cls", "nodes", "tokens").mapInArrow(split, "cls binary, nodes array<long>").select("cls", F.explode("nodes").alias("node")).distinct()
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Adds mine, a and b to rows with cls, node and n: every two blocks of a node meet in one (node, a, b)."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    out = rows.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).drop("other", "n")
+
+
+def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sketches could be of sets that reach the threshold."""
+    agree, used = np.zeros((len(sizes), len(sizes)), np.int16), np.zeros((len(sizes), len(sizes)), np.int16)
+    for column in sketches.T:
+        agree += (column[:, None] == column) & (column > 0)
+        used += (column[:, None] > 0) | (column > 0)
+    least = threshold * used - 5 * np.sqrt(threshold * (1 - threshold) * used)
+    return (agree >= least) & (np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes))
+
+
+def suspects(leaves: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """cls, node of the sets that could have a link in the node."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        near = alike(np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, BINS), table["size"].to_numpy().astype(np.int64), threshold)
+        np.fill_diagonal(near, False)
+        if key[1].as_py() != key[2].as_py():
+            mine = table["mine"].to_numpy()
+            near &= mine[:, None] != mine
+        return table.select(["cls", "node"]).filter(pa.array(near.any(axis=1)))
+
+    rows = leaves.join(classes.select("cls", "size", "sketch"), "cls")
+    found = dealt(rows, block).groupBy("node", "a", "b").applyInArrow(compare, "cls binary, node long")
+    return found.distinct()
 
 
 def links_in_node(node: int, names: list[bytes], sets: list[np.ndarray], places: list[list[int]], side: np.ndarray | None, threshold: float) -> list[tuple[bytes, int, bytes]]:
@@ -179,14 +261,10 @@ def links_in_node(node: int, names: list[bytes], sets: list[np.ndarray], places:
 
 def compared(leaves: DataFrame, tokens: DataFrame, threshold: float, block: int) -> DataFrame:
     """cls, links, root: for each set and node the links counted there, and a set of the same component."""
-    # nodes with the same members need one comparison
-    members = leaves.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    one = members.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
-    own = leaves.join(one, "node").groupBy("cls").agg(F.collect_list(F.struct("node", "n")).alias("places"))
+    sizes = leaves.groupBy("node").agg(F.count("*").alias("n"))
+    own = leaves.join(sizes, "node").groupBy("cls").agg(F.collect_list(F.struct("node", "n")).alias("places"))
     rows = own.join(tokens, "cls").select("cls", "tokens", F.col("places.node").alias("nodes"), F.explode("places").alias("place"))
-    blocks = F.ceil(F.col("place.n") / block).cast("int")
-    rows = rows.select("cls", "tokens", "nodes", F.col("place.node").alias("node"), F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("cls", "tokens", "nodes", "node", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    rows = dealt(rows.select("cls", "tokens", "nodes", "place.node", "place.n"), block)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, a, b = (k.as_py() for k in key)
@@ -203,29 +281,17 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     """Rows (doc_id, key, cls), and classes with a set: cls, class_id (smallest doc_id of all classes joined by links), keeper
     (doc_id and key of that document), copies (rows of the class) and links (other classes it is linked with)."""
     runs = runs_for(recall, depth)
-    rows = staged(with_sets(docs, runs, threshold), "path-sets")
+    rows = staged(with_sets(docs, runs, depth, threshold), "path-sets")
     some = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(some).alias("keeper"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
-    classes = staged(classes, "path-classes")
-    active, leaves, tokens = classes.select("cls", F.explode("nodes").alias("node")), [], None
-    for level in range(1, depth + 1):
-        sizes = active.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        held = staged(active.join(sizes, "node"), "path-nodes")
-        if tokens is None:
-            wanted = classes.join(held.select("cls").distinct(), "cls").select("cls", "keeper.doc_id", "keeper.key")
-            tokens = staged(token_table(docs, wanted), "path-tokens")
-        last = level == depth or held.filter(F.col("n") > small).isEmpty()
-        leaves.append(held.select("cls", "node") if last else held.filter(F.col("n") <= small).select("cls", "node"))
-        if last:
-            break
-        active = next_level(held.filter(F.col("n") > small), tokens, threshold)
-    every = leaves[0]
-    for more in leaves[1:]:
-        every = every.union(more)
-    found = staged(compared(every, tokens, threshold, block), "path-links")
+    whole = F.first(F.struct("size", "sketch", "tree")).alias("whole")  # the same in all rows of a class
+    classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(some).alias("keeper"), F.count("*").alias("copies"), whole)
+    classes = staged(classes.select("cls", "keeper", "copies", "whole.*"), "path-classes")
+    leaves = staged(suspects(split_nodes(classes, depth, small), classes, threshold, block), "path-suspects")
+    wanted = classes.join(leaves.select("cls").distinct(), "cls").select("cls", "keeper.doc_id", "keeper.key")
+    found = staged(compared(leaves, token_table(docs, wanted), threshold, block), "path-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.filter(F.col("cls") != F.col("root")).select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    named = classes.select("cls", "keeper", "copies").join(links, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     named = named.select("cls", "keeper", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component"))
     firsts = named.groupBy("component").agg(F.min("keeper").alias("first"))
     return rows, named.join(firsts, "component").select("cls", F.col("first.doc_id").alias("class_id"), F.col("first").alias("keeper"), "copies", "links")
