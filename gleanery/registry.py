@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.plans import lookups, reports, signals  # noqa: F401  (they register their queries)
+from gleanery.plans.catalog import ORACLE, QUERIES, Query
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals, blend, shortlist, clusters and their caps."""
+    return signals.shortlist(spark, sf_dir)
