@@ -75,26 +75,26 @@ def roots(runs: int) -> np.ndarray:
 
 
 def children(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The children that a set chooses in each of its nodes: (parents, children)."""
+    """The children that a set chooses in each of its nodes: (places of their parents, children)."""
     limit = np.uint64(min((1 << 64) - 1, int(min(1.0, 1 / (threshold * len(tokens))) * (1 << 64))))
-    parents, below = [nodes[:0]], [nodes[:0]]
+    parents, below = [np.zeros(0, np.int64)], [nodes[:0]]
     for lo in range(0, len(tokens), 1 << 14):
         drawn = mix(tokens[None, lo : lo + (1 << 14)] ^ nodes[:, None])
         chosen = np.nonzero(drawn <= limit)
-        parents.append(nodes[chosen[0]])
+        parents.append(chosen[0])
         below.append(mix(drawn[chosen] + np.uint64(0x632BE59BD9B4E019)))
     return np.concatenate(parents), np.concatenate(below)
 
 
-def tree(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(levels, parents, nodes) of all nodes that a set chooses down to ``depth``."""
-    level, parents, nodes, last = [], [], [], roots(runs)
-    for d in range(1, depth + 1):
-        above, last = children(last, tokens, threshold)
-        level.append(np.full(len(last), d, np.int32))
-        parents.append(above)
-        nodes.append(last)
-    return np.concatenate(level), np.concatenate(parents), np.concatenate(nodes)
+def tree(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level down to ``depth``: the nodes that a set chooses, and the place of each one's parent among those of the
+    level before."""
+    levels, above = [], roots(runs)
+    for _ in range(depth):
+        at, below = children(above, tokens, threshold)
+        levels.append((below, at))
+        above = below
+    return levels
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -107,75 +107,79 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
-    """doc_id, key (of the text), cls (16 bytes that name the set; null without one), its size, sketch and tree."""
+    """doc_id, key (of the text), cls (16 bytes that name the set; null without one), its size and sketch, and by level its
+    nodes and the places of their parents."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                names, sizes, sketches, trees = [], [], [], []
+                names, sizes, sketches, nodes, parents = [], [], [], [], []
                 for words in batch.column(2):
                     tokens = shingle_set(words.values.to_numpy())
                     some = len(tokens) > 0
+                    levels = tree(tokens, runs, depth, threshold) if some else []
                     names.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if some else None)
                     sizes.append(len(tokens))
                     sketches.append(sketch(tokens).tobytes() if some else None)
-                    trees.append(tree(tokens, runs, depth, threshold) if some else (np.zeros(0, np.int32), *[np.zeros(0, np.uint64)] * 2))
-                parts = [np.concatenate(x) for x in zip(*trees, strict=True)]
-                ends = np.cumsum([0] + [len(t[0]) for t in trees]).astype(np.int32)
-                nodes = pa.StructArray.from_arrays([pa.array(parts[0]), *(pa.array(x.view(np.int64)) for x in parts[1:])], ["level", "parent", "node"])
-                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), nodes)]
-                yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "cls", "size", "sketch", "tree"])
+                    nodes.append([x.view(np.int64) for x, _ in levels])
+                    parents.append([x for _, x in levels])
+                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.list_(pa.int64()))), pa.array(parents, pa.list_(pa.list_(pa.int32())))]
+                yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "cls", "size", "sketch", "nodes", "parents"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), word_hashes(F.col("text")).alias("w"))
-    return picked.mapInArrow(split, "doc_id long, key long, cls binary, size int, sketch binary, tree array<struct<level:int,parent:long,node:long>>")
+    return picked.mapInArrow(split, "doc_id long, key long, cls binary, size int, sketch binary, nodes array<array<long>>, parents array<array<int>>")
 
 
 def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and its tokens, for the classes of ``wanted`` (doc_id and key of one text of each). Texts are read again rather
+    """cid and its tokens, for the classes of ``wanted`` (doc_id and key of one text of each). Texts are read again rather
     than kept as tokens, which would take more room than the texts. A short list of wanted texts is broadcast; a longer
     one meets the texts in a shuffle."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(w.values.to_numpy()).tobytes() for w in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["cls", "tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
     wanted = staged(wanted, "path-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["key"])
-    found = texts.join(wanted, same).select("cls", word_hashes(F.col("text")).alias("w"))
+    found = texts.join(wanted, same).select("cid", word_hashes(F.col("text")).alias("w"))
     # a repeated row may bring its class twice; comparisons drop the second
-    return found.mapInArrow(tokens, "cls binary, tokens binary")
+    return found.mapInArrow(tokens, "cid long, tokens binary")
+
+
+def distinct_nodes(rows: DataFrame) -> DataFrame:
+    """cid, node, n: the nodes of at least two sets with their size; of nodes with the same sets one stays."""
+    members = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+    one = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
+    return rows.join(one, "node")
 
 
 def split_nodes(classes: DataFrame, depth: int, small: int) -> DataFrame:
-    """cls, node, n of the nodes in which sets are compared: those of at most ``small`` sets, and all that are left at the
-    last level. Nodes of one set are dropped; of nodes with the same sets one stays."""
-    active, leaves = classes.select("cls", F.explode(F.filter("tree", lambda x: x["level"] == 1)["node"]).alias("node")), []
+    """cid, node, n of the nodes in which sets are compared: those of at most ``small`` sets, and all that are left at the
+    last level."""
+    active, leaves = classes.select("cid", F.explode(F.get("nodes", F.lit(0))).alias("node")), []
     for level in range(1, depth + 1):
         sizes = active.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         held = staged(active.join(sizes, "node"), "path-nodes")
         if level == depth or held.filter(F.col("n") > small).isEmpty():
-            leaves.append(held.select("cls", "node"))
+            leaves.append(held.select("cid", "node"))
             break
-        leaves.append(held.filter(F.col("n") <= small).select("cls", "node"))
-        crowded = held.filter(F.col("n") > small).groupBy("cls").agg(F.collect_set("node").alias("above"))  # runs / threshold**level of them on average
-        deeper = level + 1
-        below = F.filter("tree", lambda x: (x["level"] == deeper) & F.array_contains("above", x["parent"]))  # noqa: B023
-        active = classes.select("cls", "tree").join(crowded, "cls").select("cls", F.explode(below["node"]).alias("node"))
-    every = functools.reduce(DataFrame.union, leaves)
-    members = every.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    one = members.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
-    return every.join(one, "node")
+        leaves.append(held.filter(F.col("n") <= small).select("cid", "node"))
+        crowded = held.filter(F.col("n") > small).groupBy("cid").agg(F.collect_set("node").alias("crowded"))  # runs / threshold**level of them on average
+        parent = lambda i: F.get(F.get("nodes", F.lit(level - 1)), F.get(F.get("parents", F.lit(level)), i))  # noqa: B023, E731
+        below = F.filter(F.get("nodes", F.lit(level)), lambda x, i: F.array_contains("crowded", parent(i)))  # noqa: B023
+        active = classes.select("cid", "nodes", "parents").join(crowded, "cid").select("cid", F.explode(below).alias("node"))
+    return distinct_nodes(functools.reduce(DataFrame.union, leaves))
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Adds mine, a and b to rows with cls, node and n: every two blocks of a node meet in one (node, a, b)."""
+    """Adds mine, a and b to rows with cid, node and n: every two blocks of a node meet in one (node, a, b)."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    out = rows.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    out = rows.withColumn("mine", F.pmod(F.xxhash64("cid", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).drop("other", "n")
 
 
@@ -190,7 +194,7 @@ def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarr
 
 
 def suspects(leaves: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """cls, node of the sets that could have a link in the node."""
+    """cid, node of the sets that could have a link in the node."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         near = alike(np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, BINS), table["size"].to_numpy().astype(np.int64), threshold)
@@ -198,14 +202,14 @@ def suspects(leaves: DataFrame, classes: DataFrame, threshold: float, block: int
         if key[1].as_py() != key[2].as_py():
             mine = table["mine"].to_numpy()
             near &= mine[:, None] != mine
-        return table.select(["cls", "node"]).filter(pa.array(near.any(axis=1)))
+        return table.select(["cid", "node"]).filter(pa.array(near.any(axis=1)))
 
-    rows = leaves.join(classes.select("cls", "size", "sketch"), "cls")
-    found = dealt(rows, block).groupBy("node", "a", "b").applyInArrow(compare, "cls binary, node long")
+    rows = leaves.join(classes.select("cid", "size", "sketch"), "cid")
+    found = dealt(rows, block).groupBy("node", "a", "b").applyInArrow(compare, "cid long, node long")
     return found.distinct()
 
 
-def links_in_node(node: int, names: list[bytes], sets: list[np.ndarray], places: list[list[int]], side: np.ndarray | None, threshold: float) -> list[tuple[bytes, int, bytes]]:
+def links_in_node(node: int, names: list[int], sets: list[np.ndarray], places: list[list[int]], side: np.ndarray | None, threshold: float) -> list[tuple[int, int, int]]:
     """(set, number of its links, first set of its component) of the links of a node that no smaller node has.
     ``side``: the block of each set if only pairs between two blocks are asked for."""
     order = sorted({name: i for i, name in enumerate(names)}.items())
@@ -260,21 +264,20 @@ def links_in_node(node: int, names: list[bytes], sets: list[np.ndarray], places:
 
 
 def compared(leaves: DataFrame, tokens: DataFrame, threshold: float, block: int) -> DataFrame:
-    """cls, links, root: for each set and node the links counted there, and a set of the same component."""
-    sizes = leaves.groupBy("node").agg(F.count("*").alias("n"))
-    own = leaves.join(sizes, "node").groupBy("cls").agg(F.collect_list(F.struct("node", "n")).alias("places"))
-    rows = own.join(tokens, "cls").select("cls", "tokens", F.col("places.node").alias("nodes"), F.explode("places").alias("place"))
-    rows = dealt(rows.select("cls", "tokens", "nodes", "place.node", "place.n"), block)
+    """cid, links, root: for each set and node the links counted there, and a set of the same component."""
+    own = distinct_nodes(leaves).groupBy("cid").agg(F.collect_list(F.struct("node", "n")).alias("places"))
+    rows = own.join(tokens, "cid").select("cid", "tokens", F.col("places.node").alias("nodes"), F.explode("places").alias("place"))
+    rows = dealt(rows.select("cid", "tokens", "nodes", "place.node", "place.n"), block)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, a, b = (k.as_py() for k in key)
         sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"]]
         side = table["mine"].to_numpy() if a != b else None
-        found = links_in_node(node, table["cls"].to_pylist(), sets, table["nodes"].to_pylist(), side, threshold)
+        found = links_in_node(node, table["cid"].to_pylist(), sets, table["nodes"].to_pylist(), side, threshold)
         columns = zip(*found, strict=True) if found else ([], [], [])
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["cls", "links", "root"])
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 3, strict=True)], ["cid", "links", "root"])
 
-    return rows.groupBy("node", "a", "b").applyInArrow(compare, "cls binary, links long, root binary")
+    return rows.groupBy("node", "a", "b").applyInArrow(compare, "cid long, links long, root long")
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -283,16 +286,17 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     runs = runs_for(recall, depth)
     rows = staged(with_sets(docs, runs, depth, threshold), "path-sets")
     some = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    whole = F.first(F.struct("size", "sketch", "tree")).alias("whole")  # the same in all rows of a class
+    whole = F.first(F.struct("size", "sketch", "nodes", "parents")).alias("whole")  # the same in all rows of a class
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(some).alias("keeper"), F.count("*").alias("copies"), whole)
-    classes = staged(classes.select("cls", "keeper", "copies", "whole.*"), "path-classes")
+    # a class goes by a number from here on
+    classes = staged(classes.select("cls", "keeper", "copies", "whole.*", F.monotonically_increasing_id().alias("cid")), "path-classes")
     leaves = staged(suspects(split_nodes(classes, depth, small), classes, threshold, block), "path-suspects")
-    wanted = classes.join(leaves.select("cls").distinct(), "cls").select("cls", "keeper.doc_id", "keeper.key")
+    wanted = classes.join(leaves.select("cid").distinct(), "cid").select("cid", "keeper.doc_id", "keeper.key")
     found = staged(compared(leaves, token_table(docs, wanted), threshold, block), "path-links")
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    joined = components(found.filter(F.col("cls") != F.col("root")).select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cls", "keeper", "copies").join(links, "cls", "left").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    named = named.select("cls", "keeper", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    joined = components(found.filter(F.col("cid") != F.col("root")).select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    named = classes.select("cid", "cls", "keeper", "copies").join(links, "cid", "left").join(joined.withColumnRenamed("id", "cid"), "cid", "left")
+    named = named.select("cls", "keeper", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("component"))
     firsts = named.groupBy("component").agg(F.min("keeper").alias("first"))
     return rows, named.join(firsts, "component").select("cls", F.col("first.doc_id").alias("class_id"), F.col("first").alias("keeper"), "copies", "links")
 
