@@ -113,13 +113,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         shard = context.partitionId()
         final, draft = f"{base}/part-{shard:07d}", f"{base}/.draft-{shard:07d}-{context.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.many(t.as_py() for t in batch.column(1)), strict=True):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(f"{draft}.ids")
                     writer = SequenceWriter(sink, enc.dtype, length, rows)
                 before = writer.total
-                writer.add(enc.ids(text.as_py()))
+                writer.add(ids)
                 writer.add(np.array([end_id], enc.dtype))
                 index.append((doc_id, before, writer.total - before))
         if writer is None:

@@ -79,7 +79,7 @@ def with_curve_keys(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids = [np.append(enc.ids(t), enc.dtype.type(end_id)) for t in batch.column(1).to_pylist()]
+                ids = [np.append(x, enc.dtype.type(end_id)) for x in enc.many(batch.column(1).to_pylist())]
                 yield pa.record_batch(
                     [batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(curve_keys(ids))],
                     ["doc_id", "ids", "n", "key"],

@@ -8,6 +8,8 @@ Latin blocks, where the cutting pattern can be written out; any other text goes
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -25,9 +27,10 @@ PIECES = {
 
 
 class Encoder(dict):
-    """piece -> its ids as bytes. ``limit`` bounds the number of remembered pieces."""
+    """piece -> its ids as bytes. No further pieces are remembered beyond ``limit`` before all are forgotten; a million take
+    about 200 MB. Unknown pieces of some texts go to the library together."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -38,21 +41,38 @@ class Encoder(dict):
         self.lower = self.library.normalizer is not None
         self.pieces = PIECES["words" if self.lower else "bytes"].findall
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = ids = self.whole(piece)
-        return ids
+    def learn(self, pieces: set[str]) -> None:
+        unknown = list(pieces.difference(self))
+        for piece, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self[piece] = array(self.dtype.char, found.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text; the array is read-only."""
-        cased = text.lower() if self.lower else text
-        if BEYOND.search(text) or self.lower and BEYOND.search(cased):
-            return np.frombuffer(self.whole(text), self.dtype)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(cased))), self.dtype)
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str], at_once: int = 400_000) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; about ``at_once`` characters are cut into pieces at a time."""
+        held: list[str | list[str]] = []
+        size = 0
+        for text in texts:
+            cased = text.lower() if self.lower else text
+            plain = not (BEYOND.search(text) or self.lower and BEYOND.search(cased))
+            held.append(self.pieces(cased) if plain else text)
+            size += len(text)
+            if size >= at_once:
+                yield from self.joined(held)
+                held, size = [], 0
+        yield from self.joined(held)
+
+    def joined(self, cut: list[str | list[str]]) -> Iterator[np.ndarray]:
+        if len(self) >= self.limit:
+            self.clear()
+        self.learn(set().union(*(x for x in cut if isinstance(x, list))))
+        for x in cut:
+            yield np.frombuffer(b"".join(map(self.__getitem__, x)) if isinstance(x, list) else self.whole(x), self.dtype)
 
 
 _encoders: dict[str, Encoder] = {}
