@@ -7,6 +7,7 @@ Latin blocks, where the cutting pattern can be written out; any other text goes
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -31,6 +32,7 @@ class Encoder(dict):
     about 200 MB. Unknown pieces of some texts go to the library together."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's own threads would only wait for cores that tasks use
         from tokenizers import Tokenizer
 
         super().__init__()
