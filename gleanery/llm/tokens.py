@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -25,11 +24,14 @@ PIECES = {
     "bytes": re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
     "words": re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+"),
 }
+#: Byte-level vocabularies write a visible Latin-1 byte as itself and the others as the signs from U+0100 on, in order.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: b if b in VISIBLE else 0x100 + sum(x not in VISIBLE for x in range(b)) for b in range(256)}
 
 
 class Encoder(dict):
     """piece -> its ids as bytes. No further pieces are remembered beyond ``limit`` before all are forgotten; a million take
-    about 200 MB. Unknown pieces of some texts go to the library together."""
+    about 200 MB. A piece that is not known goes to the library's merge model, in the signs that stand for its bytes."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's own threads would only wait for cores that tasks use
@@ -38,43 +40,27 @@ class Encoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.limit = limit
+        self.limit, self.model = limit, self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.lower = self.library.normalizer is not None
         self.pieces = PIECES["words" if self.lower else "bytes"].findall
 
-    def learn(self, pieces: set[str]) -> None:
-        unknown = list(pieces.difference(self))
-        for piece, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self[piece] = array(self.dtype.char, found.ids).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))
+        self[piece] = ids = array(self.dtype.char, [t.id for t in found]).tobytes()
+        return ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text; the array is read-only."""
-        return next(self.many([text]))
-
-    def many(self, texts: Iterable[str], at_once: int = 400_000) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; about ``at_once`` characters are cut into pieces at a time."""
-        held: list[str | list[str]] = []
-        size = 0
-        for text in texts:
-            cased = text.lower() if self.lower else text
-            plain = not (BEYOND.search(text) or self.lower and BEYOND.search(cased))
-            held.append(self.pieces(cased) if plain else text)
-            size += len(text)
-            if size >= at_once:
-                yield from self.joined(held)
-                held, size = [], 0
-        yield from self.joined(held)
-
-    def joined(self, cut: list[str | list[str]]) -> Iterator[np.ndarray]:
-        if len(self) >= self.limit:
-            self.clear()
-        self.learn(set().union(*(x for x in cut if isinstance(x, list))))
-        for x in cut:
-            yield np.frombuffer(b"".join(map(self.__getitem__, x)) if isinstance(x, list) else self.whole(x), self.dtype)
+        cased = text.lower() if self.lower else text
+        if BEYOND.search(text) or self.lower and BEYOND.search(cased):
+            return np.frombuffer(self.whole(text), self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(cased))), self.dtype)
 
 
 _encoders: dict[str, Encoder] = {}
