@@ -6,6 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Query parameters that only track.
+TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|s|si|mc_cid|mc_eid)(=|$)"
+# Phrases that mark a title as a round-up.
+ROUNDUP_PHRASES = [
+    "link roundup", "links for", "weekly digest", "release notes", "changelog", "sponsored", "this week in", "linkdump", "link dump", "weekly roundup", "roundup:",
+    "in case you missed it", "what we're reading", "sponsor post", "now available", "is now generally available", "release candidate", "patch notes", "job board",
+    "who's hiring", "newsletter #", "digest #",
+]
+# Hosts and path endings that are never articles.
+MEDIA_HOSTS = ["youtube.com", "www.youtube.com", "youtu.be", "vimeo.com", "open.spotify.com", "podcasts.apple.com"]
+MEDIA_ENDINGS = [".mp3", ".m4a", ".m4v", ".mp4", ".ogg", ".oga", ".opus", ".wav", ".flac", ".aac", ".mov", ".webm", ".mkv"]
+
+
+def roundup_title(title: Column) -> Column:
+    """One of the phrases stands in the title, in any case; false without a title."""
+    return F.coalesce(F.lower(title), F.lit("")).rlike("|".join(ROUNDUP_PHRASES))
+
+
 def word_count(text: Column) -> Column:
     """Tokens between white space that hold a letter or digit."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
@@ -42,7 +60,7 @@ def canonical_url(url: Column) -> Column:
     head = F.lower(F.regexp_extract(bare, r"(?i)^(https?://[^/?#]+)", 1))
     rest = F.regexp_replace(bare, r"(?i)^https?://[^/?#]+", "")
     path, query = F.regexp_replace(F.split_part(rest, F.lit("?"), F.lit(1)), "/+$", ""), F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&")
-    kept = F.array_join(F.filter(query, lambda p: (p != "") & ~F.lower(p).rlike(r"^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid|igshid|source)(=|$)")), "&")
+    kept = F.array_join(F.filter(query, lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)), "&")
     return F.when(head != "", F.concat(head, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 

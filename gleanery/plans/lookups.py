@@ -281,7 +281,7 @@ def k31(spark, sf):
 
 @query("X1_canonical_url", """WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, lower(regexp_extract(u, '^(https?://[^/?#]+)', 1)) AS head, regexp_replace(u, '^https?://[^/?#]+', '') AS rest FROM u),
-q AS (SELECT page_id, head, rtrim(split_part(rest, '?', 1), '/') AS path, list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid|igshid|source)(=|$)')) AS kept FROM p)
+q AS (SELECT page_id, head, rtrim(split_part(rest, '?', 1), '/') AS path, list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid|gclid|s|si|mc_cid|mc_eid)(=|$)')) AS kept FROM p)
 SELECT page_id, head || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q""")
 def x1(spark, sf):
     return table(spark, sf, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"))

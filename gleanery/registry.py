@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import lookups, reports, signals  # noqa: F401  (they register their queries)
+from gleanery.plans import lookups, reports, selection, signals  # noqa: F401  (they register their queries)
 from gleanery.plans.catalog import ORACLE, QUERIES, Query
 
 
