@@ -67,7 +67,7 @@ def s14(spark, sf):
     return replaced(o.filter("k % 2 = 0"), o.filter("k % 101 = 1").withColumn("cost", F.lit(0.0)), "day")
 
 
-@query("S18_json_feed", "SELECT to_json({'event_id': event_id, 'event_type': event_type}) AS item FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 20)")
+@query("S18_json_feed", "SELECT to_json({'event_id': event_id, 'event_type': event_type})::VARCHAR AS item FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 20)")
 def s18(spark, sf):
     return feed(table(spark, sf, "events").select("event_id", "event_type", "ts"), [F.desc("ts"), F.asc("event_id")], 20, ["event_id", "event_type"])
 
@@ -325,7 +325,7 @@ def k32(spark, sf):
     li = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
     item = F.struct("l_linenumber", "l_partkey", F.lit("stored").alias("name"))
     stored = table(spark, sf, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.to_json(F.collect_list(item)).alias("snapshot"))
-    old = stored.select("o_orderkey", F.inline(F.from_json("snapshot", "array<struct<l_linenumber:long,l_partkey:long,name:string>>")))
+    old = stored.select("o_orderkey", F.inline(F.from_json("snapshot", "array<struct<l_linenumber:int,l_partkey:long,name:string>>")))
     live = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return old.join(live, "l_partkey", "left").select("o_orderkey", "l_linenumber", "l_partkey", F.coalesce("p_name", "name").alias("name"))
 
@@ -352,3 +352,59 @@ def k35(spark, sf):
     used = runs(spark, sf).groupBy("provider").agg(F.count("*").alias("runs"), F.sum(F.col("run_id") % 900).alias("x"), F.sum(F.col("run_id") % 70).alias("y"))
     cost = F.col("x") / 1e6 * F.coalesce("a", F.lit(0.0)) + F.col("y") / 1e6 * F.coalesce("b", F.lit(0.0))
     return used.join(F.broadcast(prices), "provider", "left").select("provider", "runs", F.round(cost, 9).alias("cost"))
+
+
+@query("F20_finished_runs", with_views("runs", "SELECT run_id FROM runs WHERE status <> 'P' AND day IS NOT NULL"))
+def f20(spark, sf):
+    return runs(spark, sf).filter((F.col("status") != "P") & F.col("day").isNotNull()).select("run_id")
+
+
+@query("W5_source_of_the_latest_verdict", with_views("verdicts latest", "SELECT l.article_id, l.label, json_extract_string(e.props, '$.k') AS source FROM latest l JOIN events e ON e.event_id = l.id"))
+def w5(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("source"))
+    return latest_verdicts(spark, sf).join(e, "id").select("article_id", "label", "source")
+
+
+@query("O5_optional_limit", with_views("runs", "SELECT run_id, 'all' AS page FROM runs UNION ALL SELECT run_id, 'ten' FROM (SELECT * FROM runs ORDER BY day DESC, run_id LIMIT 10)"))
+def o5(spark, sf):
+    newest = [F.desc("day"), F.asc("run_id")]
+    return at_most(runs(spark, sf), newest, 0).select("run_id", F.lit("all").alias("page")).union(at_most(runs(spark, sf), newest, 10).select("run_id", F.lit("ten").alias("page")))
+
+
+def at_most(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows; all of them, unordered, if ``n`` isn't positive."""
+    return df.orderBy(*order).limit(n) if n > 0 else df
+
+
+@query("O9_scored_page", "WITH s AS (SELECT l_suppkey AS feed, count(DISTINCT l_partkey) AS links, max(l_shipdate) AS seen, round(avg((l_returnflag = 'R')::INT), 9) AS score FROM lineitem GROUP BY 1) SELECT feed, links, score FROM s ORDER BY score DESC, links DESC, seen DESC, feed LIMIT 5 OFFSET 2")
+def o9(spark, sf):
+    score = F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 9)
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("feed")).agg(F.count_distinct("l_partkey").alias("links"), F.max("l_shipdate").alias("seen"), score.alias("score"))
+    return s.orderBy(F.desc("score"), F.desc("links"), F.desc("seen"), "feed").offset(2).limit(5).select("feed", "links", "score")
+
+
+@query("K21_run_report", with_views("runs candidates", ", c AS (SELECT run_id, count(*) AS considered, count(*) FILTER (stage = 'R') AS selected, round(max(utility), 2)::DOUBLE AS best FROM candidates GROUP BY 1) SELECT run_id, CAST(day AS VARCHAR) AS day, provider || ': ' || coalesce(considered, 0) || ' considered, ' || coalesce(selected, 0) || ' selected' AS line, best FROM runs LEFT JOIN c USING (run_id)"))
+def k21(spark, sf):
+    c = candidates(spark, sf).groupBy("run_id").agg(F.count("*").alias("considered"), F.count_if(F.col("stage") == "R").alias("selected"), F.round(F.max("utility"), 2).cast("double").alias("best"))
+    said = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("string")
+    line = F.concat("provider", F.lit(": "), said("considered"), F.lit(" considered, "), said("selected"), F.lit(" selected"))
+    return runs(spark, sf).join(c, "run_id", "left").select("run_id", F.col("day").cast("string").alias("day"), line.alias("line"), "best")
+
+
+@query("K23_rating_import", "WITH q AS (SELECT page_id + 100000 AS request, lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, CASE page_id % 5 WHEN 0 THEN 'loved' WHEN 1 THEN 'good' WHEN 2 THEN 'not_for_me' WHEN 3 THEN 'slop' ELSE 'other' END AS label FROM pages WHERE page_id % 4 = 0 OR page_id < 20), a AS (SELECT lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, min(page_id) AS article_id FROM pages WHERE page_id % 3 <> 0 GROUP BY 1) SELECT request, CASE WHEN label = 'other' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label <> 'other' THEN article_id END AS article_id, label <> 'other' AND article_id IS NULL AS inserted FROM q LEFT JOIN a USING (u)")
+def k23(spark, sf):
+    key = F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""))
+    p = table(spark, sf, "pages")
+    i = F.col("page_id") % 5
+    label = F.when(i == 0, "loved").when(i == 1, "good").when(i == 2, "not_for_me").when(i == 3, "slop").otherwise("other")
+    queue = p.filter("page_id % 4 = 0 OR page_id < 20").select((F.col("page_id") + 100000).alias("request"), key.alias("u"), label.alias("label"))
+    stored = p.filter("page_id % 3 <> 0").groupBy(key.alias("u")).agg(F.min("page_id").alias("article_id"))
+    good = F.col("label") != "other"
+    return queue.join(stored, "u", "left").select("request", F.when(good, "ok").otherwise("failed").alias("status"), F.when(good, F.col("article_id")).alias("article_id"), (good & F.col("article_id").isNull()).alias("inserted"))
+
+
+@query("S6_page_sections", "WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS items FROM pages) SELECT page_id, 0 AS place, 0 AS depth, title AS label FROM t UNION ALL SELECT page_id, generate_subscripts(items, 1)::INT, 1, unnest(items) FROM t")
+def s6(spark, sf):
+    items = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a>'), 1)
+    t = table(spark, sf, "pages").select("page_id", F.posexplode(F.concat(F.array(F.regexp_extract("html", "<title>(.*?)</title>", 1)), items)).alias("place", "label"))
+    return t.select("page_id", "place", F.least("place", F.lit(1)).alias("depth"), "label")

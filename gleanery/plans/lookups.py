@@ -161,11 +161,11 @@ def j6(spark, sf):
     return candidates(spark, sf).join(newest, "run_id", "left_semi").select("run_id", "article_id")
 
 
-@query("J7_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
+@query("J7_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'error' AND value > 100)")
 def j7(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
-    c = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return c.join(table(spark, sf, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti")
+    c = c.join(table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return c.join(table(spark, sf, "events").filter("event_type = 'error' AND value > 100").select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("J8_superseded", with_views("verdicts", "SELECT id FROM verdicts v WHERE EXISTS (SELECT 1 FROM verdicts w WHERE w.article_id = v.article_id AND (w.event_at > v.event_at OR w.event_at = v.event_at AND w.id > v.id))"))
@@ -238,10 +238,10 @@ def u2(spark, sf):
     return one.union(two).groupBy(F.lower("name").alias("k")).agg(F.min(F.struct("src", "pos", "name")).alias("r")).select("r.name", "r.src", "r.pos")
 
 
-@query("U3_difference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("U3_difference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)")
 def u3(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag")
-    return li.filter("l_returnflag = 'A'").join(li.filter("l_returnflag = 'R'"), "l_partkey", "left_anti").select("l_partkey").distinct()
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_linenumber")
+    return li.filter("l_returnflag = 'A'").join(li.filter("l_returnflag = 'R' AND l_linenumber = 1"), "l_partkey", "left_anti").select("l_partkey").distinct()
 
 
 @query("U4_intersection_with_provenance", "SELECT l_partkey, list_sort(list(DISTINCT l_returnflag)) AS admitted_by FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")

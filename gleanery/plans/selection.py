@@ -179,7 +179,12 @@ def j13(spark, sf):
 
 @query("K7_cluster_merge", f"""WITH RECURSIVE {ENTRIES}, m AS (SELECT *, trim(coalesce(comments, '')) <> '' AS linked, trim(coalesce(author, '')) <> '' AS named,
  CASE WHEN contains(comments, 'news.ycombinator.com') THEN 2 WHEN contains(comments, 'lobste.rs') THEN 1 ELSE 0 END AS kind, bool_or(direct) OVER (PARTITION BY cluster) AS any_direct FROM entries JOIN resolved USING (entry_id))
-SELECT cluster, arg_max(entry_id, (words, -entry_id)) AS best_entry, arg_max(url, (words, -entry_id)) AS url, max(words)::INT AS words, min(coalesce(published, fetched)) AS first_seen, min(published) AS published, list_sort(list(entry_id)) AS sources,
+SELECT cluster, arg_max(entry_id, (words, -entry_id)) AS best_entry, arg_max(url, (words, -entry_id)) AS url, max(words)::INT AS words, min(coalesce(published, fetched)) AS first_seen, min(published) AS published, array_to_string(list_sort(list(entry_id)), ',') AS sources,
  arg_max(comments, (kind, entry_id)) FILTER (linked) AS comments, arg_min(author, entry_id) FILTER (named AND (direct OR NOT any_direct)) AS author FROM m GROUP BY 1""")
 def k7(spark, sf):
-    return merge(resolve(entries(spark, sf), "entry_id", "url", "title_key"))
+    return merge(resolve(entries(spark, sf), "entry_id", "url", "title_key")).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+@query("K5_signal_matrix", f"WITH {JUDGED} SELECT article_id, words, triage, interest, knn, blend FROM judged")
+def k5(spark, sf):
+    return judged(spark, sf).select("article_id", "words", "triage", "interest", "knn", "blend")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gleanery import registry
 from gleanery.operators.admission import Retriever, admit, lineup, pool
 from gleanery.operators.resolution import merge, resolve
 
@@ -86,3 +87,11 @@ def test_lineup_by_hand(spark):
     got = sorted(tuple(r) for r in lineup(picks, known, 3).collect())
     assert got == [(1, "b", 1, True), (2, "a", 1, False), (3, "h", 1, False)]
     assert {r["article_id"] for r in lineup(picks, known, 2).collect()} == {2, 3}
+
+
+def test_ranks_inside_clusters_are_gapless(spark):
+    rows = registry.queries()["W9_rank_inside_cluster"](spark, "/root/testdata/sf0.001").collect()
+    by_cluster = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        by_cluster.setdefault(r["cluster"], []).append(r["cluster_rank"])
+    assert by_cluster and all(ranks == list(range(1, len(ranks) + 1)) for ranks in by_cluster.values())
