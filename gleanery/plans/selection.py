@@ -185,6 +185,6 @@ def k7(spark, sf):
     return merge(resolve(entries(spark, sf), "entry_id", "url", "title_key")).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
 
 
-@query("K5_signal_matrix", f"WITH {JUDGED} SELECT article_id, words, triage, interest, knn, blend FROM judged")
+@query("K5_signal_matrix", f"WITH {JUDGED} SELECT article_id, words::INT AS words, triage, interest, knn, blend FROM judged")
 def k5(spark, sf):
     return judged(spark, sf).select("article_id", "words", "triage", "interest", "knn", "blend")
