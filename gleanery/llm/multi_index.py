@@ -1,16 +1,17 @@
 """Nearest neighbours by inner product through an inverted multi-index.
 
 Both halves of a vector are quantised on their own with ``centroids`` centroids, fitted on a bounded sample of vectors
-(``sample_size``, taken by a hash of the id); a cell is a pair of centroids, and every vector is indexed in its cell. A
-query walks the pairs by summed distance, with a heap, until the cells it has passed hold ``share`` of all entries,
-and every entry of those cells is reranked by its exact inner product in double precision.
+(``sample_size``, taken by a hash of the id); a cell is a pair of centroids, and every vector is indexed in its cell. The
+inner product of a query and an entry of a cell is bounded by half: q.c plus |q| times the largest distance from the
+centroid, or |q| times the largest norm, whichever is less. A query walks the pairs by falling sum of these bounds, with a
+heap, until the cells it has passed hold ``share`` of all entries and no cell left can reach its ``nearest``-th score among
+the sampled vectors; every entry of the passed cells is reranked by its exact inner product in double precision. No cell
+that could hold an answer is left out, so the search is exact for vectors of any norms, whatever ``share`` is.
 
 Vectors of one cell meet in blocks, dealt by a hash of the vector itself, as many as the cell's size asks for, so a
 crowded cell is spread over tasks; a block keeps at most ``nearest`` + 1 ids of each distinct vector, which is all that an
 answer of ``nearest`` can hold. Answers of blocks are merged by query.
 
-The share to walk was set from recall measured against brute force (README). ``share`` = 1 is the exact search.
-
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 ties go to the smaller id; repeated ids are entries of their own, and a query never finds its own id; fewer candidates than
 ``nearest`` are all returned if the walk covers them; an empty table gives no rows; extra columns are ignored.
@@ -38,6 +39,8 @@ BLOCK, GROUP = 4096, 8192
 class Index:
     first: np.ndarray
     second: np.ndarray
+    ids: np.ndarray  # of the sampled vectors
+    sample: np.ndarray
 
     @property
     def half(self) -> int:
@@ -65,11 +68,28 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return centroids
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells in the order of summed distance (the multi-sequence walk), until they hold ``enough`` entries."""
+def at_most(q: np.ndarray, centroids: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Upper bound of the inner product of each row of ``q`` with any entry of each centroid."""
+    length = np.sqrt((q**2).sum(axis=1))[:, None]
+    bound = np.minimum(q @ centroids.T + length * radius, length * norm)
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
+def to_beat(ids: np.ndarray, q: np.ndarray, index: Index, nearest: int) -> np.ndarray:
+    """For each query a score that ``nearest`` sampled vectors of other ids have at least; -inf if there are fewer."""
+    if len(index.ids) < nearest:
+        return np.full(len(q), -np.inf)
+    scores = q @ index.sample.T
+    scores[(ids[:, None] == index.ids) | np.isnan(scores)] = -np.inf
+    return np.partition(scores, len(index.ids) - nearest, axis=1)[:, len(index.ids) - nearest]
+
+
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, limit: float = -np.inf) -> list[int]:
+    """Cells in the order of the sum (the multi-sequence walk), until they hold ``enough`` entries and the sums of all others
+    are above ``limit``."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < enough:
+    while heap and (held < enough or heap[0][0] <= limit):
         _, i, j = heapq.heappop(heap)
         cell = int(a[i]) * len(second) + int(b[j])
         if sizes[cell]:
@@ -96,6 +116,11 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.cumsum(rows * query, axis=1)[:, -1] if rows.shape[1] else np.zeros(len(rows))
 
 
+def rounding(query: np.ndarray, lengths: np.ndarray | float) -> np.ndarray | float:
+    """How far sums of the same products in another order may be from each other."""
+    return 8 * len(query) * np.finfo(float).eps * np.sqrt((query**2).sum()) * lengths
+
+
 def best_of_block(asked: list[tuple[int, np.ndarray, np.ndarray]], ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, nearest: int, all_cells: int) -> Iterator[tuple[int, int, float]]:
     """For each (query id, query, its cells): the nearest entries of the block in those cells."""
     order = np.argsort(ids, kind="stable")
@@ -106,6 +131,7 @@ def best_of_block(asked: list[tuple[int, np.ndarray, np.ndarray]], ids: np.ndarr
     at = np.append(np.searchsorted(group[by_group], np.arange(len(first))), len(ids))
     members = [ids[by_group[s : min(e, s + nearest + 1)]] for s, e in zip(at[:-1], at[1:], strict=True)]
     distinct, cell = keyed[first, 1:], keyed[first, 0].astype(np.int64)
+    lengths = np.sqrt((distinct**2).sum(axis=1))
     for lo in range(0, len(asked), 256):
         rough = np.array([q for _, q, _ in asked[lo : lo + 256]]) @ distinct.T
         for row, (query_id, query, visited) in zip(rough, asked[lo : lo + 256], strict=True):
@@ -115,8 +141,9 @@ def best_of_block(asked: list[tuple[int, np.ndarray, np.ndarray]], ids: np.ndarr
             if not len(open_):
                 continue
             k = min(nearest + 1, len(open_))
-            least = np.partition(row[open_], len(open_) - k)[len(open_) - k] - 1e-9
-            near = open_[row[open_] >= least]
+            error = rounding(query, lengths[open_])
+            least = np.partition(row[open_] - error, len(open_) - k)[len(open_) - k]
+            near = open_[row[open_] + error >= least]
             found = [(-s, int(v)) for s, g in zip(exact(query, distinct[near]).tolist(), near, strict=True) for v in members[g] if v != query_id]
             for s, v in heapq.nsmallest(nearest, found):
                 yield query_id, v, -s
@@ -148,11 +175,12 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
     total = lengths[dimensions]
     picked = picked.filter(F.size("v") == dimensions)
     point = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = matrix(picked.filter(point <= sample_size / total).select("v").toArrow()["v"].combine_chunks(), dimensions) if total else None
-    if not len(sample):
-        sample = matrix(picked.limit(1).select("v").toArrow()["v"].combine_chunks(), dimensions)
+    taken = picked.filter(point <= sample_size / total).select("vec_id", "v").toArrow()
+    if not taken.num_rows:
+        taken = picked.limit(1).select("vec_id", "v").toArrow()
+    sample = matrix(taken["v"].combine_chunks(), dimensions)
     half = dimensions // 2
-    index = spark.sparkContext.broadcast(Index(lloyd(sample[:, :half], centroids), lloyd(sample[:, half:], centroids)))
+    index = spark.sparkContext.broadcast(Index(lloyd(sample[:, :half], centroids), lloyd(sample[:, half:], centroids), taken["vec_id"].to_numpy(), sample))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,6 +191,25 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most centroids squared rows
         sizes[r["cell"]] = r["n"]
     first, many = blocks(sizes)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        books = (own.first, own.second)
+        far = [np.zeros((2, len(c))) for c in books]
+        for b in batches:
+            v, cell = matrix(b.column(0), dimensions), b.column(1).to_numpy()
+            for x, of, c, f in zip((v[:, :half], v[:, half:]), divmod(cell, len(own.second)), books, far, strict=True):
+                np.maximum.at(f[0], of, np.sqrt(((x - c[of]) ** 2).sum(axis=1)))
+                np.maximum.at(f[1], of, np.sqrt((x**2).sum(axis=1)))
+        for side, f in enumerate(far):
+            n = f.shape[1]
+            yield pa.record_batch([pa.array([side] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(f[0]), pa.array(f[1])], ["side", "c", "radius", "norm"])
+
+    reaches = [np.zeros((2, len(c))) for c in (index.value.first, index.value.second)]
+    each = entries.select("v", "cell").mapInArrow(reach, "side int, c int, radius double, norm double")
+    for r in each.groupBy("side", "c").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm")).collect():  # a row for each centroid
+        reaches[r["side"]][:, r["c"]] = r["radius"], r["norm"]
+    longest = float(np.sqrt(sum(f[1].max() ** 2 for f in reaches)))
     shipped = spark.sparkContext.broadcast((sizes, first, many))
     enough = int(np.ceil(share * total)) + nearest + 1
     # queries beyond GROUP are dealt to groups, and every group meets the entries on its own
@@ -174,10 +221,12 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 q = matrix(part.column(1), dimensions)
+                beat = to_beat(part.column(0).to_numpy(), q, own, nearest)
+                bounds = [at_most(x, c, *f) for x, c, f in zip((q[:, :half], q[:, half:]), (own.first, own.second), reaches, strict=True)]
                 at, where, visited = [], [], []
-                for i, (x, y) in enumerate(zip(distances(q[:, :half], own.first), distances(q[:, half:], own.second), strict=True)):
+                for i, (x, y) in enumerate(zip(*bounds, strict=True)):
                     routes: dict[int, list[int]] = {}
-                    for cell in walk(x, y, of, enough):
+                    for cell in walk(-x, -y, of, enough, rounding(q[i], longest) - beat[i]):
                         for block in range(start[cell], start[cell] + spread[cell]):
                             routes.setdefault(block, []).append(cell)
                     at += [i] * len(routes)

@@ -60,3 +60,44 @@ def test_walk_visits_cells_by_summed_distance():
     order = multi_index.walk(a, b, sizes, 30)
     sums = [a[c // 6] + b[c % 6] for c in order]
     assert sorted(order) == list(range(30)) and sums == sorted(sums)
+
+
+def test_mixed_norms_lose_nothing(spark):
+    given = [(r["vec_id"], np.array(r["embedding"])) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    for norms in (lambda r: r.uniform(0.5, 1.5), lambda r: r.lognormal(0, 0.5), lambda r: r.lognormal(0, 1)):
+        r = np.random.default_rng(2)
+        rows = [(i, (v * norms(r)).astype(np.float32).tolist()) for i, v in given]
+        want = brute(rows, 20)
+        for how in ({}, {"sample_size": 300, "share": 0.01}):
+            assert {q: [v for v, _ in x] for q, x in search(table(spark, rows), **how).items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_bounds_leave_cells_out_and_answers_in():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((40, 8))[r.integers(0, 40, 3000)] * r.lognormal(0, 1, 3000)[:, None] + 0.01 * r.standard_normal((3000, 8))
+    first, second = multi_index.lloyd(x[:, :4], 16), multi_index.lloyd(x[:, 4:], 16)
+    index = multi_index.Index(first, second, np.arange(3000), x)
+    cells = index.cells(x)
+    bounds = []
+    for h, of, c in ((x[:, :4], cells // len(second), first), (x[:, 4:], cells % len(second), second)):
+        far = [[np.linalg.norm(y, axis=1).max() if len(y) else 0 for y in (h[of == k] - d, h[of == k])] for k, d in enumerate(c)]
+        bounds.append(multi_index.at_most(h[:50], c, *np.array(far).T))
+    sizes, passed = np.bincount(cells, minlength=len(first) * len(second)), 0
+    for q, (a, b, beat) in enumerate(zip(*bounds, multi_index.to_beat(np.arange(50), x[:50], index, 20), strict=True)):
+        seen = multi_index.walk(-a, -b, sizes, 0, -beat + 1e-9)
+        best = [j for j in np.argsort(-(x @ x[q])) if j != q][:20]
+        assert set(cells[best]) <= set(seen)
+        passed += sizes[seen].sum()
+    assert passed < 0.9 * 50 * 3000
+
+
+def test_exact_ties_of_large_components():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        a, x, y = r.random(3) * 1e8
+        q = np.zeros(64)
+        q[[0, 32]] = a
+        have = r.random((40, 64)) * 1e8
+        have[::2, [0, 32]], have[1::2, [0, 32]] = (y, x), (x, y)
+        got = list(multi_index.best_of_block([(99, q, np.array([0]))], np.arange(40), np.zeros(40, int), have, 4, 1))
+        assert [v for _, v, _ in got] == [0, 1, 2, 3]
