@@ -29,6 +29,7 @@ from .common import word_hashes
 
 SEED = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
+HASHES = "__hashes"
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long, item_words long"
 
 
@@ -119,6 +120,14 @@ class Slice:
             for i, places in found.items():
                 yield i, np.array(places)
 
+    def contaminants(self, document: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int]], int]]:
+        """Items that the document covers to ``threshold`` at least, with their tiles and the words covered."""
+        for i, places in self.matches(document):
+            tiles = tile(document, self.items[i], places)
+            covered = sum(n for _, _, n in tiles)
+            if covered >= threshold * len(self.items[i]):
+                yield i, tiles, covered
+
 
 def slices(benchmark: DataFrame, slice_words: int) -> Iterator[Slice]:
     """The benchmark in parts of at most ``slice_words`` words (an item is never split)."""
@@ -148,12 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
             for batch in batches:
                 rows = []
                 for doc_id, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    document = words.values.to_numpy()
-                    for i, places in own.matches(document):
-                        tiles = tile(document, own.items[i], places)
-                        covered = sum(n for _, _, n in tiles)
-                        if covered >= threshold * len(own.items[i]):
-                            rows.append((doc_id, own.ids[i], covered / len(own.items[i]), len(tiles), tiles[0][2], len(own.items[i])))
+                    for i, tiles, covered in own.contaminants(words.values.to_numpy(), threshold):
+                        rows.append((doc_id, own.ids[i], covered / len(own.items[i]), len(tiles), tiles[0][2], len(own.items[i])))
                 if rows:
                     yield pa.record_batch(list(map(pa.array, zip(*rows, strict=True))), ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile", "item_words"])
 
@@ -161,7 +166,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     return functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """The rows of ``docs``, as they are, that no benchmark item contaminates."""
-    dirty = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("__dirty")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, slice_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, as they are, that no benchmark item contaminates; each row is judged by its own text."""
+    spark = docs.sparkSession
+    kept, n = docs.withColumn(HASHES, word_hashes(F.col("text"))), len(docs.columns)
+    for part in slices(benchmark, slice_words):
+        shipped = spark.sparkContext.broadcast(part)
+
+        def clean(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dirty = [next(shipped.value.contaminants(words.values.to_numpy(), threshold), None) is not None for words in batch.column(n)]
+                yield batch.filter(pa.array([not d for d in dirty], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, kept.schema)
+    return kept.select(*docs.columns)

@@ -81,6 +81,20 @@ def test_reordered_passages_are_caught_and_clean_documents_left(spark):
     assert tiling.contaminated(docs, bench.limit(0)).collect() == [] and tiling.contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_a_contaminated_row_takes_no_clean_row_of_its_id(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    first, second = prose(30), prose(30)
+    texts = [prose(20) + " " + first, prose(50), None, prose(50), prose(20) + " " + second, second, prose(50), prose(50)]
+    docs = documents(spark, texts, [None, None, None, 7, 7, None, 7, 8])
+    bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    for slice_words in (1_000_000, 30):
+        kept = tiling.decontaminated(docs, bench, slice_words=slice_words)
+        assert kept.schema == docs.schema
+        assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=repr) == sorted(zip([None, None, 7, 7, 8], [texts[i] for i in (1, 2, 3, 6, 7)], strict=True), key=repr)
+    assert tiling.decontaminated(docs, bench.limit(0)).count() == len(texts)
+
+
 def test_toxic_documents_get_the_lowest_grade(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     learn = labels.filter(F.col("doc_id") % 3 != 0)
