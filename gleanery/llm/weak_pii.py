@@ -7,8 +7,9 @@ Five labelers vote for, against or not at all on each candidate: the base rule,
 words before it, and what it touches. Spark counts the vote patterns of all candidates; the table of patterns is bounded by
 kinds times 3**5 and is all that expectation-maximisation needs to estimate how reliable each labeler is. A logistic
 classifier on the span's shape and context is then fitted to the posteriors of a bounded sample (``max_spans``, by a
-hash). Base spans always count; other candidates count if the classifier gives them ``least`` or more and they don't overlap
-a base span or an earlier one.
+hash). Base spans always count, so candidates that overlap one are left out at once. All others are voted on and classified,
+whether they overlap each other or not; those count that the classifier gives ``least`` or more, and only of such ones that
+overlap, the likeliest stays.
 
 Defined cases: a null or empty text has no spans; without candidates nothing is fitted and only base spans count; repeated
 rows are scanned once each; a null doc_id is kept; an empty table gives no rows; extra columns are ignored.
@@ -16,10 +17,11 @@ rows are scanned once each; a null doc_id is kept; an empty table gives no rows;
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,7 +96,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str) -> list[Span]:
-    """All candidates, base ones first, without votes; those that overlap a base span or an earlier one are left out."""
+    """All candidates, base ones first, without votes; those that overlap a base span are left out, others may overlap."""
     base, more = [Span("email", s, e, True) for s, e in emails(text)], []
     for m in IP.finditer(text):
         fits = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
@@ -112,19 +114,33 @@ def candidates(text: str) -> list[Span]:
     base.sort(key=lambda s: (KINDS.index(s.kind), s.start))
     if not more:
         return base
-    return base + without_overlaps(more, base)
+    return base + sorted(clear(more, base), key=by_place)
 
 
-def without_overlaps(spans: list[Span], taken: list[Span]) -> list[Span]:
-    """Spans that overlap neither ``taken`` nor an earlier span; leftmost first, then longest, then by kind."""
-    fixed, kept, free = sorted((s.start, s.end) for s in taken), [], 0
-    starts, reach = [f[0] for f in fixed], np.maximum.accumulate([e for _, e in fixed]) if fixed else []
-    for s in sorted(spans, key=lambda s: (s.start, -s.end, KINDS.index(s.kind))):
-        # of all taken spans that begin before this one ends, the farthest reach decides
-        before = int(np.searchsorted(starts, s.end)) if fixed else 0
-        if s.start >= free and (not before or reach[before - 1] <= s.start):
+def by_place(s: Span) -> tuple:
+    """Leftmost first, then longest, then by kind."""
+    return s.start, -s.end, KINDS.index(s.kind)
+
+
+def clear(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Spans that overlap none of ``taken``."""
+    fixed = sorted((s.start, s.end) for s in taken)
+    if not fixed:
+        return spans
+    starts, reach = [f[0] for f in fixed], np.maximum.accumulate([e for _, e in fixed])
+    # of all taken spans that begin before a span ends, the farthest reach decides
+    before = np.searchsorted(starts, [s.end for s in spans]).tolist()
+    return [s for s, n in zip(spans, before, strict=True) if not n or reach[n - 1] <= s.start]
+
+
+def without_overlaps(spans: list[Span], taken: list[Span], order: Callable[[Span], tuple] = by_place) -> list[Span]:
+    """Spans that overlap neither ``taken`` nor one that comes before them in the order."""
+    kept, held = [], []  # held: the kept places, sorted
+    for s in sorted(clear(spans, taken), key=order):
+        i = bisect.bisect(held, (s.start, s.end))
+        if (not i or held[i - 1][1] <= s.start) and (i == len(held) or held[i][0] >= s.end):
+            held.insert(i, (s.start, s.end))
             kept.append(s)
-            free = s.end
     return kept
 
 
@@ -251,10 +267,12 @@ def fit(table: DataFrame, max_spans: int = 20_000) -> Model:
 
 
 def decided(spans: list[Span], model: Model, least: float) -> list[Span]:
-    """The spans that count, by kind and then by start."""
-    more = [s for s in spans if not s.base]
-    more = [s for s, p in zip(more, model.chances(more), strict=True) if p >= least]
-    return sorted([*(s for s in spans if s.base), *more], key=lambda s: (KINDS.index(s.kind), s.start))
+    """The spans that count, by kind and then by start: base ones, and of accepted ones that overlap the likeliest, then the
+    longest."""
+    base, more = [s for s in spans if s.base], [s for s in spans if not s.base]
+    chance = {id(s): p for s, p in zip(more, model.chances(more), strict=True) if p >= least}
+    more = without_overlaps([s for s in more if id(s) in chance], base, lambda s: (-chance[id(s)], s.start - s.end, *by_place(s)))
+    return sorted([*base, *more], key=lambda s: (KINDS.index(s.kind), s.start))
 
 
 def listed(spans: list[Span]) -> str:

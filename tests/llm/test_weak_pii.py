@@ -82,6 +82,33 @@ def test_labelers_learn_to_add_and_to_leave(spark):
     assert sum(rows[i]["n_added"] for i in range(400, 600)) == 0
 
 
+def test_numbers_within_a_longer_candidate_are_found(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(str(r.randrange(2, 9)) for _ in range(n))
+    phones, ids = [f"{digits(3)}-{digits(3)}-{digits(4)}" for _ in range(200)], [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(200)]
+    texts = [f"Call {n}" + (" 2021" if i % 2 else " today") for i, n in enumerate(phones)] + [f"ssn {n}" + (" 1985" if i % 2 else " given") for i, n in enumerate(ids)]
+    texts += [f"order {digits(14)} shipped" for _ in range(200)]
+    docs = documents(spark, texts)
+    spans = {x["doc_id"]: x["spans"] for x in weak_pii.find_personal_data(docs).collect()}
+    assert sum(spans[i] == "phone:5:17" for i in range(200)) >= 195
+    assert sum(spans[i] == "id:4:15" for i in range(200, 400)) >= 195
+    assert not any(spans[i] for i in range(400, 600))
+    masked = {x["doc_id"]: x["text"] for x in weak_pii.without_personal_data(docs).collect()}
+    assert sum(n in masked[i] for i, n in enumerate(phones + ids)) <= 10
+
+
+def test_of_accepted_overlaps_the_likeliest_stays():
+    class Fixed(weak_pii.Model):
+        def chances(self, spans):
+            return [{"card": 0.6, "phone": 0.9, "id": 0.4}[s.kind] for s in spans]
+
+    text = "Call 555-123-4567 2021, +1 (743) 555-3824"
+    spans = weak_pii.candidates(text)
+    assert [(s.kind, text[s.start : s.end]) for s in spans] == [("phone", "+1 (743) 555-3824"), ("card", "555-123-4567 2021"), ("phone", "555-123-4567")]
+    kept = lambda least: [text[s.start : s.end] for s in weak_pii.decided(spans, Fixed({}, None), least)]
+    assert kept(0.5) == kept(0.7) == ["555-123-4567", "+1 (743) 555-3824"] and kept(0.95) == ["+1 (743) 555-3824"]
+
+
 def test_em_finds_the_labeler_that_errs():
     r = random.Random(3)
     counts = {}
