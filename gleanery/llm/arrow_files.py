@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, staged_path
+from .common import held_to_small_batches, staged, staged_path
 from .tokens import encoder
 
 FILE_SCHEMA = "shard long, path string, n_docs long, n_ids long"
@@ -170,4 +170,5 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 def token_file_round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes all documents and reads the files back."""
+    held_to_small_batches(spark)
     return read_token_files(write_token_files(docs, staged_path(spark, "ids"), tokenizer_path, end_id))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, word_hashes
+from .common import held_to_small_batches, staged, unused, word_hashes
 from .components import components
 from .tiling import rolling
 
@@ -48,6 +48,7 @@ SMALL = 64
 BLOCK = 1024
 BINS = 64
 BROADCAST_ROWS = 100_000
+WIDE = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -244,12 +245,14 @@ def links_in_node(node: int, names: list[int], sets: list[np.ndarray], places: l
         by_column = np.argsort(column, kind="stable")
         owner, column = owner[by_column], column[by_column]
         both = np.zeros(open_.shape, np.float32)
-        for lo in range(0, int(common.sum()), 4096):
-            a, b = np.searchsorted(column, (lo, lo + 4096))
-            part = np.zeros((len(at), 4096), np.float32)
+        for lo in range(0, int(common.sum()), WIDE):
+            a, b = np.searchsorted(column, (lo, lo + WIDE))
+            part = np.zeros((len(at), WIDE), np.float32)
             part[owner[a:b], column[a:b] - lo] = 1
             both += part @ part.T
-        linked = open_ & (both / np.maximum(size[:, None] + size - both.astype(np.float64), 1) >= threshold)
+        for lo in range(0, len(at), 256):  # in stripes, so that doubles of all pairs never stand in memory
+            some = slice(lo, lo + 256)
+            linked[some] = open_[some] & (both[some] / np.maximum(size[some, None] + size - both[some].astype(np.float64), 1) >= threshold)
     linked |= linked.T
     degree = linked.sum(axis=1)
     first, left = np.arange(len(at)), degree > 0
@@ -283,6 +286,7 @@ def compared(leaves: DataFrame, tokens: DataFrame, threshold: float, block: int)
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, cls), and classes with a set: cls, class_id (smallest doc_id of all classes joined by links), keeper
     (doc_id and key of that document), copies (rows of the class) and links (other classes it is linked with)."""
+    held_to_small_batches(docs.sparkSession)
     runs = runs_for(recall, depth)
     rows = staged(with_sets(docs, runs, depth, threshold), "path-sets")
     some = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
@@ -319,8 +323,9 @@ def one_of_each(docs: DataFrame, **how: float) -> DataFrame:
     """The rows of ``docs``, as they are, without the near copies: of each class joined by links the row with the smallest
     doc_id stays (of repeated rows, one). Rows without a set all stay."""
     rows, classes = near_copies(docs, **how)
-    kept = classes.select("keeper.doc_id", "keeper.key").distinct().select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__kept"))
-    marked = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": F.xxhash64("text"), "__any": F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))})
-    without = marked.filter(~F.col("__any"))
-    copies = marked.filter("__any").join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_semi")
-    return copies.dropDuplicates(["__own_id", "__own_key"]).union(without).select(*docs.columns)
+    own_id, own_key = unused(docs, "own_id"), unused(docs, "own_key")
+    kept = classes.select("keeper.doc_id", "keeper.key").distinct().select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    some = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    marked = docs.filter(some).withColumns({own_id: F.col("doc_id").cast("long"), own_key: F.xxhash64("text")}).alias("d")
+    copies = marked.join(kept.alias("k"), F.col(f"d.{own_id}").eqNullSafe(F.col("k.kept_id")) & (F.col(f"d.{own_key}") == F.col("k.kept_key")), "left_semi")
+    return copies.dropDuplicates([own_id, own_key]).select(*docs.columns).union(docs.filter(~some))

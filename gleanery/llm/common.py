@@ -40,6 +40,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held_to_small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From here on this session sends at most ``size`` to a Python task at once, unless its setting is lower. Spark's own
+    64 MB stand in an executor several times: as rows, as vectors, and as Python's copy, for each task that runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    amount = lambda x: int(x.rstrip("bkmg")) * units.get(x.rstrip("b")[-1:], 1)
+    now = amount(spark.conf.get(key).lower())
+    if now <= 0 or now > amount(size):
+        spark.conf.set(key, size)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_hashes(text: Column) -> Column:
     """Words (runs of letters and digits, lower case) of a text as an array of 64-bit hashes; null text has none."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")

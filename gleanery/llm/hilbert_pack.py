@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import held_to_small_batches, staged
 from .tokens import encoder
 
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
@@ -140,6 +140,7 @@ class Sequences:
 
 def pack_along_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int = 1024) -> DataFrame:
     """The pieces of all documents; sequence ids count within a range of the curve, whose number is in the bits above 32."""
+    held_to_small_batches(docs.sparkSession)
     width = encoder(tokenizer_path).dtype.str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

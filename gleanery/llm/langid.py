@@ -5,12 +5,13 @@ mean log frequency of its known n-grams of the longest order that has any, from
 score is the sum over its words; the language with the largest sum is predicted.
 
 The model is fitted on a bounded sample of labelled texts: at most about ``texts_per_language`` of each language, taken
-by a hash of the key, so the sample does not depend on file order. Its tables are bounded by ``max_words`` and
-``max_grams`` entries over all languages. Prediction covers all rows and whole texts.
+by a hash of the key, so the sample does not depend on file order. Its tables hold about ``max_words`` and ``max_grams``
+entries over all languages, the commonest of each. Prediction covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is everything when there is nothing to
 learn from; texts without a known word or n-gram get the first language by name with score 1 / number of languages; ties
-go to the first language by name; repeated rows are predicted once each; extra columns are ignored.
+go to the first language by name; repeated rows are predicted once each; an empty table gives no rows; extra columns are
+ignored. As a filter: where nothing can be learned, every text with a letter stays.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import held_to_small_batches
+
 LONGEST = 4
 SMOOTHING = 0.1
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,12 +55,14 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def _bounded(counts: DataFrame, key: str, most: int) -> DataFrame:
-    """The commonest entries of each language, all those above the smallest count that keeps within ``most``. The
-    histogram of counts decides, so no language's entries meet in one task."""
+    """About ``most`` entries of each language, the commonest first; of the last count that has room, the part whose hashes
+    are smallest. The histogram of counts decides (a row for each language and distinct count), so no language's entries
+    meet in one task."""
     sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("entries"))
-    above = sizes.withColumn("upto", F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
-    least = above.filter(F.col("upto") <= most).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select(key, "lang", "n")
+    before = F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n"))) - F.col("entries")
+    room = sizes.select("lang", "n", ((F.lit(most) - before) / F.col("entries")).alias("room")).filter("room > 0")
+    point = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
+    return counts.join(F.broadcast(room), ["lang", "n"]).filter(point < F.col("room")).select(key, "lang", "n")
 
 
 def _scores(rows: list, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
@@ -103,10 +108,14 @@ def fit(labelled: DataFrame, texts_per_language: int = 4000, max_words: int = 60
     return Model(languages, words, word_scores, pieces, gram_scores)
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(any(map(str.isalpha, w.group())) for w in WORD.finditer(text))
+
+
 class Scorer:
     """Scores words of one task; remembers at most ``limit`` unknown ones."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 50_000):
         self.model, self.limit = model, limit
         self.memo: dict[str, np.ndarray] = {}
         self.nothing = np.zeros(len(model.languages))
@@ -126,11 +135,9 @@ class Scorer:
         return found
 
     def text(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages:
+        if not self.model.languages or not lettered(text):
             return UNKNOWN, 0.0
         words = Counter(WORD.findall(text.lower()))
-        if not words or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
         rows, times, total = [], [], self.nothing.copy()
         for word, n in words.items():
             row = self.model.words.get(word)
@@ -147,7 +154,8 @@ class Scorer:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; the prediction sees the text alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams rows
+    held_to_small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # about max_words + max_grams rows
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
@@ -169,15 +177,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def identified_only(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, as they are, whose language is identified: the text has letters and one learned language
-    holds at least ``least_score`` of the probability."""
-    model = fit(docs.filter(~held_out(F.col("doc_id").cast("long"))))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    holds at least ``least_score`` of the probability. Where no text has a language to learn from, texts with letters stay."""
+    held_to_small_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(F.col("doc_id").cast("long")))))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
+        stays = (lambda t: scorer.text(t)[1] >= least_score) if shipped.value.languages else lettered
         for batch in batches:
-            found = [scorer.text(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
+            texts = (t.as_py() for t in batch.column(at))
+            yield batch.filter(pa.array([lettered(t) and stays(t) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

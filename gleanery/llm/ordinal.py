@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import held_to_small_batches, word_hashes
 
 WIDTH_BITS = 18
 GRADES = 3
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 12_000) -> Model:
 def score(docs: DataFrame, model: Model, most_floor: float = 0.3) -> DataFrame:
     """Expected grade, chance of the top grade, chance of the lowest, and whether the document is selected: the lowest
     grade (toxic) has a chance below ``most_floor``."""
+    held_to_small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

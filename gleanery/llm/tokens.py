@@ -1,12 +1,15 @@
 """Token ids of whole texts, by the tokenizers library, with a bounded memo of pre-tokens.
 
 The merges of a BPE vocabulary never cross the pieces that its pre-tokenizer cuts. A text's ids are therefore the
-ids of its pieces in order, and pieces repeat far more often than texts do. The memo is used for texts within the
-Latin blocks, where the cutting pattern can be written out; any other text goes to the library whole.
+ids of its pieces in order, and pieces repeat far more often than texts do. The memo is used for the two kinds of
+tokenizer files whose cutting pattern is written out here, and for texts within the Latin blocks that hold none of the
+file's added tokens; any other text, and any other kind of file, goes to the library whole. All ids equal those of
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -24,32 +27,73 @@ PIECES = {
     "bytes": re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
     "words": re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+"),
 }
+#: What a file of each kind declares.
+DECLARED = {
+    "bytes": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    "words": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+}
 #: Byte-level vocabularies write a visible Latin-1 byte as itself and the others as the signs from U+0100 on, in order.
 VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: b if b in VISIBLE else 0x100 + sum(x not in VISIBLE for x in range(b)) for b in range(256)}
 
 
+def kind_of(declared: dict) -> str | None:
+    """The kind in ``PIECES`` of a tokenizer file, None for any other."""
+    of = lambda part: json.dumps(declared.get(part), sort_keys=True)
+    model = declared.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or any(t.get("normalized") for t in declared.get("added_tokens") or []):
+        return None
+    for kind, known in DECLARED.items():
+        if all(of(part) == json.dumps(known[part], sort_keys=True) for part in known):
+            return kind
+    return None
+
+
 class Encoder(dict):
-    """piece -> its ids as bytes. No further pieces are remembered beyond ``limit`` before all are forgotten; a million take
-    about 200 MB. A piece that is not known goes to the library's merge model, in the signs that stand for its bytes."""
+    """piece -> its ids as bytes. When half of ``limit`` bytes are held (each piece counts with ``OVERHEAD`` for its objects),
+    what is held becomes the older half, from which pieces come back when they are seen again; the older half of before is
+    forgotten. A piece that is not known goes to the library's merge model, in the signs that stand for its bytes."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    OVERHEAD = 250
+
+    def __init__(self, path: str, limit: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's own threads would only wait for cores that tasks use
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.limit, self.model = limit, self.library.model
+        self.limit, self.held, self.older, self.model = limit // 2, 0, {}, self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.lower = self.library.normalizer is not None
-        self.pieces = PIECES["words" if self.lower else "bytes"].findall
+        with open(path, encoding="utf-8") as file:
+            declared = json.load(file)
+        self.kind = kind_of(declared)
+        self.lower = self.kind == "words"
+        self.added = [t["content"] for t in declared.get("added_tokens") or []]
+        self.pieces = PIECES[self.kind].findall if self.kind else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))
+            ids = array(self.dtype.char, [t.id for t in found]).tobytes()
+        size = self.OVERHEAD + 2 * len(piece) + len(ids)
+        if self.held + size > self.limit:
+            self.older = dict(self)
             self.clear()
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))
-        self[piece] = ids = array(self.dtype.char, [t.id for t in found]).tobytes()
+            self.held = 0
+        if size <= self.limit:
+            self[piece] = ids
+            self.held += size
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -57,8 +101,10 @@ class Encoder(dict):
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text; the array is read-only."""
+        if self.pieces is None or BEYOND.search(text) or any(t in text for t in self.added):
+            return np.frombuffer(self.whole(text), self.dtype)
         cased = text.lower() if self.lower else text
-        if BEYOND.search(text) or self.lower and BEYOND.search(cased):
+        if self.lower and BEYOND.search(cased):
             return np.frombuffer(self.whole(text), self.dtype)
         return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(cased))), self.dtype)
 

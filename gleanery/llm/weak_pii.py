@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged
+from .common import held_to_small_batches, staged, unused
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
@@ -237,20 +238,26 @@ def train(rows: list[list[int]], targets: np.ndarray, steps: int = 200, rate: fl
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<int>,features:array<int>>>"
 
 
-def candidate_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the candidates of each row; staged, so that texts are scanned once."""
+SPANS_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
+
+
+def candidate_table(docs: DataFrame, spans: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and the candidates of each row's text as ``spans``; staged, so that texts are scanned
+    once."""
+    held_to_small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
         for batch in batches:
-            found = [[vars(s) for s in scanned(t.as_py())] for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
+            found = pa.array([[vars(s) for s in scanned(t.as_py())] for t in batch.column(0)], SPANS_TYPE)
+            yield pa.record_batch([*batch.columns[1:], found], [*batch.schema.names[1:], spans])
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"doc_id long, spans {SPAN}"), "pii-spans")
+    picked = docs.select(F.col("text").alias(unused(docs, "scanned")), *keep)
+    schema = T.StructType([*picked.schema.fields[1:], *T.StructType.fromDDL(f"{spans} {SPAN}").fields])
+    return staged(picked.mapInArrow(scan, schema), "pii-spans")
 
 
-def fit(table: DataFrame, max_spans: int = 20_000) -> Model:
-    each = table.select("doc_id", F.explode("spans").alias("s"))
+def fit(table: DataFrame, spans: str, max_spans: int = 20_000) -> Model:
+    each = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(spans).alias("s"))
     counted = each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()  # at most kinds * 3**5 rows
     patterns = sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in counted)
     if not patterns:
@@ -284,8 +291,8 @@ DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 def find_personal_data(docs: DataFrame, least: float = 0.5, max_spans: int = 20_000) -> DataFrame:
     """doc_id, the number of base spans by kind, the digest of the base spans, all spans, and how many the method added."""
-    table = candidate_table(docs)
-    shipped = docs.sparkSession.sparkContext.broadcast(fit(table, max_spans))  # WIDTH weights
+    table = candidate_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans", ["doc_id"])
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(table, "spans", max_spans))  # WIDTH weights
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,18 +322,22 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def without_personal_data(docs: DataFrame, least: float = 0.5, max_spans: int = 20_000) -> DataFrame:
     """The rows of ``docs`` with every span of their texts masked; n_chars, where there is such a column, follows."""
-    shipped = docs.sparkSession.sparkContext.broadcast(fit(candidate_table(docs), max_spans))
-    at = docs.columns.index("text")
+    spans = unused(docs, "spans")
+    table = candidate_table(docs, spans, docs.columns)
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(table, spans, max_spans))
+    at, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text in batch.column(at).to_pylist():
-                spans = decided(scanned(text), shipped.value, least)
-                texts.append(masked(text, spans) if spans else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    out = docs.mapInArrow(mask, docs.schema)
-    if "n_chars" not in docs.columns:
-        return out
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+            texts = batch.column(at).to_pylist()
+            for i, found in enumerate(batch.column(len(docs_columns)).to_pylist()):
+                if found and (spans := decided([Span(**s) for s in found], shipped.value, least)):
+                    texts[i] = masked(texts[i], spans)
+            columns = batch.columns[: len(docs_columns)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if length is not None:
+                columns[length] = pa.array([None if t is None else len(t) for t in texts]).cast(columns[length].type)
+            yield pa.record_batch(columns, docs_columns)
+
+    docs_columns = docs.columns
+    return table.mapInArrow(mask, docs.schema)

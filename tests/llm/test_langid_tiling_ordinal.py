@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,7 +64,67 @@ def test_tiles_are_those_of_trying_every_pair():
         item = [r.randrange(6) for _ in range(r.randrange(5, 25))]
         doc = [r.randrange(6) for _ in range(20)] + item[10:] + [r.randrange(6) for _ in range(3)] + item[:10] + item[2:9]
         a, b = np.array(doc, np.int64), np.array(item, np.int64)
-        assert tiling.tile(a, b, np.arange(len(doc) - 4)) == brute_tiles(doc, item, 5)
+        own = tiling.Benchmark.of([(1, b)])
+        assert own.tiles(a, 0, list(range(len(doc) - 4))) == brute_tiles(doc, item, 5)
+
+
+def test_long_runs_of_one_word_cost_little_and_tile_alike():
+    r = random.Random(1)
+    for _ in range(60):
+        item = [r.randrange(2) for _ in range(6)] + [1] * r.randrange(5, 12) + [r.randrange(2) for _ in range(4)]
+        doc = [r.randrange(2) for _ in range(5)] + [1] * 150 + item[:8] + [0] * 120 + item[3:]
+        own = tiling.Benchmark.of([(1, np.array(item, np.int64))])
+        assert own.tiles(np.array(doc, np.int64), 0, list(range(len(doc) - 4))) == brute_tiles(doc, item, 5)
+    own = tiling.Benchmark.of([(1, np.ones(200, np.int64))])
+    assert len(tiling.telling_places(np.ones(100_000, np.int64), list(range(99_996)), 200)) <= 601
+    assert own.tiles(np.ones(100_000, np.int64), 0, list(range(99_996))) == [(0, 0, 200)]
+
+
+def brute_contaminated(docs, items, threshold):
+    out = []
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    for doc_id, text in docs:
+        for item_id, item in items:
+            d, i = words(text), words(item)
+            if not i or not d:
+                continue
+            if len(i) < 5:
+                tiles = [(0, 0, len(i))] if d == i else []
+            else:
+                tiles = brute_tiles(d, i, 5)
+            covered = sum(t[2] for t in tiles)
+            if covered >= threshold * len(i):
+                out.append((doc_id, item_id, covered / len(i), len(tiles), tiles[0][2], len(i)))
+    return sorted(out, key=repr)
+
+
+def test_query_equals_tiling_every_document_against_every_item(spark):
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(12)}" for _ in range(n)]
+    items = [(i, " ".join(prose(r.randrange(1, 16)))) for i in range(12)] + [(None, "w1 w2 w3 w4 w5 w6"), (3, None), (4, "?!")]
+    docs = []
+    for i in range(40):
+        parts = [prose(r.randrange(1, 30)), *(t.split()[r.randrange(3) :] for _, t in r.sample(items[:13], 2))]
+        docs.append((i % 9 or None, " ".join(sum(r.sample(parts, 3), []))))
+    docs += [(50, items[0][1]), (51, " ".join(items[1][1].split()[:3])), (52, None), (53, ""), (54, "w1 w2"), docs[3], docs[3]]
+    docs += [(55 + i, t) for i, (_, t) in enumerate(items[:12])]
+    frame = documents(spark, [t for _, t in docs], [i for i, _ in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contaminated(docs, items, 0.6)
+    assert len(want) > 20 and any(w[5] < 5 for w in want)
+    for most in (tiling.BROADCAST_WORDS, 0):  # sent to the tasks, and joined by seeds
+        assert sorted(map(tuple, tiling.contaminated(frame, bench, broadcast_words=most).collect()), key=repr) == want
+        kept = tiling.decontaminated(frame, bench, broadcast_words=most)
+        dirty = {t for i, t in docs if any(w[0] == i for w in want) and brute_contaminated([(i, t)], items, 0.6)}
+        assert kept.schema == frame.schema
+        assert sorted((str((x["doc_id"], x["text"])) for x in kept.collect())) == sorted(str((i, t)) for i, t in docs if t not in dirty)
+
+
+def test_one_short_answer_takes_no_other_document(spark):
+    docs = documents(spark, ["yes", "Yes!", "yes, of course it is so", "no"])
+    bench = spark.createDataFrame([(1, "yes")], "item_id long, text string")
+    for most in (1000, 0):
+        assert sorted(x["doc_id"] for x in tiling.contaminated(docs, bench, broadcast_words=most).collect()) == [0, 1]
 
 
 def test_reordered_passages_are_caught_and_clean_documents_left(spark):
@@ -75,7 +136,7 @@ def test_reordered_passages_are_caught_and_clean_documents_left(spark):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, ""), (10, "two words"), (7, " ".join(item))], "item_id long, text string")
     got = [(x["doc_id"], x["item_id"], x["coverage"]) for x in tiling.contaminated(docs, bench).collect()]
     assert sorted(got) == [(0, 7, 1.0)] * 4 + [(1, 7, 1.0)] * 2
-    assert sorted(tiling.contaminated(docs, bench, slice_words=10).collect()) == sorted(tiling.contaminated(docs, bench).collect())
+    assert sorted(tiling.contaminated(docs, bench, broadcast_words=10).collect()) == sorted(tiling.contaminated(docs, bench).collect())
     kept = tiling.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 4, 5]
     assert tiling.contaminated(docs, bench.limit(0)).collect() == [] and tiling.contaminated(docs.limit(0), bench).collect() == []
@@ -88,8 +149,8 @@ def test_a_contaminated_row_takes_no_clean_row_of_its_id(spark):
     texts = [prose(20) + " " + first, prose(50), None, prose(50), prose(20) + " " + second, second, prose(50), prose(50)]
     docs = documents(spark, texts, [None, None, None, 7, 7, None, 7, 8])
     bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
-    for slice_words in (1_000_000, 30):
-        kept = tiling.decontaminated(docs, bench, slice_words=slice_words)
+    for most in (1_000_000, 30):
+        kept = tiling.decontaminated(docs, bench, broadcast_words=most)
         assert kept.schema == docs.schema
         assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=repr) == sorted(zip([None, None, 7, 7, 8], [texts[i] for i in (1, 2, 3, 6, 7)], strict=True), key=repr)
     assert tiling.decontaminated(docs, bench.limit(0)).count() == len(texts)

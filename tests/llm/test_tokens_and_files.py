@@ -1,4 +1,5 @@
 import functools
+import json
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gleanery.llm import arrow_files, hilbert_pack
-from gleanery.llm.tokens import encoder
+from gleanery.llm.tokens import Encoder, encoder
 
 from .fixtures import awkward, documents
 
@@ -18,9 +19,7 @@ BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_b
 
 @functools.cache
 def library(path):
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -30,6 +29,38 @@ def test_memo_gives_the_librarys_ids(path, text):
     assert encoder(path).ids(text).tolist() == library(path).encode(text, add_special_tokens=False).ids
 
 
+ADDED = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "endoftext", "|>", " ", "x", "X", "é", "word", "'s"])).map("".join)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=300, deadline=None)
+@given(text=ADDED)
+def test_added_tokens_in_a_text_are_what_the_library_makes_of_them(path, text):
+    assert encoder(path).ids(text).tolist() == library(path).encode(text, add_special_tokens=False).ids
+
+
+def test_other_kinds_of_files_are_encoded_whole(tmp_path):
+    for part, value in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "Lowercase"})):
+        with open(BYTES, encoding="utf-8") as file:
+            declared = json.load(file) | {part: value}
+        path = str(tmp_path / f"{part}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(declared, file)
+        own = Encoder(path)
+        assert own.kind is None
+        for text in ("Hello there, it's 42", "<|endoftext|>x", ""):
+            assert own.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert [Encoder(p).kind for p in (BYTES, WORDS)] == ["bytes", "words"]
+
+
+def test_memo_keeps_within_its_bytes():
+    own = Encoder(BYTES, limit=10_000)
+    for i in range(500):
+        text = f"piece{'x' * (i % 50)} number {'y' * (i % 3000)}"
+        assert own.ids(text).tolist() == library(BYTES).encode(text, add_special_tokens=False).ids
+        assert own.held <= 10_000 and len(own) * Encoder.OVERHEAD <= 10_000
+
+
 def expected_ids(path, text, end):
     return np.array([*library(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
