@@ -13,7 +13,8 @@ similarity.
 
 Before texts are read again for verification, sets meet in their nodes as sketches of 64 minima; pairs whose sketches agree
 in five standard errors fewer places than a pair at the threshold would are not similar, and a set without any other pair
-takes no further part.
+takes no further part. A pair at exactly the threshold is lost by that with a chance below one in a million, one above
+it with less; that is beside the 0.001 that the runs allow.
 
 Each set carries the list of the nodes in which it is compared. A pair is counted only in the smallest node that both
 sets have, so the numbers of links are exact counts of the distinct links found although pairs are never written:
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_to_small_batches, staged, unused, word_hashes
+from .common import discard, held_to_small_batches, staged, unused, word_hashes
 from .components import components
 from .tiling import rolling
 
@@ -133,7 +134,7 @@ def with_sets(docs: DataFrame, runs: int, depth: int, threshold: float) -> DataF
 
 
 def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and its tokens, for the classes of ``wanted`` (doc_id and key of one text of each). Texts are read again rather
+    """cid and its tokens, for the classes of ``wanted`` (a staged table: doc_id and key of one text of each). Texts are read again rather
     than kept as tokens, which would take more room than the texts. A short list of wanted texts is broadcast; a longer
     one meets the texts in a shuffle."""
 
@@ -142,7 +143,6 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(w.values.to_numpy()).tobytes() for w in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
-    wanted = staged(wanted, "path-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
@@ -159,13 +159,14 @@ def distinct_nodes(rows: DataFrame) -> DataFrame:
     return rows.join(one, "node")
 
 
-def split_nodes(classes: DataFrame, depth: int, small: int) -> DataFrame:
+def split_nodes(classes: DataFrame, depth: int, small: int) -> tuple[DataFrame, list[DataFrame]]:
     """cid, node, n of the nodes in which sets are compared: those of at most ``small`` sets, and all that are left at the
-    last level."""
-    active, leaves = classes.select("cid", F.explode(F.get("nodes", F.lit(0))).alias("node")), []
+    last level; and the staged tables behind it."""
+    active, leaves, levels = classes.select("cid", F.explode(F.get("nodes", F.lit(0))).alias("node")), [], []
     for level in range(1, depth + 1):
         sizes = active.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         held = staged(active.join(sizes, "node"), "path-nodes")
+        levels.append(held)
         if level == depth or held.filter(F.col("n") > small).isEmpty():
             leaves.append(held.select("cid", "node"))
             break
@@ -174,7 +175,7 @@ def split_nodes(classes: DataFrame, depth: int, small: int) -> DataFrame:
         parent = lambda i: F.get(F.get("nodes", F.lit(level - 1)), F.get(F.get("parents", F.lit(level)), i))  # noqa: B023, E731
         below = F.filter(F.get("nodes", F.lit(level)), lambda x, i: F.array_contains("crowded", parent(i)))  # noqa: B023
         active = classes.select("cid", "nodes", "parents").join(crowded, "cid").select("cid", F.explode(below).alias("node"))
-    return distinct_nodes(functools.reduce(DataFrame.union, leaves))
+    return distinct_nodes(functools.reduce(DataFrame.union, leaves)), levels
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -294,9 +295,13 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(some).alias("keeper"), F.count("*").alias("copies"), whole)
     # a class goes by a number from here on
     classes = staged(classes.select("cls", "keeper", "copies", "whole.*", F.monotonically_increasing_id().alias("cid")), "path-classes")
-    leaves = staged(suspects(split_nodes(classes, depth, small), classes, threshold, block), "path-suspects")
+    nodes, levels = split_nodes(classes, depth, small)
+    leaves = staged(suspects(nodes, classes, threshold, block), "path-suspects")
+    discard(*levels)
     wanted = classes.join(leaves.select("cid").distinct(), "cid").select("cid", "keeper.doc_id", "keeper.key")
+    wanted = staged(wanted, "path-wanted")
     found = staged(compared(leaves, token_table(docs, wanted), threshold, block), "path-links")
+    discard(leaves, wanted)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.filter(F.col("cid") != F.col("root")).select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "cls", "keeper", "copies").join(links, "cid", "left").join(joined.withColumnRenamed("id", "cid"), "cid", "left")

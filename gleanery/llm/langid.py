@@ -90,10 +90,11 @@ def fit(labelled: DataFrame, texts_per_language: int = 4000, max_words: int = 60
     counts = sample.select("lang", word).filter("word != ''").groupBy("word", "lang").agg(F.count("*").alias("n")).persist()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    cuts = [
-        F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))
-        for n in range(1, LONGEST + 1)
-    ]
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+
+    cuts = [cut(n) for n in range(1, LONGEST + 1)]
     # a padded word has at least three characters, so only the longest order can lack room
     cuts[-1] = F.when(F.length(padded) >= LONGEST, cuts[-1]).otherwise(F.array().cast("array<string>"))
     grams = counts.select("lang", "n", F.explode(F.concat(*cuts)).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n")).persist()

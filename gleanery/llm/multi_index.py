@@ -1,12 +1,15 @@
 """Nearest neighbours by inner product through an inverted multi-index.
 
-Both halves of a vector are quantised on their own with ``centroids`` centroids, fitted on a bounded sample of vectors
-(``sample_size``, taken by a hash of the id); a cell is a pair of centroids, and every vector is indexed in its cell. The
+Both halves of a vector are quantised on their own, with as many centroids as give cells of about ``per_cell`` vectors (at most
+``most_centroids``), fitted on a bounded sample of vectors (``sample_size``, taken by a hash of the id); a cell is a pair
+of centroids, and every vector is indexed in its cell. The
 inner product of a query and an entry of a cell is bounded by half: q.c plus |q| times the largest distance from the
 centroid, or |q| times the largest norm, whichever is less. A query walks the pairs by falling sum of these bounds, with a
-heap, until the cells it has passed hold ``share`` of all entries and no cell left can reach its ``nearest``-th score among
-the sampled vectors; every entry of the passed cells is reranked by its exact inner product in double precision. No cell
-that could hold an answer is left out, so the search is exact for vectors of any norms, whatever ``share`` is.
+heap, until no cell left can reach its ``nearest``-th score among the sampled vectors; every entry of the passed cells
+is reranked by its exact inner product in double precision. No cell that could hold an answer is left out, so the search
+is exact for vectors of any norms. Its work follows the data: clustered vectors leave most cells out, vectors spread
+evenly over a sphere of many dimensions hardly any. ``share`` ends a walk earlier, at cells that hold this share of all
+entries; answers may then be missed.
 
 Vectors of one cell meet in blocks, dealt by a hash of the vector itself, as many as the cell's size asks for, so a
 crowded cell is spread over tasks; a block keeps at most ``nearest`` + 1 ids of each distinct vector, which is all that an
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import held_to_small_batches, staged
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 FOUND = "query_id long, vec_id long, score double"
@@ -84,12 +87,12 @@ def to_beat(ids: np.ndarray, q: np.ndarray, index: Index, nearest: int) -> np.nd
     return np.partition(scores, len(index.ids) - nearest, axis=1)[:, len(index.ids) - nearest]
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, limit: float = -np.inf) -> list[int]:
-    """Cells in the order of the sum (the multi-sequence walk), until they hold ``enough`` entries and the sums of all others
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: float, limit: float = np.inf) -> list[int]:
+    """Cells in the order of the sum (the multi-sequence walk), until they hold ``enough`` entries or the sums of all others
     are above ``limit``."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and (held < enough or heap[0][0] <= limit):
+    while heap and held < enough and heap[0][0] <= limit:
         _, i, j = heapq.heappop(heap)
         cell = int(a[i]) * len(second) + int(b[j])
         if sizes[cell]:
@@ -163,9 +166,10 @@ def blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, nearest: int = 20, centroids: int = 32, share: float = 0.65, sample_size: int = 20_000) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found of every row for which ``is_query`` holds."""
+def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Column, nearest: int = 20, per_cell: int = 48, most_centroids: int = 256, share: float = 1.0, sample_size: int = 20_000) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest of every row for which ``is_query`` holds."""
     spark = vectors.sparkSession
+    held_to_small_batches(spark)
     picked = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     picked = picked.filter(usable(F.col("v")))
     lengths = {r["d"]: r["n"] for r in picked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
@@ -179,7 +183,7 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
     if not taken.num_rows:
         taken = picked.limit(1).select("vec_id", "v").toArrow()
     sample = matrix(taken["v"].combine_chunks(), dimensions)
-    half = dimensions // 2
+    half, centroids = dimensions // 2, int(np.clip(np.sqrt(total / per_cell), 1, most_centroids))
     index = spark.sparkContext.broadcast(Index(lloyd(sample[:, :half], centroids), lloyd(sample[:, half:], centroids), taken["vec_id"].to_numpy(), sample))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +215,7 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, is_query: Col
         reaches[r["side"]][:, r["c"]] = r["radius"], r["norm"]
     longest = float(np.sqrt(sum(f[1].max() ** 2 for f in reaches)))
     shipped = spark.sparkContext.broadcast((sizes, first, many))
-    enough = int(np.ceil(share * total)) + nearest + 1
+    enough = share * total + nearest + 1
     # queries beyond GROUP are dealt to groups, and every group meets the entries on its own
     groups = max(1, -(-entries.filter("q").count() // GROUP))
 

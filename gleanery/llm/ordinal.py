@@ -1,7 +1,9 @@
 """A quality classifier: ordinal cumulative-link regression on graded ratings.
 
 The chance that a text's grade is at most k is sigmoid(threshold[k] - f(text)), with one weight for each hashed word, shared by
-all grades, and ordered thresholds. It gives an expected grade and the chance of reaching the top grade. Features are the
+all grades, and ordered thresholds. It gives an expected grade and the tail probabilities, the chances of reaching each grade
+above the lowest. A document is selected when its expected grade is at least ``least_grade`` and its chance of reaching the
+first grade above the lowest at least ``least_tail``. Features are the
 distinct words, the distinct runs of other signs, and how much of the text is upper case or signs. Only those weigh whose
 mean grade departs from that of all by ``SCREEN`` standard errors, so that rare words of a few texts don't.
 
@@ -28,7 +30,8 @@ from .common import held_to_small_batches, word_hashes
 WIDTH_BITS = 18
 GRADES = 3
 SCREEN, LEAST_TEXTS = 4.0, 5
-SCHEMA = "doc_id long, expected_grade double, tail_probability double, floor_probability double, selected boolean"
+LEAST_GRADE, LEAST_TAIL = 0.7, 0.7
+SCHEMA = "doc_id long, expected_grade double, tail_probability double, top_probability double, floor_probability double, selected boolean"
 
 
 @dataclass
@@ -59,6 +62,28 @@ def hashed_features(text: str = "text") -> Column:
     return F.array_distinct(F.transform(hashes, lambda h: F.pmod(h, F.lit(1 << WIDTH_BITS)).cast("int")))
 
 
+def ordered(params: np.ndarray) -> np.ndarray:
+    """Thresholds: the first as it is, each other the one before plus an exponential."""
+    return params[0] + np.concatenate([[0], np.exp(params[1:]).cumsum()])
+
+
+def loss(params: np.ndarray, rows: np.ndarray, index: np.ndarray, grades: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with an l2 penalty, and its gradient. ``params``: weights, then what ``ordered`` takes;
+    feature ``index[j]`` belongs to text ``rows[j]``."""
+    free, each = len(params) - GRADES + 1, np.arange(len(grades))
+    weights, thresholds = params[:free], ordered(params[free:])
+    f = np.bincount(rows, weights[index], minlength=len(grades))
+    upto = np.hstack([np.zeros((len(f), 1)), sigmoid(thresholds[None, :] - f[:, None]), np.ones((len(f), 1))])
+    chance = np.maximum(upto[each, grades + 1] - upto[each, grades], 1e-9)
+    slope = upto * (1 - upto)  # of each cumulative chance by its argument
+    high, low = slope[each, grades + 1] / chance, slope[each, grades] / chance
+    by_f = (high - low) / len(f)
+    by_threshold = np.array([(low[grades == k + 1].sum() - high[grades == k].sum()) / len(f) for k in range(GRADES - 1)])
+    by_gap = np.array([by_threshold[k + 1 :].sum() for k in range(GRADES - 2)]) * np.exp(params[free + 1 :])
+    gradient = np.concatenate([np.bincount(index, by_f[rows], minlength=free) + l2 * weights, [by_threshold.sum()], by_gap])
+    return -np.log(chance).mean() + l2 / 2 * (weights**2).sum(), gradient
+
+
 def train(features: list[np.ndarray], grades: np.ndarray, l2: float = 1e-5, steps: int = 600, rate: float = 0.1) -> Model:
     """Full-batch Adam on the likelihood; thresholds stay ordered because each is the one before plus an exponential."""
     lengths = np.array([len(f) for f in features])
@@ -68,27 +93,21 @@ def train(features: list[np.ndarray], grades: np.ndarray, l2: float = 1e-5, step
     mean = np.bincount(index, grades[rows], minlength=1 << WIDTH_BITS) / np.maximum(n, 1)
     spread = grades.std() if len(grades) else 0.0
     telling = (n >= LEAST_TEXTS) & (np.abs(mean - (grades.mean() if len(grades) else 0)) * np.sqrt(n) >= SCREEN * max(spread, 1e-9))
-    index, rows = index[telling[index]], rows[telling[index]]
+    kept = np.flatnonzero(telling)  # only these weights are trained; all others stay 0
+    rows = rows[telling[index]]
+    index = np.searchsorted(kept, index[telling[index]])
     shares = np.bincount(grades, minlength=GRADES).cumsum()[:-1] / max(1, len(grades))
     first = np.log(np.clip(shares, 0.01, 0.99) / (1 - np.clip(shares, 0.01, 0.99)))
-    params = np.concatenate([np.zeros(1 << WIDTH_BITS), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
-    m, v, free = np.zeros_like(params), np.zeros_like(params), 1 << WIDTH_BITS
+    params = np.concatenate([np.zeros(len(kept)), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
+    m, v, free = np.zeros_like(params), np.zeros_like(params), len(kept)
     for step in range(1, steps + 1):
-        weights, thresholds = params[:free], params[free] + np.concatenate([[0], np.exp(params[free + 1 :]).cumsum()])
-        f = np.bincount(rows, weights[index], minlength=len(features))
-        upto = np.hstack([np.zeros((len(f), 1)), sigmoid(thresholds[None, :] - f[:, None]), np.ones((len(f), 1))])
-        chance = np.maximum(upto[np.arange(len(f)), grades + 1] - upto[np.arange(len(f)), grades], 1e-9)
-        slope = upto * (1 - upto)  # of each cumulative chance by its argument
-        high, low = slope[np.arange(len(f)), grades + 1] / chance, slope[np.arange(len(f)), grades] / chance
-        by_f = (high - low) / len(f)
-        by_threshold = np.array([(low[grades == k + 1].sum() - high[grades == k].sum()) / len(f) for k in range(GRADES - 1)])
-        gaps = np.exp(params[free + 1 :])
-        by_gap = np.array([by_threshold[k + 1 :].sum() for k in range(GRADES - 2)]) * gaps
-        gradient = np.concatenate([np.bincount(index, by_f[rows], minlength=free) + l2 * weights, [by_threshold.sum()], by_gap])
+        _, gradient = loss(params, rows, index, grades, l2)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(params[:free], params[free] + np.concatenate([[0], np.exp(params[free + 1 :]).cumsum()]))
+    weights = np.zeros(1 << WIDTH_BITS)
+    weights[kept] = params[:free]
+    return Model(weights, ordered(params[free:]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 12_000) -> Model:
@@ -103,9 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 12_000) -> Model:
     return train([f.values.to_numpy() if f.is_valid else np.zeros(0, int) for f in rows["f"]], rows["grade"].to_numpy().astype(int))
 
 
-def score(docs: DataFrame, model: Model, most_floor: float = 0.3) -> DataFrame:
-    """Expected grade, chance of the top grade, chance of the lowest, and whether the document is selected: the lowest
-    grade (toxic) has a chance below ``most_floor``."""
+def score(docs: DataFrame, model: Model, least_grade: float = LEAST_GRADE, least_tail: float = LEAST_TAIL) -> DataFrame:
+    """expected_grade, tail_probability (of a grade above the lowest), top_probability, floor_probability, and selected: both
+    the expected grade and the tail probability are high enough."""
     held_to_small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 weights
 
@@ -115,10 +134,11 @@ def score(docs: DataFrame, model: Model, most_floor: float = 0.3) -> DataFrame:
             words = batch.column(1)
             rows = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
             f = np.bincount(rows, own.weights[words.flatten().to_numpy()], minlength=len(words))
-            upto = sigmoid(own.thresholds[None, :] - f[:, None])
-            floor, tail = upto[:, 0], 1 - upto[:, -1]
-            columns = [batch.column(0), *map(pa.array, ((1 - upto).sum(axis=1), tail, floor, floor < most_floor))]
-            yield pa.record_batch(columns, ["doc_id", "expected_grade", "tail_probability", "floor_probability", "selected"])
+            reach = 1 - sigmoid(own.thresholds[None, :] - f[:, None])  # the chance of each grade above the lowest, or more
+            expected, tail = reach.sum(axis=1), reach[:, 0]
+            chosen = (expected >= least_grade) & (tail >= least_tail)
+            columns = [batch.column(0), *map(pa.array, (expected, tail, reach[:, -1], 1 - tail, chosen))]
+            yield pa.record_batch(columns, ["doc_id", "expected_grade", "tail_probability", "top_probability", "floor_probability", "selected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed_features().alias("f")).mapInArrow(rate, SCHEMA)
 

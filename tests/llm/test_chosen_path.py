@@ -111,3 +111,17 @@ def test_components_of_paths_and_stars(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(101)} | {i: 200 for i in range(200, 260)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_texts_meet_the_wanted_sets_in_a_shuffle_too(spark, monkeypatch):
+    texts = near_texts()[:60] + [None, ""]
+    docs = documents(spark, texts)
+    monkeypatch.setattr(chosen_path, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, chosen_path.jaccard_join(docs).collect())) == brute(list(enumerate(texts)))
+
+
+def test_one_of_each_takes_clashing_names_and_empty_tables(spark):
+    docs = documents(spark, ["one two three four five six", "one two three four five six", None, "", "..."], [4, 3, None, 5, 5]).withColumnRenamed("ids", "own_id").withColumnRenamed("key", "kept_id").withColumnRenamed("words", "own_key")
+    kept = chosen_path.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (3, "one two three four five six"), (5, ""), (5, "...")]
+    assert chosen_path.one_of_each(docs.limit(0)).collect() == []

@@ -1,8 +1,11 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from gleanery.llm import hash_tree
 
 from .fixtures import awkward, documents
@@ -36,16 +39,37 @@ def test_shards_slots_and_growth(spark):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
-def test_weights_set_the_shares_and_confine_movement():
+def descended(spark, tree, n=4000):
+    rows = spark.range(n).select("id", hash_tree.descend(F.col("id").cast("string"), tree).alias("shard")).collect()
+    return {r["id"]: r["shard"] for r in rows}
+
+
+def test_weights_set_the_shares_and_confine_movement(spark):
     tree = hash_tree.base_tree(8, 2, 2)
     heavier = [hash_tree.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 5 else 1.0) for s in tree]
-    before = {k: brute(k, tree) for k in range(4000)}
-    after = {k: brute(k, heavier) for k in range(4000)}
+    before, after = descended(spark, tree), descended(spark, heavier)
+    assert before == {k: brute(k, tree) for k in before} and after == {k: brute(k, heavier) for k in after}
     region = {s.shard: s.region for s in tree}
     # what was outside the heavier region and moved has moved into it
     assert all(region[after[k]] == 1 for k in before if before[k] != after[k])
     assert abs(Counter(after.values())[5] / 4000 - 0.3) < 0.04
 
 
+def test_unequal_weights_and_shards_without_weight(spark):
+    r = random.Random(3)
+    tree = [hash_tree.Shard(i // 6, i // 3 % 2, i, r.choice([0.0, 0.5, 1.0, 4.0])) for i in range(18)]
+    got = descended(spark, tree)
+    live = [s for s in tree if s.weight]
+    assert got == {k: brute(k, live) for k in got}
+    total = sum(s.weight for s in live)
+    for s in live:
+        assert abs(Counter(got.values())[s.shard] / 4000 - s.weight / total) < 0.03
+    # a lighter shard gives rows away; none moves between shards of other regions
+    lighter = [hash_tree.Shard(s.region, s.rack, s.shard, s.weight / 2 if s is live[0] else s.weight) for s in tree]
+    moved = [(got[k], v) for k, v in descended(spark, lighter).items() if v != got[k]]
+    region = {s.shard: s.region for s in tree}
+    assert moved and all(region[a] == live[0].region for a, _ in moved)
+
+
 def test_empty_table(spark):
     assert hash_tree.shard_documents(documents(spark, [])).count() == 0

@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -180,3 +183,99 @@ def test_thresholds_are_ordered_and_grades_follow_the_words():
     model = ordinal.train([np.array(sorted({10 + int(g), 20 + r.randrange(50)})) for g in grades], grades)
     assert model.thresholds[0] < model.thresholds[1]
     assert model.weights[10] < model.weights[11] < model.weights[12]
+
+
+def test_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(3)
+    grades, rows, index = r.integers(0, 3, 40), r.integers(0, 40, 200), r.integers(0, 15, 200)
+    params = np.concatenate([r.normal(size=15), [-0.5, 0.3]])
+    value, gradient = ordinal.loss(params, rows, index, grades, 0.01)
+    for i in range(len(params)):
+        step = np.zeros_like(params)
+        step[i] = 1e-6
+        up, down = (ordinal.loss(params + x, rows, index, grades, 0.01)[0] for x in (step, -step))
+        assert abs((up - down) / 2e-6 - gradient[i]) < 1e-6
+    # the loss itself, written out
+    thresholds = ordinal.ordered(params[15:])
+    total = 0.0
+    for i, g in enumerate(grades):
+        f = sum(params[j] for k, j in zip(rows, index, strict=True) if k == i)
+        upto = [0.0, *(1 / (1 + math.exp(f - t)) for t in thresholds), 1.0]
+        total -= math.log(upto[g + 1] - upto[g])
+    assert abs(total / 40 + 0.005 * (params[:15] ** 2).sum() - value) < 1e-9
+
+
+def test_scores_and_selection_by_hand(spark):
+    weights = np.zeros(1 << ordinal.WIDTH_BITS)
+    docs = documents(spark, ["good fine", "bad awful", "plain", None, ""])
+    places = {w: r["f"] for w, r in zip(["good", "bad"], documents(spark, ["good", "bad"]).select(ordinal.hashed_features().alias("f")).collect(), strict=True)}
+    common = set(places["good"]) & set(places["bad"])
+    weights[[i for i in places["good"] if i not in common]] = 3.0
+    weights[[i for i in places["bad"] if i not in common]] = -3.0
+    got = {r["doc_id"]: r for r in ordinal.score(docs, ordinal.Model(weights, np.array([-1.0, 1.0]))).collect()}
+    for i, f in ((0, 3.0), (1, -3.0), (2, 0.0), (3, 0.0), (4, 0.0)):
+        reach = [1 - 1 / (1 + math.exp(f - t)) for t in (-1.0, 1.0)]
+        assert abs(got[i]["expected_grade"] - sum(reach)) < 1e-9 and abs(got[i]["tail_probability"] - reach[0]) < 1e-9
+        assert abs(got[i]["top_probability"] - reach[1]) < 1e-9 and got[i]["selected"] == (sum(reach) >= 0.7 and reach[0] >= 0.7)
+
+
+def brute_language(docs, text):
+    """Word-first back-off with plain counters over all texts."""
+    words = {lang: Counter() for lang in sorted({x for _, x in docs})}
+    for lang in words:
+        for t, x in docs:
+            if x == lang:
+                words[lang].update(re.findall(r"[^\W\d_]+", t.lower()))
+    grams = {lang: Counter() for lang in words}
+    for lang, found in words.items():
+        for w, n in found.items():
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    grams[lang][f"^{w}$"[i : i + k]] += n
+    logs = []
+    for of in (words, grams):
+        keys = {k for c in of.values() for k in c}
+        logs.append({k: np.array([math.log((c[k] + 0.1) / (sum(c.values()) + 0.1 * len(keys))) for c in of.values()]) for k in keys})
+    total = np.zeros(len(words))
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in logs[0]:
+            total += logs[0][w]
+            continue
+        for k in range(4, 0, -1):
+            rows = [logs[1][g] for i in range(len(w) + 3 - k) if (g := f"^{w}$"[i : i + k]) in logs[1]]
+            if rows:
+                total += np.mean(rows, axis=0)
+                break
+    best = int(total.argmax())
+    return list(words)[best], 1 / np.exp(total - total[best]).sum()
+
+
+def test_language_scores_equal_plain_counting(spark):
+    r = random.Random(6)
+    stems = {"de": ["schön", "grün", "müde", "straße", "haus"], "fr": ["ville", "belle", "femme", "être", "maison"], "en": ["town", "nice", "woman", "being", "house"]}
+    prose = lambda lang: " ".join(r.choice(stems[lang]) + r.choice(["", "", "s", "en", "x"]) for _ in range(r.randrange(1, 12)))
+    rows = [(i, prose(lang), lang) for i, lang in enumerate(r.choice(list(stems)) for _ in range(120))] + [(500, "zzz qqq", None), (501, "ville house maisonette", None), (502, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {x["doc_id"]: x for x in langid.identify(docs).collect()}
+    for i, t, _ in rows[:-1]:
+        lang, score = brute_language(learn, t)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9, t
+    assert got[502]["lang_pred"] == "und"
+
+
+def test_bounded_vocabulary_keeps_a_part_of_equal_counts(spark):
+    rows = [(w, lang, 1) for lang in ("a", "b") for w in (f"{lang}{i}" for i in range(2000))] + [("often", "a", 9)]
+    counts = spark.createDataFrame(rows, "word string, lang string, n long")
+    kept = langid._bounded(counts, "word", 1000).collect()
+    for lang in ("a", "b"):
+        assert 900 <= sum(r["lang"] == lang for r in kept) <= 1100
+    assert ("often", "a", 9) in {tuple(r) for r in kept}
+    assert langid._bounded(counts, "word", 5000).count() == len(rows)
+
+
+def test_without_anything_to_learn_texts_with_letters_stay(spark):
+    docs = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["text"] for r in langid.identified_only(docs).collect()) == sorted(r["text"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+    assert langid.identified_only(docs.limit(0)).collect() == []

@@ -68,7 +68,7 @@ def test_mixed_norms_lose_nothing(spark):
         r = np.random.default_rng(2)
         rows = [(i, (v * norms(r)).astype(np.float32).tolist()) for i, v in given]
         want = brute(rows, 20)
-        for how in ({}, {"sample_size": 300, "share": 0.01}):
+        for how in ({}, {"sample_size": 300}, {"per_cell": 4}):
             assert {q: [v for v, _ in x] for q, x in search(table(spark, rows), **how).items()} == {q: [v for v, _ in x] for q, x in want.items()}
 
 
@@ -84,7 +84,7 @@ def test_bounds_leave_cells_out_and_answers_in():
         bounds.append(multi_index.at_most(h[:50], c, *np.array(far).T))
     sizes, passed = np.bincount(cells, minlength=len(first) * len(second)), 0
     for q, (a, b, beat) in enumerate(zip(*bounds, multi_index.to_beat(np.arange(50), x[:50], index, 20), strict=True)):
-        seen = multi_index.walk(-a, -b, sizes, 0, -beat + 1e-9)
+        seen = multi_index.walk(-a, -b, sizes, np.inf, -beat + 1e-9)
         best = [j for j in np.argsort(-(x @ x[q])) if j != q][:20]
         assert set(cells[best]) <= set(seen)
         passed += sizes[seen].sum()
@@ -101,3 +101,20 @@ def test_exact_ties_of_large_components():
         have[::2, [0, 32]], have[1::2, [0, 32]] = (y, x), (x, y)
         got = list(multi_index.best_of_block([(99, q, np.array([0]))], np.arange(40), np.zeros(40, int), have, 4, 1))
         assert [v for _, v, _ in got] == [0, 1, 2, 3]
+
+
+def test_clustered_vectors_leave_most_cells_out_and_a_share_ends_walks():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((30, 16))[r.integers(0, 30, 4000)] * 4 + 0.05 * r.standard_normal((4000, 16))
+    a, b = multi_index.lloyd(x[:, :8], 9), multi_index.lloyd(x[:, 8:], 9)
+    index = multi_index.Index(a, b, np.arange(4000), x)
+    cells = index.cells(x)
+    sizes = np.bincount(cells, minlength=len(a) * len(b))
+    bounds = []
+    for h, of, c in ((x[:, :8], cells // len(b), a), (x[:, 8:], cells % len(b), b)):
+        bounds.append(multi_index.at_most(h[:40], c, *np.array([[np.linalg.norm(y, axis=1).max() if len(y) else 0 for y in (h[of == k] - d, h[of == k])] for k, d in enumerate(c)]).T))
+    beat = multi_index.to_beat(np.arange(40), x[:40], index, 20)
+    seen = [multi_index.walk(-p, -q, sizes, np.inf, -t + 1e-9) for p, q, t in zip(*bounds, beat, strict=True)]
+    assert np.mean([sizes[s].sum() for s in seen]) < 0.5 * 4000
+    short = multi_index.walk(-bounds[0][0], -bounds[1][0], sizes, 500)
+    assert sizes[short].sum() >= 500 > sizes[short[:-1]].sum()

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -125,3 +126,70 @@ def test_masking(spark):
     rows = sorted(weak_pii.without_personal_data(docs).collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in rows] == ["write to <email> or <phone>.", "nothing", None, ""]
     assert rows[0]["n_chars"] == len(rows[0]["text"]) and rows[0].asDict().keys() == set(docs.columns)
+
+
+def plain_model(found):
+    """Expectation-maximisation over single candidates, and logistic regression, with plain loops. ``found``: (kind, votes,
+    features) of every candidate."""
+    truth = [min(0.95, max(0.05, 0.5 + sum(v) / 10)) for _, v, _ in found]
+    for _ in range(100):
+        tables = []
+        for j in range(5):
+            by_truth = []
+            for of in ([1 - t for t in truth], truth):
+                counts = [1 + math.fsum(t for t, (_, v, _) in zip(of, found, strict=True) if v[j] == x) for x in (-1, 0, 1)]
+                by_truth.append([c / sum(counts) for c in counts])
+            tables.append(by_truth)
+        prior = {}
+        for kind in {k for k, _, _ in found}:
+            own = [t for t, (k, _, _) in zip(truth, found, strict=True) if k == kind]
+            prior[kind] = (sum(own) + 1) / (len(own) + 2)
+        truth = []
+        for kind, v, _ in found:
+            no, yes = ((1 - prior[kind]), prior[kind])
+            for j in range(5):
+                no, yes = no * tables[j][0][v[j] + 1], yes * tables[j][1][v[j] + 1]
+            truth.append(yes / (yes + no))
+    size = weak_pii.WIDTH + 1
+    w, m, s = [0.0] * size, [0.0] * size, [0.0] * size
+    for step in range(1, 201):
+        gradient = [0.001 * x / len(found) for x in w]
+        for (_, _, f), t in zip(found, truth, strict=True):
+            error = (1 / (1 + math.exp(-sum(w[i] for i in f) - w[-1])) - t) / len(found)
+            for i in [*f, size - 1]:
+                gradient[i] += error
+        for i, g in enumerate(gradient):
+            m[i], s[i] = 0.9 * m[i] + 0.1 * g, 0.999 * s[i] + 0.001 * g * g
+            w[i] -= 0.1 * (m[i] / (1 - 0.9**step)) / (math.sqrt(s[i] / (1 - 0.999**step)) + 1e-9)
+    return w
+
+
+def test_added_spans_equal_a_plain_twin(spark):
+    r = random.Random(9)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    makers = [lambda: f"call {d(3)}-{d(3)}-{d(4)} now", lambda: f"order {d(3)}-{d(3)}-{d(4)}", lambda: f"ssn {d(3)}-{d(2)}-{d(4)}", lambda: f"version {d(3)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"write joe{d(2)} (at) mail (dot) com", lambda: f"card {d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"a{d(2)}@b{d(1)}.org", lambda: f"isbn {d(13)}", lambda: f"phone +{d(2)} {d(6)}", lambda: "plain words"]
+    texts = [" and ".join(r.choice(makers)() for _ in range(r.randrange(4))) for _ in range(60)] + [None, ""]
+    docs = documents(spark, texts)
+    every = [(s.kind, s.votes, s.features) for t in texts for s in weak_pii.scanned(t)]
+    w = plain_model(every)
+    got = {x["doc_id"]: x for x in weak_pii.find_personal_data(docs).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        spans = weak_pii.scanned(text)
+        taken = [s for s in spans if s.base]
+        likely = sorted(((-1 / (1 + math.exp(-sum(w[j] for j in s.features) - w[-1])), s.start - s.end, s.start, -s.end, weak_pii.KINDS.index(s.kind), k) for k, s in enumerate(spans) if not s.base))
+        for minus, *_, k in likely:
+            s = spans[k]
+            if -minus >= 0.5 and all(s.end <= o.start or o.end <= s.start for o in taken):
+                taken.append(s)
+                added += 1
+        want = sorted(((s.kind, s.start, s.end) for s in taken), key=lambda s: (weak_pii.KINDS.index(s[0]), s[1]))
+        assert got[i]["spans"] == listed(want), text
+    assert added > 10
+
+
+def test_masked_rows_of_an_empty_table_and_of_clashing_columns(spark):
+    docs = documents(spark, ["mail a@b.org", None, "nothing"]).withColumnRenamed("ids", "spans").withColumnRenamed("key", "scanned")
+    out = weak_pii.without_personal_data(docs)
+    assert out.schema == docs.schema and weak_pii.without_personal_data(docs.limit(0)).collect() == []
+    assert {r["doc_id"]: (r["text"], r["spans"], r["n_chars"]) for r in out.collect()} == {0: ("mail <email>", "x", 12), 1: (None, "x", None), 2: ("nothing", "x", 7)}
