@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Query parameters that only track.
-TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|s|si|mc_cid|mc_eid)(=|$)"
+# Query parameters that only track, beside all that begin with utm_.
+TRACKING_NAMES = ["ref", "fbclid", "gclid", "s", "si", "mc_cid", "mc_eid"]
 # Phrases that mark a title as a round-up.
 ROUNDUP_PHRASES = [
     "link roundup", "links for", "weekly digest", "release notes", "changelog", "sponsored", "this week in", "linkdump", "link dump", "weekly roundup", "roundup:",
@@ -46,22 +48,57 @@ def under_domain(name: Column, domains: list[str]) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text of markup without scripts and styles; entities of the five basic kinds decoded, white space collapsed."""
+    """Text of markup without scripts and styles; eight common entities decoded, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&rsquo;", "'"), ("&mdash;", "—")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of a value that is computed once, however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
+def decoded(part: Column) -> Column:
+    """A form-encoded part of a query as text; one that can't be decoded as it is."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def query_pairs(url: Column) -> Column:
+    """Structs (k, v) of the parameters of an address, decoded, in order."""
+    parts = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(decoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+
+
+WEB = r"(?i)^https?://[^/?#\s]+"
+
+
+def unwrapped(url: Column) -> Column:
+    """The address that a known redirector names in its query or path, else the address itself."""
+    name = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+    news = (name == "news.google.com") | F.endswith(name, F.lit(".news.google.com")) | (name == "news.url.google.com")
+    search = name.isin("www.google.com", "google.com") & (path == "/url")
+    named = F.get(F.filter(query_pairs(url), lambda p: p["k"].isin("url", "q")), F.lit(0))["v"]
+    in_path = F.when(name.isin("scour.ing", "www.scour.ing") & F.startswith(path, F.lit("/r/rss/")), decoded(F.replace(F.substring(path, 8, 1 << 20), F.lit("+"), F.lit("%2B"))))
+    target = F.trim(F.coalesce(in_path, F.when(news | search, named)))
+    return F.when(target.rlike(WEB), target).otherwise(url)
+
+
 def canonical_url(url: Column) -> Column:
-    """An http(s) URL with a lower-cased host, without fragment, tracking parameters and trailing slashes; the other
-    parameters keep their order."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    head = F.lower(F.regexp_extract(bare, r"(?i)^(https?://[^/?#]+)", 1))
-    rest = F.regexp_replace(bare, r"(?i)^https?://[^/?#]+", "")
-    path, query = F.regexp_replace(F.split_part(rest, F.lit("?"), F.lit(1)), "/+$", ""), F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&")
-    kept = F.array_join(F.filter(query, lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)), "&")
-    return F.when(head != "", F.concat(head, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    """An http(s) address with a lower-cased host, without default port, fragment, tracking parameters and trailing slashes; the
+    other parameters are encoded anew in their order; up to three redirectors are unwrapped. Null for anything else."""
+
+    def rebuilt(u: Column) -> Column:
+        head = F.lower(F.regexp_extract(u, WEB.replace("(?i)^", "(?i)^(") + ")", 1))
+        head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+        path = F.regexp_replace(F.regexp_extract(u, r"(?i)^https?://[^/?#]+([^?#]*)", 1), "/+$", "")
+        wanted = F.filter(query_pairs(u), lambda p: ~F.lower(p["k"]).isin(TRACKING_NAMES) & ~F.startswith(F.lower(p["k"]), F.lit("utm_")))
+        kept = F.array_join(F.transform(wanted, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+        return F.when(u.rlike(WEB), F.concat(head, F.when((path == "") & (kept != ""), "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+
+    return bound(bound(bound(bound(F.trim(url), unwrapped), unwrapped), unwrapped), rebuilt)
 
 
 def age_days(then: Column, now: Column) -> Column:

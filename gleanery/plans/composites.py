@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.columns import age_days, decay, host, word_count
 from gleanery.operators.ranking import latest, top_k
-from gleanery.operators.trees import changes, dotted, leaves, within_budget
+from gleanery.operators.trees import changes, dotted, leaves, until_budget, within_budget
 from gleanery.sources.sinks import feed, replaced
 from gleanery.sources.views import articles, candidates, runs, table, with_views
 
@@ -61,10 +61,10 @@ def section_items(df: DataFrame, key: str, note: str, heading: str) -> DataFrame
     return df.select(key, F.posexplode(items).alias("place", "item")).withColumn("place", F.col("place") + 1)
 
 
-@query("S14_replaced_days", "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_totalprice AS cost FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey, CAST(o_orderdate AS DATE), 0.0 FROM orders WHERE o_orderkey % 101 = 1) SELECT k, CAST(day AS VARCHAR) AS day, cost::DOUBLE AS cost FROM (FROM o WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 101 = 1) UNION ALL FROM n)")
+@query("S14_replaced_days", "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_totalprice AS cost FROM orders), n AS (SELECT o_orderkey, CAST(o_orderdate AS DATE), 0.0 FROM orders WHERE o_orderkey % 101 = 1) SELECT k, CAST(day AS VARCHAR) AS day, cost::DOUBLE AS cost FROM (FROM o WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 101 = 1) UNION ALL FROM n)")
 def s14(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").cast("string").alias("day"), F.col("o_totalprice").cast("double").alias("cost"))
-    return replaced(o.filter("k % 2 = 0"), o.filter("k % 101 = 1").withColumn("cost", F.lit(0.0)), "day")
+    return replaced(o, o.filter("k % 101 = 1").withColumn("cost", F.lit(0.0)), "day")
 
 
 @query("S18_json_feed", "SELECT to_json({'event_id': event_id, 'event_type': event_type})::VARCHAR AS item FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 20)")
@@ -116,12 +116,18 @@ def w4(spark, sf):
     return latest_verdicts(spark, sf).join(issue, "article_id", "left_semi").select("article_id", "label")
 
 
-@query("W12_budget_with_skips")
+@query("W12_running_budgets", """WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS k FROM lineitem),
+w AS (SELECT l_orderkey, 0::BIGINT AS k, 0.0::DOUBLE AS used, false AS kept, NULL::INT AS l_linenumber, NULL::BIGINT AS l_partkey, NULL::DOUBLE AS l_quantity FROM (SELECT DISTINCT l_orderkey FROM i) UNION ALL
+ SELECT i.l_orderkey, i.k, CASE WHEN used + i.l_quantity <= 60 THEN used + i.l_quantity ELSE used END, used + i.l_quantity <= 60, i.l_linenumber, i.l_partkey, i.l_quantity::DOUBLE FROM w JOIN i ON i.l_orderkey = w.l_orderkey AND i.k = w.k + 1)
+SELECT 'skip' AS form, l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS l_quantity FROM w WHERE kept UNION ALL
+SELECT 'stop', l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY k) AS s FROM i) WHERE s <= 60""")
 def w12(spark, sf):
-    """For each order the line items that fit into 60 units, in the order of (number, part, quantity)."""
-    item = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    """For each order the line items that fit into 60 units, in the order of (number, part, quantity): with those that don't
+    skipped, and with an end at the first that doesn't."""
+    item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"))
     by_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return by_order.select("l_orderkey", F.inline(within_budget(F.col("items"), "l_quantity", 60.0)))
+    kept = lambda form, rule: by_order.select(F.lit(form).alias("form"), "l_orderkey", F.inline(rule(F.col("items"), "l_quantity", 60.0)))
+    return kept("skip", within_budget).union(kept("stop", until_budget))
 
 
 @query("O1_stable_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey)::INT AS place FROM orders")
@@ -130,18 +136,6 @@ def o1(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).alias("place"))
 
 
-SORTS = {"newest": [F.desc, "day"], "dearest": [F.desc, "cost"], "cheapest": [F.asc, "cost"]}
-
-
-@query("O2_sort_menu", with_views("runs", "SELECT run_id, 'dearest' AS menu FROM (SELECT * FROM runs ORDER BY cost DESC, run_id LIMIT 30) UNION ALL SELECT run_id, 'bogus' FROM (SELECT * FROM runs ORDER BY day DESC, run_id LIMIT 30)"))
-def o2(spark, sf):
-    def page(menu: str) -> DataFrame:
-        direction, name = SORTS.get(menu, SORTS["newest"])
-        return runs(spark, sf).orderBy(direction(name), "run_id").limit(30).select("run_id", F.lit(menu).alias("menu"))
-
-    return page("dearest").union(page("bogus"))
-
-
 @query("O7_newest_in_order", with_views("runs", "SELECT run_id, row_number() OVER (ORDER BY day, run_id)::INT AS place FROM (SELECT * FROM runs ORDER BY day DESC, run_id DESC LIMIT 30)"))
 def o7(spark, sf):
     newest = runs(spark, sf).orderBy(F.desc("day"), F.desc("run_id")).limit(30)
@@ -175,11 +169,6 @@ def top_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(z, "left_id", [F.desc(F.round("z", 9)), F.asc("right_id")], 3)
 
 
-@query("V7_interest_score", f"{ZS} SELECT left_id, round(0.7 * max(z) + 0.3 * avg(z), 6) AS interest, count(*) FILTER (z >= 1) AS matches FROM r WHERE rank <= 3 GROUP BY 1")
-def v7(spark, sf):
-    return top_interests(spark, sf).groupBy("left_id").agg(F.round(0.7 * F.max("z") + 0.3 * F.avg("z"), 6).alias("interest"), F.count_if(F.col("z") >= 1).alias("matches"))
-
-
 @query("V9_affinity", f"{ZS} SELECT left_id, round(sum(least(z / 3, 1) * ((right_id % 10 + 1) / 12.0 - 0.5)) / sum(least(z / 3, 1)), 6) AS affinity FROM r WHERE rank <= 3 AND z > 0 GROUP BY 1")
 def v9(spark, sf):
     strength = F.least(F.col("z") / 3, F.lit(1.0))
@@ -259,17 +248,11 @@ def k15(spark, sf):
     return top_k(fresh.join(F.broadcast(queue), "host"), "host", [F.asc("page_id")], 3).select("host", "page_id")
 
 
-@query("K18_explained_item", with_views("verdicts latest candidates", "SELECT c.article_id, count(*) AS runs, arg_max(stage, run_id) AS stage, round(max(utility), 2)::DOUBLE AS best, any_value(l.label) AS label FROM candidates c LEFT JOIN latest l USING (article_id) WHERE c.article_id = 42 GROUP BY 1"))
-def k18(spark, sf):
-    one = candidates(spark, sf).filter("article_id = 42").groupBy("article_id").agg(F.count("*").alias("runs"), F.max_by("stage", "run_id").alias("stage"), F.round(F.max("utility"), 2).cast("double").alias("best"))
-    return one.join(latest_verdicts(spark, sf).filter("article_id = 42").select("article_id", "label"), "article_id", "left")
-
-
-@query("K22_profile_document", "SELECT p_brand, string_agg('- ' || p_name || ' (' || p_size || ')', chr(10) ORDER BY p_size DESC, p_name, p_partkey) AS document FROM part WHERE p_partkey % 10 = 0 GROUP BY 1")
+@query("K22_profile_document", "SELECT p_brand, string_agg('- ' || p_name || ' (' || p_size || ')', chr(10) ORDER BY p_size DESC, p_name, p_partkey) AS document FROM part GROUP BY 1")
 def k22(spark, sf):
     line = F.concat(F.lit("- "), "p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("p_size")).alias("s"), "p_name", "p_partkey", line.alias("line"))))
-    return table(spark, sf, "part").filter("p_partkey % 10 = 0").groupBy("p_brand").agg(rows.alias("r")).select("p_brand", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("document"))
+    return table(spark, sf, "part").groupBy("p_brand").agg(rows.alias("r")).select("p_brand", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("document"))
 
 
 @query("K24_summary_fallback", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'primary' WHEN doc_id % 3 = 1 AND source IS NOT NULL THEN 'bulk' ELSE array_to_string(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+')[1:45], ' ') END AS summary FROM documents")
@@ -311,18 +294,9 @@ def k26(spark, sf):
     return n.join(said, F.lower("n_name") == F.col("k"), "left").select("n_nationkey", F.coalesce(stored, "c").alias("category"))
 
 
-@query("K28_feed_candidates", with_views("verdicts latest candidates", ", e AS (SELECT article_id, arg_max(least(utility, 1000) / 1000, run_id) AS v FROM candidates WHERE stage <> 'N' GROUP BY 1), s AS (SELECT ps.l_suppkey AS feed, coalesce(l.value, e.v) AS v FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ps LEFT JOIN e ON e.article_id = l_partkey LEFT JOIN latest l ON l.article_id = l_partkey) SELECT feed, count(*) AS links, round(least(greatest((coalesce(sum(v), 0) + 0.6) / (count(v) + 2) * 100, 0), 100), 6)::DOUBLE AS evidence FROM s GROUP BY 1"))
-def k28(spark, sf):
-    links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("feed"), F.col("l_partkey").alias("article_id")).distinct()
-    scored = candidates(spark, sf).filter("stage <> 'N'").groupBy("article_id").agg(F.max_by(F.least("utility", F.lit(1000)).cast("double") / 1000, "run_id").alias("v"))
-    rows = links.join(scored, "article_id", "left").join(latest_verdicts(spark, sf).select("article_id", "value"), "article_id", "left").withColumn("v", F.coalesce("value", "v"))
-    share = (F.coalesce(F.sum("v"), F.lit(0.0)) + 0.6) / (F.count("v") + 2) * 100
-    return rows.groupBy("feed").agg(F.count("*").alias("links"), F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)), 6).alias("evidence"))
-
-
-@query("K32_refreshed_snapshot", "SELECT o_orderkey, l_linenumber, l_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'stored' END AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 20 = 0")
+@query("K32_refreshed_snapshot", "SELECT o_orderkey, l_linenumber, l_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'stored' END AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey")
 def k32(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    li = table(spark, sf, "lineitem")
     item = F.struct("l_linenumber", "l_partkey", F.lit("stored").alias("name"))
     stored = table(spark, sf, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.to_json(F.collect_list(item)).alias("snapshot"))
     old = stored.select("o_orderkey", F.inline(F.from_json("snapshot", "array<struct<l_linenumber:int,l_partkey:long,name:string>>")))
@@ -383,14 +357,6 @@ def o9(spark, sf):
     return s.orderBy(F.desc("score"), F.desc("links"), F.desc("seen"), "feed").offset(2).limit(5).select("feed", "links", "score")
 
 
-@query("K21_run_report", with_views("runs candidates", ", c AS (SELECT run_id, count(*) AS considered, count(*) FILTER (stage = 'R') AS selected, round(max(utility), 2)::DOUBLE AS best FROM candidates GROUP BY 1) SELECT run_id, CAST(day AS VARCHAR) AS day, provider || ': ' || coalesce(considered, 0) || ' considered, ' || coalesce(selected, 0) || ' selected' AS line, best FROM runs LEFT JOIN c USING (run_id)"))
-def k21(spark, sf):
-    c = candidates(spark, sf).groupBy("run_id").agg(F.count("*").alias("considered"), F.count_if(F.col("stage") == "R").alias("selected"), F.round(F.max("utility"), 2).cast("double").alias("best"))
-    said = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("string")
-    line = F.concat("provider", F.lit(": "), said("considered"), F.lit(" considered, "), said("selected"), F.lit(" selected"))
-    return runs(spark, sf).join(c, "run_id", "left").select("run_id", F.col("day").cast("string").alias("day"), line.alias("line"), "best")
-
-
 @query("K23_rating_import", "WITH q AS (SELECT page_id + 100000 AS request, lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, CASE page_id % 5 WHEN 0 THEN 'loved' WHEN 1 THEN 'good' WHEN 2 THEN 'not_for_me' WHEN 3 THEN 'slop' ELSE 'other' END AS label FROM pages WHERE page_id % 4 = 0 OR page_id < 20), a AS (SELECT lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, min(page_id) AS article_id FROM pages WHERE page_id % 3 <> 0 GROUP BY 1) SELECT request, CASE WHEN label = 'other' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label <> 'other' THEN article_id END AS article_id, label <> 'other' AND article_id IS NULL AS inserted FROM q LEFT JOIN a USING (u)")
 def k23(spark, sf):
     key = F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.columns import canonical_url, host, paywalled, plain_text, under_domain, word_count
+from gleanery.functions.columns import host, paywalled, plain_text, under_domain, word_count
 from gleanery.operators.ranking import latest, top_k, upsert, upsert_keeping
 from gleanery.sources.views import articles, candidates, runs, table, verdicts, with_views
 
@@ -249,14 +249,6 @@ def u4(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("admitted_by")).filter(F.size("admitted_by") > 1)
 
 
-@query("K17_retention", with_views("verdicts candidates runs", "SELECT run_id, article_id FROM candidates c JOIN runs USING (run_id) WHERE day >= DATE '1997-01-01' OR article_id IN (SELECT article_id FROM verdicts) OR stage = 'R'"))
-def k17(spark, sf):
-    old = candidates(spark, sf).join(runs(spark, sf).select("run_id", "day"), "run_id")
-    stays = (F.col("day") >= F.lit("1997-01-01").cast("date")) | (F.col("stage") == "R")
-    rated = verdicts(spark, sf).select("article_id").distinct()
-    return old.filter(stays).select("run_id", "article_id").union(old.filter(~stays).join(rated, "article_id", "left_semi").select("run_id", "article_id"))
-
-
 @query("K29_budget_rows", with_views("runs", "SELECT p.provider, coalesce(s.spent, 0) AS spent, coalesce(s.spent, 0) > 500000 AS over FROM (SELECT DISTINCT provider FROM runs) p LEFT JOIN (SELECT provider, round(sum(cost), 2) AS spent FROM runs WHERE day = DATE '1998-10-03' GROUP BY 1) s USING (provider)"))
 def k29(spark, sf):
     r = runs(spark, sf)
@@ -279,12 +271,12 @@ def k31(spark, sf):
     return e.select("event_type").distinct().join(newest, "event_type", "left")
 
 
-@query("X1_canonical_url", """WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+#: Canonical addresses of the given pages, which have no redirectors and no parameters that need another encoding.
+CANONICAL = """WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, lower(regexp_extract(u, '^(https?://[^/?#]+)', 1)) AS head, regexp_replace(u, '^https?://[^/?#]+', '') AS rest FROM u),
 q AS (SELECT page_id, head, rtrim(split_part(rest, '?', 1), '/') AS path, list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid|gclid|s|si|mc_cid|mc_eid)(=|$)')) AS kept FROM p)
-SELECT page_id, head || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q""")
-def x1(spark, sf):
-    return table(spark, sf, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"))
+SELECT page_id, head || CASE WHEN path = '' AND len(kept) > 0 THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q"""
+O12_DAYS = "CAST(o_orderdate AS DATE)"
 
 
 @query("X4_hosts", "SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
@@ -292,35 +284,7 @@ def x4(spark, sf):
     return table(spark, sf, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("X6_plain_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages""")
+@query("X6_plain_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
+'&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&rsquo;', ''''), '&mdash;', '—'), '\s+', ' ', 'g')) AS plain FROM pages""")
 def x6(spark, sf):
     return table(spark, sf, "pages").select("page_id", plain_text(F.col("html")).alias("plain"))
-
-
-@query("D8_comment_tree", "SELECT conv_id, turn, turn - 1 AS parent, turn::BIGINT AS depth FROM conversations WHERE turn <= 3")
-def d8(spark, sf):
-    return table(spark, sf, "conversations").filter("turn <= 3").select("conv_id", "turn", (F.col("turn") - 1).alias("parent"), F.col("turn").alias("depth"))
-
-
-@query("K16_comment_budget", "WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) SELECT conv_id, turn, n FROM c WHERE used <= 1500")
-def k16(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
-    return c.withColumn("used", F.sum("n").over(w)).filter("used <= 1500").drop("used")
-
-
-@query("K27_interest_page", with_views("verdicts latest", "SELECT n_name, coalesce(s.n, 0) AS suppliers, coalesce(v.up, 0) AS up FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS up FROM customer JOIN latest ON c_custkey = article_id WHERE value > 0 GROUP BY 1) v ON c_nationkey = n_nationkey"))
-def k27(spark, sf):
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    v = table(spark, sf, "customer").join(latest_verdicts(spark, sf).filter("value > 0"), F.col("c_custkey") == F.col("article_id")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("up"))
-    return table(spark, sf, "nation").join(s, "n_nationkey", "left").join(v, "n_nationkey", "left").select("n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.coalesce("up", F.lit(0)).alias("up"))
-
-
-@query("A15_interest_rates", with_views("verdicts latest", "SELECT c_nationkey, count(*) AS n, round((sum(greatest(value, 0)) + 1) / (sum(abs(value)) + 2), 9) AS rate FROM latest JOIN customer ON c_custkey = article_id WHERE least(greatest(c_acctbal / 3000, 0), 1) > 0 GROUP BY 1"))
-def a15(spark, sf):
-    from gleanery.operators.ranking import smoothed_rates
-
-    strong = table(spark, sf, "customer").filter(F.least(F.greatest(F.col("c_acctbal") / 3000, F.lit(0.0)), F.lit(1.0)) > 0)
-    rates = smoothed_rates(latest_verdicts(spark, sf).join(strong, F.col("c_custkey") == F.col("article_id")).withColumn("credit", F.col("value")), "c_nationkey")
-    return rates.select("c_nationkey", "n", F.round("rate", 9).alias("rate"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.columns import age_days, decay
-from gleanery.operators.ranking import funnel, latest, smoothed_rates, top_k
+from gleanery.operators.ranking import funnel, latest, top_k
 from gleanery.sources.views import NOW, articles, candidates, runs, table, verdicts, with_views
 
 from .catalog import query
@@ -139,20 +138,6 @@ def a13(spark, sf):
     return runs(spark, sf).filter(F.col("day") == F.lit("1998-10-03").cast("date")).groupBy("provider").agg(F.round(F.sum("cost"), 2).alias("spent"), F.count("*").alias("runs"))
 
 
-@query("A14_feed_rates", with_views("verdicts latest articles", f""", c AS (SELECT feed, value * pow(0.5, greatest(date_diff('second', date_trunc('second', event_at), TIMESTAMP '{NOW}'), 0) / 86400.0 / {HALF_LIFE}) AS credit FROM latest JOIN articles USING (article_id))
-SELECT feed, count(*) AS n, round(sum(greatest(credit, 0)), 9) AS up, round(sum(greatest(-credit, 0)), 9) AS down, round((sum(greatest(credit, 0)) + 1) / (sum(abs(credit)) + 2), 9) AS rate FROM c GROUP BY 1"""))
-def a14(spark, sf):
-    fresh = latest_verdicts(spark, sf).withColumn("credit", F.col("value") * decay(age_days(F.col("event_at"), now()), HALF_LIFE))
-    rates = smoothed_rates(fresh.join(articles(spark, sf).select("article_id", "feed"), "article_id"), "feed")
-    return rates.select("feed", "n", *[F.round(c, 9).alias(c) for c in ("up", "down", "rate")])
-
-
-@query("A16_interest_statistics", "SELECT label, round(avg(embedding[1]), 9) AS mean, round(greatest(stddev_pop(embedding[1]), 1e-3), 9) AS std FROM embeddings GROUP BY 1")
-def a16(spark, sf):
-    first = F.col("embedding")[0].cast("double")
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.round(F.avg(first), 9).alias("mean"), F.round(F.greatest(F.stddev_pop(first), F.lit(1e-3)), 9).alias("std"))
-
-
 @query("A19_composite_log_score", "SELECT user_id, round(sum(log10(1 + greatest(value, 0))) + 0.5 * log10(1 + count(*)), 9) AS score FROM events GROUP BY 1")
 def a19(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(F.log10(1 + F.greatest("value", F.lit(0.0)))) + 0.5 * F.log10(1 + F.count("*")), 9).alias("score"))
@@ -201,36 +186,8 @@ def a27(spark, sf):
     return runs(spark, sf).groupBy("status").agg(F.count("*").alias("runs"), F.sum(F.when(F.col("provider") != "5-LOW", 1).otherwise(0)).alias("counted"), F.round(F.sum("cost"), 2).alias("cost"))
 
 
-@query("A28_neighbour_usage", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS runs, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS selected FROM lineitem GROUP BY 1")
-def a28(spark, sf):
-    once = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("s"))
-    return once.groupBy("l_suppkey").agg(F.count("*").alias("runs"), F.sum("s").alias("selected"))
-
-
 @query("U6_calendar", "WITH d AS (SELECT CAST(unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-11', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(d.day AS VARCHAR) AS day, count(e.event_id) AS n FROM d LEFT JOIN events e ON CAST(e.ts AS DATE) = d.day GROUP BY 1")
 def u6(spark, sf):
     days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-02-10')) AS day")  # at most 400 days
     counts = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return days.join(counts, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("K20_statistics", with_views("verdicts latest candidates runs", """SELECT 'labels' AS metric, label AS key, count(*)::DOUBLE AS value FROM latest GROUP BY 2
-UNION ALL SELECT 'stages', stage, count(*)::DOUBLE FROM candidates GROUP BY 2 UNION ALL SELECT 'cost', provider, round(sum(cost), 2) FROM runs GROUP BY 2
-UNION ALL SELECT 'weeks', CAST(CAST(date_trunc('week', event_at) AS DATE) AS VARCHAR), count(*)::DOUBLE FROM latest GROUP BY 2"""))
-def k20(spark, sf):
-    v = latest_verdicts(spark, sf)
-    part = lambda df, metric, key, value: df.groupBy(key.alias("key")).agg(value.alias("value")).select(F.lit(metric).alias("metric"), "key", "value")
-    n = F.count("*").cast("double")
-    return (
-        part(v, "labels", F.col("label"), n)
-        .union(part(candidates(spark, sf), "stages", F.col("stage"), n))
-        .union(part(runs(spark, sf), "cost", F.col("provider"), F.round(F.sum("cost"), 2)))
-        .union(part(v, "weeks", F.to_date(F.date_trunc("week", "event_at")).cast("string"), n))
-    )
-
-
-@query("K19_contributions", with_views("verdicts latest", f""", c AS (SELECT article_id, label, round(value * pow(0.5, greatest(date_diff('second', date_trunc('second', event_at), TIMESTAMP '{NOW}'), 0) / 86400.0 / {HALF_LIFE}), 9) AS credit FROM latest)
-SELECT article_id, label, credit, row_number() OVER (PARTITION BY label ORDER BY abs(credit) DESC, article_id)::INT AS rank FROM c"""))
-def k19(spark, sf):
-    c = latest_verdicts(spark, sf).select("article_id", "label", F.round(F.col("value") * decay(age_days(F.col("event_at"), now()), HALF_LIFE), 9).alias("credit"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.abs("credit")), "article_id")))

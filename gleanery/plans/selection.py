@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.columns import ROUNDUP_PHRASES, canonical_url, host, plain_text, roundup_title, title_key, under_domain, weighted_mean, word_count
 from gleanery.operators.admission import Retriever, admit, lineup, pool
-from gleanery.operators.ranking import leader_clusters, mid_rank
+from gleanery.operators.ranking import leader_clusters
 from gleanery.operators.resolution import merge, resolve
 from gleanery.sources.views import table, with_views
 
 from .catalog import ORACLE, query
-from .signals import CLUSTER_THRESHOLD, KNN, MIDRANK, PAIRS, SHORTLIST, WORDS, interest_scores, ranked_vectors, v8
+from .lookups import CANONICAL
+from .signals import CLUSTER_THRESHOLD, CLUSTERS, KNN, MIDRANK, PAIRS, SHORTLIST, WORDS, interest_scores, ranked_vectors, v8
 
 DAY, KEEP, TRIAGE, INTEREST, KNN_QUOTA, SLOTS = "2024-01-15", 60, 25, 10, 10, 5
 BLOCKED = ["example.org", "tiontion.example.com"]
@@ -120,18 +121,7 @@ def f11(spark, sf):
     return d.filter(roundup_title(F.concat("title", tail))).select("article_id")
 
 
-@query("K4_utility_over_the_deep_set", f"""WITH {JUDGED}, deep AS (SELECT * FROM judged WHERE triage IS NOT NULL ORDER BY blend DESC NULLS LAST, article_id LIMIT 120),
-i AS (SELECT article_id, CASE WHEN count(*) OVER (PARTITION BY interest) = count(*) OVER () THEN 0.5 ELSE {MIDRANK.format("interest")} END AS pi FROM deep WHERE interest IS NOT NULL),
-k AS (SELECT article_id, CASE WHEN count(*) OVER (PARTITION BY knn) = count(*) OVER () THEN 0.5 ELSE {MIDRANK.format("knn")} END AS pk FROM deep WHERE knn IS NOT NULL)
-SELECT article_id, round(100 * (triage / 10 * 0.6 + coalesce(pi * 0.2, 0) + coalesce(pk * 0.2, 0)) / (0.6 + CASE WHEN pi IS NULL THEN 0 ELSE 0.2 END + CASE WHEN pk IS NULL THEN 0 ELSE 0.2 END), 6) AS utility
-FROM deep LEFT JOIN i USING (article_id) LEFT JOIN k USING (article_id)""")
-def k4(spark, sf):
-    deep = judged(spark, sf).filter("triage IS NOT NULL").orderBy(F.desc_nulls_last("blend"), "article_id").limit(120).persist()
-    placed = mid_rank(mid_rank(deep, "interest", "pi"), "knn", "pk")
-    return placed.select("article_id", F.round(100 * weighted_mean([(F.col("triage") / 10, 0.6), (F.col("pi"), 0.2), (F.col("pk"), 0.2)]), 6).alias("utility"))
-
-
-@query("W9_rank_inside_cluster")
+@query("W9_rank_inside_cluster", f"WITH RECURSIVE {CLUSTERS} SELECT item, rank, cluster, row_number() OVER (PARTITION BY cluster ORDER BY rank)::INT AS cluster_rank FROM clusters")
 def w9(spark, sf):
     c = leader_clusters(ranked_vectors(spark, sf), CLUSTER_THRESHOLD, SHORTLIST)
     return c.withColumn("cluster_rank", F.row_number().over(Window.partitionBy("cluster").orderBy("rank")))
@@ -161,7 +151,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ENTRIES = f"""c AS ({ORACLE["X1_canonical_url"]}), t AS ({ORACLE["X6_plain_text"]}),
+ENTRIES = f"""c AS ({CANONICAL}), t AS ({ORACLE["X6_plain_text"]}),
 k AS (SELECT page_id, lower(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS key, TIMESTAMP '2024-01-01' + to_days((page_id * 11 % 23)::INT) AS day FROM pages),
 entries AS (SELECT page_id AS entry_id, canonical AS url, CASE WHEN octet_length(encode(key)) >= 12 THEN key END AS title_key, {WORDS.replace("text", "plain")} AS words,
  CASE WHEN page_id % 5 <> 0 THEN day END AS published, day AS fetched, CASE page_id % 4 WHEN 0 THEN 'https://news.ycombinator.com/item?id=' || page_id WHEN 1 THEN 'https://lobste.rs/s/' || page_id WHEN 2 THEN ' ' END AS comments,
@@ -183,8 +173,3 @@ SELECT cluster, arg_max(entry_id, (words, -entry_id)) AS best_entry, arg_max(url
  arg_max(comments, (kind, entry_id)) FILTER (linked) AS comments, arg_min(author, entry_id) FILTER (named AND (direct OR NOT any_direct)) AS author FROM m GROUP BY 1""")
 def k7(spark, sf):
     return merge(resolve(entries(spark, sf), "entry_id", "url", "title_key")).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
-
-
-@query("K5_signal_matrix", f"WITH {JUDGED} SELECT article_id, words::INT AS words, triage, interest, knn, blend FROM judged")
-def k5(spark, sf):
-    return judged(spark, sf).select("article_id", "words", "triage", "interest", "knn", "blend")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.columns import age_days, decay, dot, gate, long_form, reading_minutes, sample_words, title_key, weighted_mean, word_count
-from gleanery.operators.ranking import leader_clusters, mid_rank, similarities, top_k
+from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, nearest, similarities, top_k
 from gleanery.sources.views import NOW, articles, candidates, table, vectors, with_views
 
 from .catalog import query
@@ -136,10 +136,8 @@ def j11(spark, sf):
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    marked = rated(spark, sf_dir)
     left = vectors(spark, sf_dir).select(F.col("vec_id").alias("left_id"), "v")
-    scored = similarities(left, marked.select("right_id", "w")).filter("left_id <> right_id").join(marked.select("right_id", "value"), "right_id")
-    return top_k(scored, ["left_id", "value"], [F.desc(F.round("score", 9)), F.asc("right_id")], k)
+    return nearest(left, rated(spark, sf_dir), k)
 
 
 @query("V8_knn_score", KNN + ", m AS (SELECT left_id, avg(score) FILTER (value > 0) AS pos, avg(score) FILTER (value < 0) AS neg FROM k WHERE rank <= 5 GROUP BY 1) SELECT left_id, round(coalesce(pos, 0) - 0.75 * coalesce(neg, 0), 6) AS knn FROM m")
@@ -160,7 +158,7 @@ MIDRANK = "(rank() OVER (ORDER BY {0}) - 1 + (count(*) OVER (PARTITION BY {0}) +
 
 @query("W7_mid_rank", f"SELECT p_partkey, round({MIDRANK.format('p_size')}, 9) AS percentile FROM part")
 def w7(spark, sf):
-    return mid_rank(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "percentile").select("p_partkey", F.round("percentile", 9).alias("percentile"))
+    return mid_ranks(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey", {"p_size": "percentile"}).select("p_partkey", F.round("percentile", 9).alias("percentile"))
 
 
 BLEND = [("size", 0.3), ("price", 0.5), ("rated", 0.2)]
@@ -169,7 +167,7 @@ BLEND = [("size", 0.3), ("price", 0.5), ("rated", 0.2)]
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article_id and its blend: percentiles of two signals and a rate that many articles lack."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("article_id"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"))
-    normal = mid_rank(mid_rank(parts, "a", "size"), "b", "price")
+    normal = mid_ranks(parts, "article_id", {"a": "size", "b": "price"})
     seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("article_id")).agg(F.avg((F.col("event_type") == "purchase").cast("double")).alias("rated"))
     return normal.join(seen, "article_id", "left").select("article_id", F.round(100 * weighted_mean([(F.col(c), w) for c, w in BLEND]), 6).alias("blend"))
 
@@ -179,11 +177,6 @@ e AS (SELECT user_id AS article_id, avg((event_type = 'purchase')::INT) AS rated
 b AS (SELECT article_id, round(100 * (0.3 * size + 0.5 * price + 0.2 * coalesce(rated, 0)) / (0.8 + CASE WHEN rated IS NULL THEN 0 ELSE 0.2 END), 6) AS blend FROM n LEFT JOIN e USING (article_id))"""
 
 
-@query("V10_blend", f"WITH {BLENDED} SELECT article_id, blend FROM b")
-def v10(spark, sf):
-    return blended(spark, sf)
-
-
 @query("W8_rank_by_utility", f"WITH {BLENDED} SELECT article_id, row_number() OVER (PARTITION BY article_id % 10 ORDER BY blend DESC NULLS LAST, article_id)::INT AS rank FROM b")
 def w8(spark, sf):
     w = Window.partitionBy(F.col("article_id") % 10).orderBy(F.desc_nulls_last("blend"), "article_id")
@@ -199,18 +192,38 @@ def ranked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("article_id").alias("item"), "v", F.row_number().over(Window.orderBy(F.desc("blend"), "article_id")).alias("rank"))
 
 
-@query("K2_leader_clusters")
+#: Leaders in the order of rank; ``near``: the earlier ranks that are close enough.
+CLUSTERS = f"""{BLENDED}, top AS (SELECT article_id AS item, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY blend DESC, article_id)::INT AS rank FROM b JOIN embeddings ON vec_id = article_id ORDER BY blend DESC, article_id LIMIT {SHORTLIST}),
+near AS (SELECT a.rank, coalesce(list(p.rank ORDER BY p.rank) FILTER (list_cosine_similarity(a.v, p.v) >= {CLUSTER_THRESHOLD}), []) AS near FROM top a LEFT JOIN top p ON p.rank < a.rank GROUP BY 1),
+walk AS (SELECT 0 AS rank, []::INT[] AS leaders, 0 AS lead UNION ALL
+ SELECT n.rank, CASE WHEN len(list_intersect(leaders, near)) = 0 THEN list_append(leaders, n.rank) ELSE leaders END, coalesce(list_min(list_intersect(leaders, near)), n.rank) FROM walk w JOIN near n ON n.rank = w.rank + 1),
+clusters AS (SELECT t.item, t.rank, l.item AS cluster FROM walk w JOIN top t USING (rank) JOIN top l ON l.rank = w.lead)"""
+
+
+@query("K2_leader_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT item, rank, cluster FROM clusters")
 def k2(spark, sf):
     return leader_clusters(ranked_vectors(spark, sf), CLUSTER_THRESHOLD, SHORTLIST)
 
 
-@query("K3_diversified_shortlist")
+KEPT, PROTECTED, CAP = 60, 10, 2
+
+
+@query("K3_diversified_shortlist", f"""WITH RECURSIVE {CLUSTERS}, cand AS (SELECT *, item % 17 = 0 AS auto, row_number() OVER (PARTITION BY item % 7 = 3 ORDER BY rank) AS x, item % 7 = 3 AS exploration FROM clusters),
+first AS (SELECT item FROM cand WHERE rank <= {PROTECTED} OR auto),
+explored AS (SELECT item FROM (SELECT item, row_number() OVER (ORDER BY rank) AS k FROM cand WHERE exploration AND x <= 3 AND item NOT IN (FROM first)) WHERE k <= greatest({KEPT} - (SELECT count(*) FROM first), 0)),
+i0 AS (FROM first UNION ALL FROM explored), target AS (SELECT greatest({KEPT}, count(*)) AS n FROM i0),
+c1 AS (SELECT cand.*, row_number() OVER (PARTITION BY cluster ORDER BY rank) + (SELECT count(*) FROM cand o WHERE o.cluster = cand.cluster AND o.item IN (FROM i0)) AS place FROM cand WHERE item NOT IN (FROM i0)),
+t1 AS (SELECT item, rank FROM c1 WHERE place <= {CAP} QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i0)),
+i1 AS (FROM i0 UNION ALL SELECT item FROM t1),
+suppressed AS (SELECT item FROM c1 WHERE place > {CAP} AND ((SELECT count(*) FROM i1) < (SELECT n FROM target) OR rank < (SELECT max(rank) FROM t1))),
+c2 AS (SELECT cand.*, row_number() OVER (PARTITION BY cluster ORDER BY rank) + (SELECT count(*) FROM cand o WHERE o.cluster = cand.cluster AND o.item IN (FROM i1)) AS place FROM cand WHERE item NOT IN (FROM i1)),
+t2 AS (SELECT item FROM c2 WHERE place <= 3 QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i1)),
+i2 AS (FROM i1 UNION ALL FROM t2),
+t3 AS (SELECT item FROM cand WHERE item NOT IN (FROM i2) QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i2)),
+i3 AS (FROM i2 UNION ALL FROM t3)
+SELECT item, rank, cluster, CASE WHEN item IN (FROM i3) THEN 'shortlisted' ELSE 'assessed' END AS stage,
+ CASE WHEN item IN (FROM i3) THEN NULL WHEN item IN (FROM suppressed) THEN 'cluster_suppressed' ELSE 'shortlist_cap' END AS reason FROM cand""")
 def shortlist(spark, sf):
-    """The first ten are protected; after them a cluster has at most two items; 60 in all."""
+    """Every seventeenth id stands for an automatic one, ids that leave 3 by 7 for explorations."""
     c = leader_clusters(ranked_vectors(spark, sf), CLUSTER_THRESHOLD, SHORTLIST)
-    place = c.withColumn("in_cluster", F.row_number().over(Window.partitionBy("cluster").orderBy("rank")))
-    kept = (F.col("rank") <= 10) | (F.col("in_cluster") <= 2)
-    reason = F.when(F.col("rank") <= 10, "protected").when(F.col("in_cluster") <= 2, "kept").otherwise("suppressed")
-    out = place.withColumns({"reason": reason, "kept": kept})
-    order = Window.orderBy(F.desc("kept"), "rank")  # a shortlist of SHORTLIST rows
-    return out.withColumn("k", F.row_number().over(order)).select("item", "rank", "cluster", F.when(F.col("kept") & (F.col("k") > 60), "over the cap").otherwise(F.col("reason")).alias("reason"))
+    return diversified(c.withColumns({"auto": F.col("item") % 17 == 0, "exploration": F.col("item") % 7 == 3}), KEPT, PROTECTED, CAP)

@@ -54,10 +54,16 @@ def f15(spark, sf):
     return table(spark, sf, "events").filter(F.timestamp_diff("SECOND", F.date_trunc("second", "ts"), now()) < 86400 * 3).select("event_id")
 
 
-@query("F17_discovery_noise", "SELECT page_id FROM pages WHERE NOT (lower(url) LIKE '%/en/%' OR lower(regexp_extract(html, '<title>(.*?)</title>', 1)) LIKE '%tion%')")
+@query("F17_discovery_noise", "SELECT page_id FROM pages WHERE NOT (lower(url || CASE WHEN page_id % 5 = 0 THEN '/Comments' ELSE '' END) LIKE '%comment%' OR lower(regexp_extract(html, '<title>(.*?)</title>', 1) || CASE WHEN page_id % 7 = 0 THEN ' (no comment)' ELSE '' END) LIKE '%comment%')")
 def f17(spark, sf):
-    title = F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1))
-    return table(spark, sf, "pages").filter(~(F.contains(F.lower("url"), F.lit("/en/")) | F.contains(title, F.lit("tion")))).select("page_id")
+    url = F.concat("url", F.when(F.col("page_id") % 5 == 0, "/Comments").otherwise(""))
+    title = F.concat(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.when(F.col("page_id") % 7 == 0, " (no comment)").otherwise(""))
+    return table(spark, sf, "pages").filter(~(about_comments(url) | about_comments(title))).select("page_id")
+
+
+def about_comments(text):
+    """The word stands in an address or title, in any case."""
+    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("comment"))
 
 
 @query("F19_descriptive_titles", "SELECT doc_id FROM documents WHERE len(string_split_regex(trim(string_split(text, chr(10))[1]), ' +')) >= 4 AND NOT regexp_matches(string_split(text, chr(10))[1], '\\.\\w{3,4}$')")
@@ -240,11 +246,16 @@ def n4(spark, sf):
     return e.select("event_id", F.coalesce(F.get_json_object(report, "$.counts.k"), F.get_json_object(report, "$.k")).cast("long").alias("k"))
 
 
-@query("T1_window_of_a_day", "SELECT o_orderkey, least((o_orderdate::DATE + 1)::TIMESTAMP - INTERVAL 1 HOUR, TIMESTAMP '1998-01-01') - INTERVAL 26 HOUR AS since FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
+#: Summer time in SQL: from one o'clock UTC of the last Sunday of March to that of the last Sunday of October (September until 1995).
+LAST_SUNDAY = "(make_date(year(e), {m}, {d}) - (isodow(make_date(year(e), {m}, {d})) % 7)::INT)"
+SUMMER = f"e > {LAST_SUNDAY.format(m=3, d=31)} AND e <= CASE WHEN year(e) <= 1995 THEN {LAST_SUNDAY.format(m=9, d=30)} ELSE {LAST_SUNDAY.format(m=10, d=31)} END"
+
+
+@query("T1_window_of_a_day", f"WITH o AS (SELECT o_orderkey, o_orderdate::DATE + 1 AS e FROM orders) SELECT o_orderkey, least(e::TIMESTAMP - CASE WHEN {SUMMER} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, TIMESTAMP '1998-01-01') - INTERVAL 26 HOUR AS since FROM o")
 def t1(spark, sf):
     ends = F.to_utc_timestamp(F.date_add(F.to_date("o_orderdate"), 1).cast("timestamp_ntz"), "Europe/Vienna").cast("timestamp_ntz")
     until = F.least(ends, F.lit("1998-01-01").cast("timestamp_ntz"))
-    return table(spark, sf, "orders").filter(F.month("o_orderdate").isin(1, 2, 12)).select("o_orderkey", (until - F.expr("INTERVAL 26 HOUR")).alias("since"))
+    return table(spark, sf, "orders").select("o_orderkey", (until - F.expr("INTERVAL 26 HOUR")).alias("since"))
 
 
 @query("T5_durations", "SELECT l_orderkey, l_linenumber, greatest(date_diff('second', l_shipdate::TIMESTAMP, CASE WHEN l_linenumber % 3 <> 0 THEN TIMESTAMP '1995-06-01' END), 0) AS seconds FROM lineitem WHERE l_linenumber % 3 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, NULL FROM lineitem WHERE l_linenumber % 3 = 0")
@@ -254,7 +265,7 @@ def t5(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0))).alias("seconds"))
 
 
-@query("T7_previous_days", "SELECT o_orderkey, CAST(o_orderdate::DATE - n AS VARCHAR) AS day FROM orders, (SELECT unnest([1, 2, 3]) AS n) WHERE o_orderkey % 50 = 1")
+@query("T7_previous_days", "SELECT o_orderkey, CAST(o_orderdate::DATE - n AS VARCHAR) AS day FROM orders, (SELECT unnest([1, 2, 3]) AS n)")
 def t7(spark, sf):
     d = F.to_date("o_orderdate")
-    return table(spark, sf, "orders").filter("o_orderkey % 50 = 1").select("o_orderkey", F.explode(F.sequence(F.date_sub(d, 3), F.date_sub(d, 1)).cast("array<string>")).alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.date_sub(d, 3), F.date_sub(d, 1)).cast("array<string>")).alias("day"))

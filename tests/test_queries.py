@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gleanery import registry
 from gleanery.operators import ranking
-from gleanery.plans import lookups, signals
+from gleanery.sources import sinks
+from gleanery.plans import curation, lookups, signals
 
 GIVEN = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,14 +63,48 @@ def test_clusters_of_the_shortlist_by_brute_force(spark):
         want[r["item"]] = lead or r["item"] if lead is not None else r["item"]
     got = registry.flagship(spark, GIVEN).collect()
     assert {r["item"]: r["cluster"] for r in got} == want
-    assert all(r["reason"] == "protected" for r in got if r["rank"] <= 10)
+    assert all(r["stage"] == "shortlisted" for r in got if r["rank"] <= 10)
+
+
+def test_shortlist_relaxes_its_caps_by_hand(spark):
+    # one cluster of nine, two of two; an automatic item and explorers stand at the end
+    rows = [(i, i, 1 if i <= 9 else 2 if i <= 11 else 3, i == 13, i in (8, 9)) for i in range(1, 14)]
+    df = spark.createDataFrame(rows, "item long, rank int, cluster long, auto boolean, exploration boolean")
+    out = lambda keep: {r["item"]: (r["stage"] == "shortlisted", r["reason"]) for r in ranking.diversified(df, keep, 1, 2, explorers=1).collect()}
+    # 1 is protected, 13 automatic, 8 explored: cluster 1 holds two, so 10, 11 and 12 come before 2 to 7 and 9
+    got = out(6)
+    assert [i for i, (kept, _) in got.items() if kept] == [1, 8, 10, 11, 12, 13]
+    assert all(got[i][1] == "cluster_suppressed" for i in (2, 3, 4, 5, 6, 7, 9))
+    assert [i for i, (kept, _) in out(8).items() if kept] == [1, 2, 3, 8, 10, 11, 12, 13]  # a third one, then no cap
+    got = out(4)
+    assert [i for i, (kept, _) in got.items() if kept] == [1, 8, 10, 13] and got[11][1] == "shortlist_cap" and got[12][1] == "shortlist_cap" and got[2][1] == "cluster_suppressed" and got[9][1] == "cluster_suppressed"
+    assert sum(kept for kept, _ in out(1).values()) == 2
+    assert ranking.diversified(df.limit(0), 5, 1, 2).collect() == []
+
+
+def test_nearest_in_blocks_equals_trying_every_pair(spark):
+    r = np.random.default_rng(0)
+    v = np.round(r.standard_normal((90, 6)), 1)
+    v[40:60] = v[3]  # ties
+    left = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0])], "left_id long, v array<double>")
+    right = spark.createDataFrame([(i, v[i].tolist(), 1.0 if i % 3 else -1.0) for i in range(0, 90, 2)] + [(902, None, 1.0)], "right_id long, w array<double>, value double")
+    want = set()
+    for i in range(90):
+        for value in (1.0, -1.0):
+            found = sorted((-round(float(np.cumsum(v[i] * v[j])[-1]), 9), j) for j in range(0, 90, 2) if j != i and (1.0 if j % 3 else -1.0) == value)[:4]
+            want |= {(i, value, j, rank, -s) for rank, (s, j) in enumerate(found, 1)}
+    for how in ({}, {"most": 10, "block": 16}):
+        got = {(x["left_id"], x["value"], x["right_id"], x["rank"], round(x["score"], 9)) for x in ranking.nearest(left, right, 4, **how).collect()}
+        assert got == {(*w[:4], w[4] + 0.0) for w in want}
+    assert ranking.nearest(left, right.limit(0), 4).collect() == []
 
 
 def test_mid_rank_of_equal_and_missing_values(spark):
-    df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None)], "id int, x double")
-    assert {r["id"]: r["p"] for r in ranking.mid_rank(df, "x", "p").collect()} == {1: 0.5, 2: 0.5, 3: None}
+    df = spark.createDataFrame([(1, 5.0, 1), (2, 5.0, 2), (3, None, None)], "id int, x double, y int")
+    got = {r["id"]: (r["p"], r["q"]) for r in ranking.mid_ranks(df, "id", {"x": "p", "y": "q"}).collect()}
+    assert got == {1: (0.5, 0.5), 2: (0.5, 1.0), 3: (None, None)}
     many = spark.createDataFrame([(i, float(i // 3)) for i in range(300)], "id int, x double")
-    got = {r["id"]: r["p"] for r in ranking.mid_rank(many, "x", "p").collect()}
+    got = {r["id"]: r["p"] for r in ranking.mid_ranks(many, "id", {"x": "p"}).collect()}
     assert all(abs(got[i] - (i // 3 * 3 + 2) / 300) < 1e-12 for i in range(300))
 
 
@@ -94,3 +129,18 @@ def test_optional_filters_and_pages(spark):
     assert lookups.matching(df, x=None, id=None).count() == 10 and lookups.matching(df, x=1).count() == 5
     assert [r["id"] for r in lookups.page(df, 0, 3, [F.desc("id")]).collect()] == [9, 8, 7]
     assert [r["id"] for r in lookups.page(df, 4, 3, [F.desc("id")]).collect()] == [0]
+
+
+def test_canonical_addresses_are_idempotent(spark):
+    cases = spark.createDataFrame([(raw,) for raw, want in curation.ADDRESSES if want], "raw string")
+    rows = cases.select(curation.canonical_url(F.col("raw")).alias("once")).withColumn("twice", curation.canonical_url(F.col("once"))).collect()
+    assert rows and all(r["once"] == r["twice"] for r in rows)
+
+
+def test_files_are_published_as_a_whole_and_again(spark, tmp_path):
+    for text in ("old", "new"):
+        sinks.publish(spark.createDataFrame([(text,)], "value string"), str(tmp_path), "issue-2024-02-03")
+    sinks.publish(spark.createDataFrame([("x",)], "value string"), str(tmp_path), "notes")
+    (tmp_path / ".draft-issue-2024-02-04-z").mkdir()
+    rows = sinks.named_by_day(spark, f"{tmp_path}/*").collect()
+    assert [(str(r["day"]), r["name"], r["value"]) for r in rows] == [("2024-02-03", "issue-2024-02-03", "new")]
