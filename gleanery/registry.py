@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import composites, curation, lookups, reports, selection, signals, texts  # noqa: F401  (they register their queries)
+from gleanery.plans import composites, curation, formats, lookups, reports, selection, signals, texts  # noqa: F401  (they register their queries)
 from gleanery.plans.catalog import ORACLE, QUERIES, Query
 
 
