@@ -17,7 +17,10 @@ from .license_join import oracle as license_oracle
 from .license_join import scan_licenses
 from .multi_index import search
 from .ordinal import grade_documents
+from .residual_pack import pack_documents
 from .tiling import contaminated
+from .token_align import align_corpus
+from .turn_repair import damaged, repair_report
 from .weak_pii import find_personal_data
 
 
@@ -65,6 +68,18 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(_table(spark, sf_dir, "conversations")), F.col("times"))
+
+
 QUERIES = (
     op1_hilbert_packing,
     op2_inverted_multi_index,
@@ -76,6 +91,9 @@ QUERIES = (
     op8_chosen_path_join,
     op9_weak_supervision_pii,
     op10_arrow_token_files,
+    op11_residual_packing,
+    op12_token_alignment,
+    op13_turn_repair,
 )
 
 
