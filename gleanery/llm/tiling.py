@@ -8,7 +8,8 @@ at least ``threshold`` of the item's words.
 A benchmark of at most ``broadcast_words`` words, which is checked first, is sent to the tasks; documents stay where they are
 read and nothing is shuffled. The seeds of a larger one meet those of the documents in a join: a bit table of a fixed
 size leaves out the document seeds that no item has, texts never leave their tasks, and equal texts are tiled once. The
-join is a plain sort-merge join, whose hot seeds Spark splits.
+join is a plain sort-merge join, whose hot seeds Spark splits. Both ways only list where matches begin and end, so a phrase that is
+repeated thousands of times in both texts costs a match for each diagonal.
 
 Defined cases: a null or empty text matches nothing; an item of fewer than five words only matches a document of exactly
 these words; an item without words, or null, matches nothing; an empty benchmark or table gives no rows; repeated rows, of
@@ -32,6 +33,8 @@ SEED = 5
 BASE, SECOND_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BROADCAST_WORDS = 1_000_000
 BITS, RANGES = 1 << 28, 64
+#: What stands for the word before the first and after the last one; no two texts end alike.
+DOCUMENT_ENDS, ITEM_ENDS = -1, -2
 COLUMNS = ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile", "item_words"]
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long, item_words long"
 Tile = tuple[int, int, int]
@@ -48,59 +51,49 @@ def rolling(words: np.ndarray, n: int, base: np.uint64 = BASE) -> np.ndarray:
     return out
 
 
-def telling_places(document: np.ndarray, places: list[int], most: int) -> list[int]:
-    """``places`` without the middle of long runs of one repeated word: a tile has at most ``most`` words, and of equal
-    matches the first ones are marked, so the first and last places of such a run are all that tiles can use."""
-    if len(places) <= 3 * most:
-        return places
-    at = np.array(places)
-    same = np.flatnonzero(document[1:] != document[:-1])  # last place of each run but the final one
-    ends = np.append(same, len(document) - 1)
-    run = np.searchsorted(ends, at)
-    begins = np.concatenate([[0], same + 1])[run]
-    return at[(at - begins <= 2 * most) | (ends[run] - at <= most)].tolist()
-
-
-def tile(matches: Iterable[tuple[int, int]], seed: int, item_words: int) -> list[Tile]:
+def tile(starts: Iterable[tuple[int, int]], ends: Iterable[tuple[int, int]], seed: int, item_words: int) -> list[Tile]:
     """Tiles (document start, item start, words), longest first; ties go to the earlier place in the item, then in the
-    document. ``matches``: the pairs of places, in the document and in the item, at which ``seed`` words are equal."""
-    diagonals: dict[int, list[int]] = {}
-    for p, q in matches:
-        diagonals.setdefault(p - q, []).append(p)
+    document. ``starts`` and ``ends``: the pairs of places, in the document and in the item, at which ``seed`` equal words begin that
+    no longer match goes before, or after. So a run of one word, or of one phrase again and again, is one match on each diagonal
+    and not one for each pair of places."""
+    diagonals: dict[int, tuple[list[int], list[int]]] = {}
+    for side, pairs in enumerate((starts, ends)):
+        for p, q in pairs:
+            diagonals.setdefault(p - q, ([], []))[side].append(p)
     heap: list[Tile] = []
-    for d, at in diagonals.items():
-        at.sort()
-        first = last = at[0]
-        for p in [*at[1:], None]:
-            if p is not None and p <= last + 1:
-                last = p
-                continue
-            heap.append((-(last - first + seed), first - d, first))
-            first = last = p
+    for d, (first, last) in diagonals.items():
+        heap += [(-(z - a + seed), a - d, a) for a, z in zip(sorted(first), sorted(last), strict=True)]
     heapq.heapify(heap)
-    # only the stretches that seeds reach can be marked
-    taken_document: set[int] = set()
+    if not heap:
+        return []
+    # only the stretch that matches reach can be marked
+    low = min(p for _, _, p in heap)
+    taken_document = np.zeros(max(p - n for n, _, p in heap) - low, bool)
     taken_item = np.zeros(item_words, bool)
     tiles = []
     while heap:
         length, q, p = heapq.heappop(heap)
-        free = [i for i in range(-length) if p + i not in taken_document and not taken_item[q + i]]
-        if len(free) == -length:
-            tiles.append((p, q, -length))
-            taken_document.update(range(p, p - length))
-            taken_item[q : q - length] = True
+        n = -length
+        free = np.flatnonzero(~(taken_document[p - low : p - low + n] | taken_item[q : q + n]))
+        if len(free) == n:
+            tiles.append((p, q, n))
+            taken_document[p - low : p - low + n] = True
+            taken_item[q : q + n] = True
             continue
         # what is left of a match goes back as matches of its own
-        while free:
-            k = 1
-            while k < len(free) and free[k] == free[0] + k:
-                k += 1
-            if k >= seed:
-                heapq.heappush(heap, (-k, q + free[0], p + free[0]))
-            free = free[k:]
+        gaps = np.flatnonzero(np.diff(free) > 1) + 1
+        for part in np.split(free, gaps) if len(free) else []:
+            if len(part) >= seed:
+                heapq.heappush(heap, (-len(part), q + int(part[0]), p + int(part[0])))
     return tiles
 
 
+def neighbours(words: np.ndarray, n: int, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the word after each run of ``n`` words; ``none`` where the text ends."""
+    runs = max(0, len(words) - n + 1)
+    return np.append(none, words)[:runs], np.append(words, none)[n : n + runs]
+
+
 @dataclass
 class Benchmark:
     """Items, and the sorted hashes of their seeds with the items that hold them; short items by their words."""
@@ -136,12 +129,21 @@ class Benchmark:
         yield from found.items()
 
     def tiles(self, document: np.ndarray, i: int, places: list[int]) -> list[Tile]:
+        """``places``: where seeds that the item may hold start in the document."""
         item = self.items[i]
-        starts: dict[bytes, list[int]] = {}
-        for q in range(len(item) - SEED + 1):
-            starts.setdefault(item[q : q + SEED].tobytes(), []).append(q)
-        # equal words, not only an equal hash
-        return tile(((p, q) for p in telling_places(document, places, len(item)) for q in starts.get(document[p : p + SEED].tobytes(), ())), SEED, len(item))
+        # equal words, not only an equal hash; the item's places of each seed by the word before, and by the word after
+        held: dict[bytes, tuple[dict[int, list[int]], dict[int, list[int]]]] = {}
+        for q, (x, y) in enumerate(zip(*(z.tolist() for z in neighbours(item, SEED, ITEM_ENDS)), strict=True)):
+            before, after = held.setdefault(item[q : q + SEED].tobytes(), ({}, {}))
+            before.setdefault(x, []).append(q)
+            after.setdefault(y, []).append(q)
+        around = neighbours(document, SEED, DOCUMENT_ENDS)
+        pairs: tuple[list, list] = ([], [])
+        for p in places:
+            for side, groups in enumerate(held.get(document[p : p + SEED].tobytes(), ())):
+                mine = int(around[side][p])
+                pairs[side].extend((p, q) for other, qs in groups.items() if other != mine for q in qs)
+        return tile(*pairs, SEED, len(item))
 
     def contaminants(self, document: np.ndarray, threshold: float) -> Iterator[tuple[int, list[Tile], int]]:
         """Items that the document covers to ``threshold`` at least, with their tiles and the words covered."""
@@ -208,10 +210,12 @@ def joined_by_seeds(docs: DataFrame, items: DataFrame, threshold: float) -> Data
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, g = seed_hashes(words.values.to_numpy())
-                yield pa.record_batch([pa.array(np.full(len(h), i)), pa.array(np.arange(len(h))), pa.array(h), pa.array(g)], ["i", "q", "h", "g"])
+                words = words.values.to_numpy()
+                h, g = seed_hashes(words)
+                x, y = neighbours(words, min(SEED, len(words)), ITEM_ENDS)
+                yield pa.record_batch([pa.array(np.full(len(h), i)), pa.array(np.arange(len(h))), *map(pa.array, (h, g, x, y))], ["i", "q", "h", "g", "item_before", "item_after"])
 
-    seeds = staged(items.select("i", "w").mapInArrow(item_seeds, "i long, q long, h long, g long"), "tiling-seeds")
+    seeds = staged(items.select("i", "w").mapInArrow(item_seeds, "i long, q long, h long, g long, item_before long, item_after long"), "tiling-seeds")
     shipped = spark.sparkContext.broadcast(bit_table(seeds))
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,21 +226,25 @@ def joined_by_seeds(docs: DataFrame, items: DataFrame, threshold: float) -> Data
                 if not len(words):
                     continue
                 h, g = seed_hashes(words)
+                x, y = neighbours(words, min(SEED, len(words)), DOCUMENT_ENDS)
                 bit = h.view(np.uint64) % np.uint64(BITS)
                 p = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] & (128 >> (bit & np.uint64(7)).astype(np.int64)))
                 if len(p):
-                    yield pa.record_batch([pa.array(np.full(len(p), k1)), pa.array(np.full(len(p), k2)), pa.array(p), pa.array(h[p]), pa.array(g[p])], ["k1", "k2", "p", "h", "g"])
+                    yield pa.record_batch([pa.array(np.full(len(p), k1)), pa.array(np.full(len(p), k2)), pa.array(p), *(pa.array(c[p]) for c in (h, g, x, y))], ["k1", "k2", "p", "h", "g", "before", "after"])
 
-    hits = docs.select(*text_keys(), word_hashes(F.col("text")).alias("w")).mapInArrow(doc_seeds, "k1 long, k2 long, p long, h long, g long")
-    # equal texts bring equal places; a set keeps one of each
-    places = hits.join(seeds, ["h", "g"]).groupBy("k1", "k2", "i").agg(F.collect_set(F.struct("p", "q")).alias("places"))
-    rows = places.join(items.select("i", "item_id", F.size("w").cast("long").alias("n")), "i").select("k1", "k2", "item_id", "n", "places.p", "places.q")
+    hits = docs.select(*text_keys(), word_hashes(F.col("text")).alias("w")).mapInArrow(doc_seeds, "k1 long, k2 long, p long, h long, g long, before long, after long")
+    # a pair of places inside a longer match says nothing; the join leaves it out. Equal texts bring equal places, of which a set keeps one
+    begins, ends = F.col("before") != F.col("item_before"), F.col("after") != F.col("item_after")
+    met = hits.join(seeds, (hits["h"] == seeds["h"]) & (hits["g"] == seeds["g"]) & (begins | ends))
+    pair = F.struct("p", "q")
+    places = met.groupBy("k1", "k2", "i").agg(F.collect_set(F.when(begins, pair)).alias("starts"), F.collect_set(F.when(ends, pair)).alias("ends"))
+    rows = places.join(items.select("i", "item_id", F.size("w").cast("long").alias("n")), "i").select("k1", "k2", "item_id", "n", "starts.p", "starts.q", F.col("ends.p").alias("end_p"), F.col("ends.q").alias("end_q"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k1, k2, item_id, n, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tiles = tile(zip(p, q, strict=True), min(SEED, n), n)
+            for k1, k2, item_id, n, p, q, end_p, end_q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tiles = tile(zip(p, q, strict=True), zip(end_p, end_q, strict=True), min(SEED, n), n)
                 covered = sum(t[2] for t in tiles)
                 if covered >= threshold * n:
                     found.append((k1, k2, item_id, covered / n, len(tiles), tiles[0][2], n))

@@ -11,8 +11,8 @@ hash). Base spans always count, so candidates that overlap one are left out at o
 whether they overlap each other or not; those count that the classifier gives ``least`` or more, and only of such ones that
 overlap, the likeliest stays.
 
-Defined cases: a null or empty text has no spans; without candidates nothing is fitted and only base spans count; repeated
-rows are scanned once each; a null doc_id is kept; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null or empty text has no spans; without candidates nothing is fitted and only base spans count; texts of any length are scanned
+whole, and runs of thousands of digits, signs or dots in time that grows with them alone; repeated rows are scanned once each; a null doc_id is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def candidates(text: str) -> list[Span]:
     """All candidates, base ones first, without votes; those that overlap a base span are left out, others may overlap."""
     base, more = [Span("email", s, e, True) for s, e in emails(text)], []
     for m in IP.finditer(text):
-        fits = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+        fits = all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))
         (base if fits else more).append(Span("ip", m.start(), m.end(), fits))
     for m in CARD.finditer(text):
         digits = digits_of(m[0])

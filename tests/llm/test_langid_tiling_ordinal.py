@@ -79,10 +79,29 @@ def test_long_runs_of_one_word_cost_little_and_tile_alike():
         own = tiling.Benchmark.of([(1, np.array(item, np.int64))])
         assert own.tiles(np.array(doc, np.int64), 0, list(range(len(doc) - 4))) == brute_tiles(doc, item, 5)
     own = tiling.Benchmark.of([(1, np.ones(200, np.int64))])
-    assert len(tiling.telling_places(np.ones(100_000, np.int64), list(range(99_996)), 200)) <= 601
     assert own.tiles(np.ones(100_000, np.int64), 0, list(range(99_996))) == [(0, 0, 200)]
 
 
+def test_repeated_words_and_phrases_on_both_paths(spark):
+    item, phrase = "same " * 2000, "one two three four five six seven "
+    docs = documents(spark, ["same " * 20_000, phrase * 3000, f"{phrase * 40} other words {phrase * 20}", "same", None])
+    bench = spark.createDataFrame([(1, item), (2, phrase * 300), (3, phrase * 55), (4, "same")], "item_id long, text string")
+    found = [sorted(map(tuple, tiling.contaminated(docs, bench, broadcast_words=most).collect())) for most in (tiling.BROADCAST_WORDS, 10)]
+    assert found[0] == found[1]
+    assert [(d, i, round(c, 3)) for d, i, c, *_ in found[0]] == [(0, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 1.0)]
+
+
+def test_a_seed_that_most_documents_hold(spark):
+    r = random.Random(9)
+    prose = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    common = "now all of this is known".split()
+    items = [(i, " ".join(prose(9) + common + prose(9))) for i in range(30)]
+    texts = [" ".join(prose(20) + common + prose(5)) for _ in range(400)] + [" ".join(prose(3)) + " " + t for _, t in items]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(map(tuple, tiling.contaminated(docs, bench, broadcast_words=most).collect())) for most in (tiling.BROADCAST_WORDS, 10)]
+    assert found[0] == found[1] == brute_contaminated(list(enumerate(texts)), items, 0.6) and len(found[0]) == 30
+
+
 def brute_contaminated(docs, items, threshold):
     out = []
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]

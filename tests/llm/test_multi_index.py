@@ -46,20 +46,50 @@ def test_few_candidates_and_empty_tables(spark):
     assert search(table(spark, [])) == {} and search(table(spark, [(0, None)])) == {}
 
 
-def test_recall_on_given_vectors(spark):
+def recall_of(got, want):
+    return sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in x}) for q, x in want.items()) / sum(map(len, want.values()))
+
+
+def visited(x, per_cell=48, recall=0.95):
+    """The share that walks pass over these vectors."""
+    half, k = x.shape[1] // 2, int(np.sqrt(len(x) / per_cell))
+    index = multi_index.Index(multi_index.lloyd(x[:, :half], k), multi_index.lloyd(x[:, half:], k), np.arange(len(x)), x)
+    sizes = np.bincount(index.cells(x), minlength=len(index.first) * len(index.second))
+    return multi_index.measured_share(index, sizes, 20, recall)
+
+
+def test_recall_and_share_on_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()], 20)
-    got = search(df)
-    found = sum(len({v for v, _ in got[q]} & {v for v, _ in x}) for q, x in want.items())
-    assert found >= 0.9 * sum(map(len, want.values()))
+    given = [(r["vec_id"], np.array(r["embedding"])) for r in df.collect()]
+    for norms, most in ((lambda r: 1, 0.85), (lambda r: r.uniform(0.5, 1.5), 0.96), (lambda r: r.lognormal(0, 0.5), 0.99)):
+        r = np.random.default_rng(6)
+        rows = [(i, (v * norms(r)).astype(np.float32).tolist()) for i, v in given]
+        assert recall_of(search(table(spark, rows)), brute(rows, 20)) >= 0.9
+        assert visited(np.array([v for _, v in rows])) < most
+
+
+def test_fifty_thousand_vectors(spark):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((400, 32))[r.integers(0, 400, 50_000)] + 0.7 * r.standard_normal((50_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1, 2) for i, v in enumerate(x)], SCHEMA)
+    got, y, found = search(df, every=500), x.astype(float), 0
+    for q in range(0, 50_000, 500):
+        scores = y @ y[q]
+        scores[q] = -np.inf
+        found += len({v for v, _ in got[q]} & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert found >= 0.9 * 100 * 20
+    assert visited(y[:20_000], per_cell=20) < 0.4
 
 
 def test_walk_visits_cells_by_summed_distance():
     r = np.random.default_rng(1)
     a, b, sizes = r.random(5), r.random(6), np.ones(30, int)
-    order = multi_index.walk(a, b, sizes, 30)
+    order, last = multi_index.walk(a, b, sizes, 30)
     sums = [a[c // 6] + b[c % 6] for c in order]
-    assert sorted(order) == list(range(30)) and sums == sorted(sums)
+    assert sorted(order) == list(range(30)) and sums == sorted(sums) and last == sums[-1]
+    short, last = multi_index.walk(a, b, sizes * 10, 95)
+    assert short == order[:10] and last == sums[9]
 
 
 def test_mixed_norms_lose_nothing(spark):
@@ -69,6 +99,7 @@ def test_mixed_norms_lose_nothing(spark):
         rows = [(i, (v * norms(r)).astype(np.float32).tolist()) for i, v in given]
         want = brute(rows, 20)
         for how in ({}, {"sample_size": 300}, {"per_cell": 4}):
+            how = how | {"share": 1.0}
             assert {q: [v for v, _ in x] for q, x in search(table(spark, rows), **how).items()} == {q: [v for v, _ in x] for q, x in want.items()}
 
 
@@ -84,7 +115,7 @@ def test_bounds_leave_cells_out_and_answers_in():
         bounds.append(multi_index.at_most(h[:50], c, *np.array(far).T))
     sizes, passed = np.bincount(cells, minlength=len(first) * len(second)), 0
     for q, (a, b, beat) in enumerate(zip(*bounds, multi_index.to_beat(np.arange(50), x[:50], index, 20), strict=True)):
-        seen = multi_index.walk(-a, -b, sizes, np.inf, -beat + 1e-9)
+        seen = np.flatnonzero((a[:, None] + b).ravel() >= beat - 1e-9)
         best = [j for j in np.argsort(-(x @ x[q])) if j != q][:20]
         assert set(cells[best]) <= set(seen)
         passed += sizes[seen].sum()
@@ -99,22 +130,11 @@ def test_exact_ties_of_large_components():
         q[[0, 32]] = a
         have = r.random((40, 64)) * 1e8
         have[::2, [0, 32]], have[1::2, [0, 32]] = (y, x), (x, y)
-        got = list(multi_index.best_of_block([(99, q, np.array([0]))], np.arange(40), np.zeros(40, int), have, 4, 1))
+        got = list(multi_index.best_of_block(np.array([99]), q[None], np.ones((1, 1), bool), np.arange(40), np.zeros(40, int), have, 4))
         assert [v for _, v, _ in got] == [0, 1, 2, 3]
 
 
-def test_clustered_vectors_leave_most_cells_out_and_a_share_ends_walks():
+def test_clustered_vectors_leave_most_cells_out():
     r = np.random.default_rng(5)
     x = r.standard_normal((30, 16))[r.integers(0, 30, 4000)] * 4 + 0.05 * r.standard_normal((4000, 16))
-    a, b = multi_index.lloyd(x[:, :8], 9), multi_index.lloyd(x[:, 8:], 9)
-    index = multi_index.Index(a, b, np.arange(4000), x)
-    cells = index.cells(x)
-    sizes = np.bincount(cells, minlength=len(a) * len(b))
-    bounds = []
-    for h, of, c in ((x[:, :8], cells // len(b), a), (x[:, 8:], cells % len(b), b)):
-        bounds.append(multi_index.at_most(h[:40], c, *np.array([[np.linalg.norm(y, axis=1).max() if len(y) else 0 for y in (h[of == k] - d, h[of == k])] for k, d in enumerate(c)]).T))
-    beat = multi_index.to_beat(np.arange(40), x[:40], index, 20)
-    seen = [multi_index.walk(-p, -q, sizes, np.inf, -t + 1e-9) for p, q, t in zip(*bounds, beat, strict=True)]
-    assert np.mean([sizes[s].sum() for s in seen]) < 0.5 * 4000
-    short = multi_index.walk(-bounds[0][0], -bounds[1][0], sizes, 500)
-    assert sizes[short].sum() >= 500 > sizes[short[:-1]].sum()
+    assert visited(x) < 0.2

@@ -66,6 +66,21 @@ def test_long_runs_take_no_quadratic_time(spark):
     assert weak_pii.candidates("9" * 400_000 + "a" * 400_000 + "1" * 400_000) == []
 
 
+RUNS = ["ip 1.2.3." + "0" * 5000 + "1 end", "ip " + "9" * 6000 + ".1.1.1", "card " + "4" * 9000, "+" + "1" * 9000, "+1" + "(" * 9000 + "2", "1." * 9000, "1 2-" * 5000, "0.0.0.0" * 3000, "@" * 9000 + "a.b", "a@" + "b-" * 5000 + ".c" * 3000]
+
+
+def test_runs_of_thousands_of_digits_and_signs(spark):
+    for text in RUNS:
+        weak_pii.scanned(text)
+    assert [(s.kind, s.base) for s in weak_pii.candidates(RUNS[0])][0] == ("ip", True)
+    r = random.Random(3)
+    texts = RUNS + ["".join(r.choice("0123456789.-+() @ab") * r.choice([1, 1, 2, 3000]) for _ in range(12)) for _ in range(40)]
+    docs = documents(spark, texts)
+    assert weak_pii.find_personal_data(docs).count() == len(texts)
+    kept = {x["doc_id"]: x["text"] for x in weak_pii.without_personal_data(docs).collect()}
+    assert kept[0] == "ip <ip> end" and len(kept) == len(texts)
+
+
 def test_overlaps_with_earlier_and_with_base_spans():
     span = lambda s, e, b=False: weak_pii.Span("phone", s, e, b)
     kept = weak_pii.without_overlaps([span(0, 5), span(4, 9), span(9, 12), span(30, 40), span(50, 55)], [span(11, 13, True), span(20, 100, True), span(25, 26, True)])
