@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.columns import dot
+from gleanery.sources.sinks import staged
 
 
 def latest(events: DataFrame, key: str, order: list[Column], tombstone: Column | None = None) -> DataFrame:
@@ -31,13 +32,14 @@ def mid_ranks(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
     equal, null where there is none. ``key`` is unique.
 
     All columns go in one pass: distinct values are counted by column and ranked by a range sort with offsets by partition, so
-    no window spans the table, and rows without a value take no part. ``df`` is read three times; persist a dear one.
+    no window spans the table, and rows without a value take no part. ``df`` is read three times; stage a dear one.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in names])
     values = df.select(key, F.inline(pairs)).filter("__v IS NOT NULL")
     counts = values.groupBy("__c", "__v").agg(F.count("*").alias("__n"))
     ordered = counts.repartitionByRange("__c", "__v").sortWithinPartitions("__c", "__v").withColumn("__part", F.spark_partition_id())
-    local = ordered.withColumn("__below", F.sum("__n").over(Window.partitionBy("__part", "__c").orderBy("__v")) - F.col("__n")).persist()
+    local = ordered.withColumn("__below", F.sum("__n").over(Window.partitionBy("__part", "__c").orderBy("__v")) - F.col("__n"))
+    local = staged(local, "mid-ranks")  # a row for each column and distinct value; read twice, with the same partitions
     parts = local.groupBy("__c", "__part").agg(F.sum("__n").alias("__all"))  # a row for each column in each partition
     of = Window.partitionBy("__c")
     before = parts.select("__c", "__part", (F.sum("__all").over(of.orderBy("__part")) - F.col("__all")).alias("__before"), F.sum("__all").over(of).alias("__total"))

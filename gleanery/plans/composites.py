@@ -169,13 +169,6 @@ def top_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(z, "left_id", [F.desc(F.round("z", 9)), F.asc("right_id")], 3)
 
 
-@query("V9_affinity", f"{ZS} SELECT left_id, round(sum(least(z / 3, 1) * ((right_id % 10 + 1) / 12.0 - 0.5)) / sum(least(z / 3, 1)), 6) AS affinity FROM r WHERE rank <= 3 AND z > 0 GROUP BY 1")
-def v9(spark, sf):
-    strength = F.least(F.col("z") / 3, F.lit(1.0))
-    rate = (F.col("right_id") % 10 + 1) / F.lit(12.0)
-    return top_interests(spark, sf).filter("z > 0").groupBy("left_id").agg(F.round(F.sum(strength * (rate - 0.5)) / F.sum(strength), 6).alias("affinity"))
-
-
 @query("V11_evidence", with_views("verdicts latest candidates", ", c AS (SELECT article_id, arg_max(CASE WHEN stage = 'R' THEN 0.85 WHEN stage = 'A' THEN least(utility, 100) / 100 END, run_id) AS v FROM candidates WHERE stage <> 'N' GROUP BY 1) SELECT article_id, round(coalesce(l.value, c.v), 6)::DOUBLE AS evidence FROM c LEFT JOIN latest l USING (article_id)"))
 def v11(spark, sf):
     v = F.when(F.col("stage") == "R", 0.85).when(F.col("stage") == "A", F.least("utility", F.lit(100)).cast("double") / 100)

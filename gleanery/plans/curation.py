@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.columns import TRACKING_NAMES, age_days, bound, canonical_url, decay, gate, long_form, reading_minutes, under_domain, weighted_mean, word_count
-from gleanery.operators.ranking import mid_ranks, smoothed_rates, top_k
+from gleanery.functions.columns import ROUNDUP_PHRASES, TRACKING_NAMES, age_days, bound, canonical_url, decay, gate, long_form, reading_minutes, roundup_title, under_domain, weighted_mean, word_count
+from gleanery.operators.admission import Retriever, admit, lineup
+from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, smoothed_rates, top_k
 from gleanery.operators.trees import pruned, within_word_budget
-from gleanery.sources.sinks import append, drafts, kept_files, named_by_day, publish
+from gleanery.params import RANKING, Ranking
+from gleanery.sources.sinks import append, drafts, kept_files, named_by_day, publish, staged
 from gleanery.sources.views import NOW, articles, candidates, runs, table, verdicts, with_views
 
 from .catalog import ORACLE, QUERIES, query
 from .composites import top_interests
 from .lookups import CANONICAL, O12_DAYS
 from .reports import HALF_LIFE, latest_verdicts, now
-from .signals import KNN, MIDRANK, PAIRS, WORDS, interest_scores, neighbours
+from .signals import KNN, MIDRANK, PAIRS, WORDS, interest_scores, neighbours, rated, rounds_sql
 
 # ---------------------------------------------------------------- credit
 
@@ -86,12 +90,13 @@ def a16(spark, sf):
     return interest_scores(spark, sf).groupBy("right_id").agg(F.round(F.avg("score"), 9).alias("mean"), F.round(F.greatest(F.stddev_pop("score"), F.lit(1e-3)), 9).alias("std"))
 
 
-@query("A28_neighbour_usage", with_views("candidates", ", " + KNN.removeprefix("WITH ") + ", stage AS (SELECT article_id, arg_max(stage, run_id) AS stage FROM candidates GROUP BY 1) SELECT right_id, count(DISTINCT left_id) AS listed, count(DISTINCT left_id) FILTER (stage = 'R') AS selected FROM k LEFT JOIN stage ON article_id = left_id WHERE rank <= 5 GROUP BY 1"))
+@query("A28_neighbour_usage", with_views("candidates", ", " + KNN.removeprefix("WITH ") + ", stage AS (SELECT article_id, arg_max(stage, run_id) AS stage FROM candidates GROUP BY 1), n AS (SELECT left_id, right_id FROM s QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) <= 3) SELECT right_id, count(*) AS listed, count(*) FILTER (stage = 'R') AS selected FROM n LEFT JOIN stage ON article_id = left_id GROUP BY 1"))
 def a28(spark, sf):
-    """For each rated article the candidates that list it among their neighbours, and how many of them were selected."""
+    """For each rated article the candidates that have it among their three nearest, whatever their sign, and how many of them were
+    selected."""
     last = candidates(spark, sf).groupBy(F.col("article_id").alias("left_id")).agg(F.max_by("stage", "run_id").alias("stage"))
-    lists = neighbours(spark, sf).groupBy("left_id").agg(F.collect_set("right_id").alias("used")).join(last, "left_id", "left")  # at most 2k ids a row
-    each = lists.select(F.explode("used").alias("right_id"), (F.coalesce("stage", F.lit("")) == "R").alias("hit"))
+    near = top_k(neighbours(spark, sf).drop("rank"), "left_id", [F.desc(F.round("score", 9)), F.asc("right_id")], 3)
+    each = near.join(last, "left_id", "left").select("right_id", (F.coalesce("stage", F.lit("")) == "R").alias("hit"))
     return each.groupBy("right_id").agg(F.count("*").alias("listed"), F.count_if("hit").alias("selected"))
 
 
@@ -128,53 +133,79 @@ def v7(spark, sf):
 # ---------------------------------------------------------------- the matrix, the blend, the utility
 
 SIGNALS = ("interest", "knn", "affinity", "heuristic", "feed", "social")
-BLEND_WEIGHTS = {"interest": 0.3, "knn": 0.25, "affinity": 0.1, "heuristic": 0.15, "feed": 0.15, "social": 0.05}
-UTILITY_WEIGHTS = {"quality": 0.25, "fit": 0.25, "knn": 0.12, "affinity": 0.05, "interest": 0.12, "feed": 0.08, "triage": 0.05, "social": 0.04, "heuristic": 0.04}
-GATES = {"knn": (10, 60), "affinity": (20, 80), "feed": (5, 40)}
-SLOP_PENALTY, DEEP = 0.4, 120
+GATED = ("knn", "affinity", "feed")
+
+
+def affinities(matches: DataFrame, rates: DataFrame) -> DataFrame:
+    """article_id, affinity: the mean of (rate - 0.5) over an article's rated interests, by strength z / 3 held between 0 and 1. Interests
+    that nobody rated are left out."""
+    strength = F.least(F.greatest(F.col("z") / 3, F.lit(0.0)), F.lit(1.0))
+    joined = matches.join(F.broadcast(rates.filter("n > 0").select("right_id", "rate")), "right_id").withColumn("strength", strength)  # a row for each interest
+    sums = joined.groupBy(F.col("left_id").alias("article_id")).agg(F.sum(F.col("strength") * (F.col("rate") - 0.5)).alias("x"), F.sum("strength").alias("y"))
+    return sums.filter("y > 0").select("article_id", F.round(F.col("x") / F.col("y"), 6).alias("affinity"))
+
+
+RATED_INTERESTS = f"""m AS (SELECT article_id, right_id, {DECAYED} * least(z / 3, 1) AS credit FROM latest JOIN top3 ON left_id = article_id WHERE z > 0),
+interest_rates AS (SELECT right_id, (sum(greatest(credit, 0)) + 1) / (sum(abs(credit)) + 2) AS rate FROM m GROUP BY 1),
+m_affinity AS (SELECT left_id AS article_id, round(sum(least(greatest(z / 3, 0), 1) * (rate - 0.5)) / sum(least(greatest(z / 3, 0), 1)), 6) AS affinity FROM top3 JOIN interest_rates USING (right_id) GROUP BY 1 HAVING sum(least(greatest(z / 3, 0), 1)) > 0)"""
+
+
+@query("V9_affinity", with_views("verdicts latest", f", {Z_ROWS}, {RATED_INTERESTS} SELECT article_id AS left_id, affinity FROM m_affinity"))
+def v9(spark, sf):
+    z = top_interests(spark, sf)
+    rates = interest_rates(decayed(spark, sf).select("article_id", "weight"), z.select("left_id", "right_id", "z"))
+    return affinities(z, rates).withColumnRenamed("article_id", "left_id")
 
 
-def signal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_matrix(spark: SparkSession, sf_dir: str, ranking: Ranking = RANKING) -> DataFrame:
     """A row for each document: the six raw signals (null where there is none), slop (its author was reported), and the gates, which
-    open with the number of ratings."""
+    open with the number of ratings that a signal can use: rated articles with a vector, with a feed, with an interest. A signal
+    behind a closed gate is absent."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), word_count(F.col("text")).alias("w"), "lang")
     heuristic = F.round(long_form(F.col("w"), F.col("w") < 60, F.coalesce(F.col("lang") == "fr", F.lit(False))), 6)
     six = lambda c: F.round(c, 6)
-    z = top_interests(spark, sf_dir)
-    strength, rate = F.least(F.col("z") / 3, F.lit(1.0)), (F.col("right_id") % 10 + 1) / F.lit(12.0)
+    z = staged(top_interests(spark, sf_dir), "top-interests")
     interest = z.groupBy(F.col("left_id").alias("article_id")).agg(six(0.7 * F.max("z") + 0.3 * F.avg("z")).alias("interest"))
-    affinity = z.filter("z > 0").groupBy(F.col("left_id").alias("article_id")).agg(six(F.sum(strength * (rate - 0.5)) / F.sum(strength)).alias("affinity"))
+    given = staged(decayed(spark, sf_dir), "verdicts")
+    by_interest = interest_rates(given.select("article_id", "weight"), z.select("left_id", "right_id", "z"))
+    affinity = affinities(z, by_interest)
     mean = lambda sign: F.coalesce(F.avg(F.when(F.col("value") == sign, F.col("score"))), F.lit(0.0))
-    knn = neighbours(spark, sf_dir).groupBy(F.col("left_id").alias("article_id")).agg(six(mean(1.0) - 0.75 * mean(-1.0)).alias("knn"))
-    of = carriers(spark, sf_dir)
-    given = decayed(spark, sf_dir)
+    knn = neighbours(spark, sf_dir, ranking.neighbours).groupBy(F.col("left_id").alias("article_id")).agg(six(mean(1.0) - ranking.negative_coefficient * mean(-1.0)).alias("knn"))
+    of = staged(carriers(spark, sf_dir), "carriers")
     rates = credit_rates(given.join(of, "article_id")).select("kind", "key", "rate")
     keys = of.select("article_id", F.explode(F.concat(F.transform("feeds", lambda f: F.struct(F.lit("feed").alias("kind"), f.cast("string").alias("key"))), F.array(F.struct(F.lit("author").alias("kind"), F.col("author").alias("key"))))).alias("k")).select("article_id", "k.*")
     feed = keys.join(rates, ["kind", "key"]).groupBy("article_id").agg(six(F.avg("rate")).alias("feed"))
     social = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("article_id")).agg(six(F.sum(F.log10(1 + F.greatest("value", F.lit(0.0)))) + 0.5 * F.log10(1 + F.count("*"))).alias("social"))
     reported = given.filter("label = 'slop'").join(of, "article_id").filter("author IS NOT NULL").select("author").distinct().withColumn("slop", F.lit(True))
     slop = of.join(reported, "author").select("article_id", "slop")
-    n = given.agg(F.count("*").alias("n"))  # one row
     out = d.select("article_id", heuristic.alias("heuristic"))
     for part in (interest, affinity, knn, feed, social, slop):
         out = out.join(part, "article_id", "left")
-    gates = [gate(F.col("n"), *limits).cast("double").alias(f"{name}_gate") for name, limits in GATES.items()]
-    return out.join(F.broadcast(n)).select("article_id", *SIGNALS, F.coalesce("slop", F.lit(False)).alias("slop"), *gates)
-
-
-_GATE = lambda lo, hi: f"CASE WHEN n <= {lo} THEN 0.0 WHEN n >= {hi} THEN 1.0 ELSE (n - {lo}) / {hi - lo} END::DOUBLE"
-MATRIX = f"""{FEEDS}, {RATES}, {Z_ROWS},
+    counts = (
+        ("knn", ranking.knn_gate, rated(spark, sf_dir).agg(F.count("*").alias("knn_n"))),
+        ("affinity", ranking.affinity_gate, by_interest.agg(F.coalesce(F.max("attributable"), F.lit(0)).alias("affinity_n"))),
+        ("feed", ranking.feed_gate, given.join(of, "article_id").agg(F.count("*").alias("feed_n"))),
+    )
+    for name, limits, n in counts:  # one row each
+        out = out.join(F.broadcast(n)).withColumn(f"{name}_gate", gate(F.col(f"{name}_n"), limits.floor, limits.full).cast("double"))
+    open_ = lambda s: F.when(F.col(f"{s}_gate") > 0, F.col(s)).alias(s) if s in GATED else F.col(s)
+    return out.select("article_id", *map(open_, SIGNALS), F.coalesce("slop", F.lit(False)).alias("slop"), *[f"{g}_gate" for g in GATED])
+
+
+# The numbers of the SQL are written out; they are not taken from the parameters that they check.
+MATRIX = f"""{FEEDS}, {RATES}, {Z_ROWS}, {RATED_INTERESTS},
 m_interest AS (SELECT left_id AS article_id, round(0.7 * max(z) + 0.3 * avg(z), 6) AS interest FROM top3 GROUP BY 1),
-m_affinity AS (SELECT left_id AS article_id, round(sum(least(z / 3, 1) * ((right_id % 10 + 1) / 12.0 - 0.5)) / sum(least(z / 3, 1)), 6) AS affinity FROM top3 WHERE z > 0 GROUP BY 1),
 m_knn AS (SELECT left_id AS article_id, knn FROM ({ORACLE["V8_knn_score"]})),
 m_keys AS (SELECT article_id, 'feed' AS kind, unnest(feeds)::VARCHAR AS key FROM of_article UNION ALL SELECT article_id, 'author', author FROM of_article),
 m_feed AS (SELECT article_id, round(avg(rate), 6) AS feed FROM m_keys JOIN rates USING (kind, key) GROUP BY 1),
 m_social AS (SELECT user_id AS article_id, round(sum(log10(1 + greatest(value, 0))) + 0.5 * log10(1 + count(*)), 6) AS social FROM events GROUP BY 1),
 m_slop AS (SELECT article_id, true AS slop FROM of_article WHERE author IN (SELECT author FROM latest JOIN of_article USING (article_id) WHERE label = 'slop' AND author IS NOT NULL)),
 m_words AS (SELECT doc_id AS article_id, lang, {WORDS} AS w FROM documents),
-matrix AS MATERIALIZED (SELECT article_id, interest, knn, affinity, round(35 * pow(least(greatest((w - 300) / 2200.0, 0), 1), 0.65) - CASE WHEN w < 60 THEN 20 ELSE 0 END - CASE WHEN lang = 'fr' THEN 15 ELSE 0 END, 6)::DOUBLE AS heuristic, feed, social,
- coalesce(slop, false) AS slop, {", ".join(f"{_GATE(*GATES[g])} AS {g}_gate" for g in GATES)}
- FROM m_words LEFT JOIN m_interest USING (article_id) LEFT JOIN m_affinity USING (article_id) LEFT JOIN m_knn USING (article_id) LEFT JOIN m_feed USING (article_id) LEFT JOIN m_social USING (article_id) LEFT JOIN m_slop USING (article_id), (SELECT count(*) AS n FROM latest))"""
+gates AS (SELECT CASE WHEN k <= 8 THEN 0.0 WHEN k >= 25 THEN 1.0 ELSE (k - 8) / 17.0 END::DOUBLE AS knn_gate, CASE WHEN a <= 15 THEN 0.0 WHEN a >= 40 THEN 1.0 ELSE (a - 15) / 25.0 END::DOUBLE AS affinity_gate, CASE WHEN f <= 15 THEN 0.0 WHEN f >= 40 THEN 1.0 ELSE (f - 15) / 25.0 END::DOUBLE AS feed_gate
+ FROM (SELECT (SELECT count(*) FROM labels JOIN embeddings ON vec_id = doc_id) AS k, (SELECT count(DISTINCT article_id) FROM m) AS a, (SELECT count(*) FROM rated) AS f)),
+matrix AS MATERIALIZED (SELECT article_id, interest, CASE WHEN knn_gate > 0 THEN knn END AS knn, CASE WHEN affinity_gate > 0 THEN affinity END AS affinity, round(35 * pow(least(greatest((w - 300) / 2200.0, 0), 1), 0.65) - CASE WHEN w < 60 THEN 20 ELSE 0 END - CASE WHEN lang = 'fr' THEN 15 ELSE 0 END, 6)::DOUBLE AS heuristic, CASE WHEN feed_gate > 0 THEN feed END AS feed, social,
+ coalesce(slop, false) AS slop, knn_gate, affinity_gate, feed_gate
+ FROM m_words LEFT JOIN m_interest USING (article_id) LEFT JOIN m_affinity USING (article_id) LEFT JOIN m_knn USING (article_id) LEFT JOIN m_feed USING (article_id) LEFT JOIN m_social USING (article_id) LEFT JOIN m_slop USING (article_id), gates)"""
 
 
 @query("K5_signal_matrix", with_views("verdicts latest", f", {MATRIX} FROM matrix"))
@@ -187,20 +218,22 @@ def normalised(df: DataFrame) -> DataFrame:
     return mid_ranks(df, "article_id", {s: f"n_{s}" for s in SIGNALS})
 
 
-def gated_mean(weights: dict[str, float], columns: dict[str, Column]) -> Column:
+def gated_mean(weights: Mapping[str, float], columns: dict[str, Column], slop_penalty: float) -> Column:
     """100 times the mean of the values present, by weight times gate, times what a reported author leaves; null if no weight is
     left."""
-    gated = lambda name: F.col(f"{name}_gate") if name in GATES else F.lit(1.0)
+    gated = lambda name: F.col(f"{name}_gate") if name in GATED else F.lit(1.0)
     total = weight = F.lit(0.0)
     for name, w in weights.items():
         there = columns[name].isNotNull() & (gated(name) > 0)
         total = total + F.when(there, columns[name] * gated(name) * w).otherwise(0.0)
         weight = weight + F.when(there, gated(name) * w).otherwise(0.0)
-    return F.when(weight > 0, total / weight * 100 * F.when(F.col("slop"), 1 - SLOP_PENALTY).otherwise(1.0))
+    return F.when(weight > 0, total / weight * 100 * F.when(F.col("slop"), 1 - slop_penalty).otherwise(1.0))
 
 
-def preliminary(matrix: DataFrame) -> DataFrame:
-    return normalised(matrix.persist()).withColumn("blend", F.round(gated_mean(BLEND_WEIGHTS, {s: F.col(f"n_{s}") for s in SIGNALS}), 6))
+def preliminary(matrix: DataFrame, ranking: Ranking = RANKING) -> DataFrame:
+    """Adds the percentiles and the blend; the matrix is written once, since it is read three times."""
+    blend = gated_mean(ranking.preliminary, {s: F.col(f"n_{s}") for s in SIGNALS}, ranking.slop_author_penalty)
+    return normalised(staged(matrix, "matrix")).withColumn("blend", F.round(blend, 6))
 
 
 def _norms(source: str, prefix: str) -> str:
@@ -208,15 +241,19 @@ def _norms(source: str, prefix: str) -> str:
     return ", ".join(f"{prefix}_{s} AS (SELECT article_id, CASE WHEN count(*) OVER (PARTITION BY {s}) = count(*) OVER () THEN 0.5 ELSE {rank(s)} END AS n_{s} FROM {source} WHERE {s} IS NOT NULL)" for s in SIGNALS)
 
 
-def _mean_sql(weights: dict[str, float], value: dict[str, str]) -> str:
-    g = lambda s: f"{s}_gate" if s in GATES else "1.0"
+SQL_BLEND = {"interest": "0.30", "knn": "0.25", "heuristic": "0.20", "affinity": "0.10", "feed": "0.10", "social": "0.05"}
+SQL_UTILITY = {"quality": "0.40", "fit": "0.20", "knn": "0.10", "interest": "0.10", "affinity": "0.05", "feed": "0.05", "triage": "0.05", "social": "0.03", "heuristic": "0.02"}
+
+
+def _mean_sql(weights: dict[str, str], value: dict[str, str]) -> str:
+    g = lambda s: f"{s}_gate" if s in GATED else "1.0"
     total = " + ".join(f"coalesce({value[s]} * {g(s)} * {w}, 0)" for s, w in weights.items())
     weight = " + ".join(f"CASE WHEN {value[s]} IS NULL THEN 0 ELSE {g(s)} * {w} END" for s, w in weights.items())
-    return f"round(({total}) / nullif({weight}, 0) * 100 * CASE WHEN slop THEN {1 - SLOP_PENALTY} ELSE 1 END, 6)"
+    return f"round(({total}) / nullif({weight}, 0) * 100 * CASE WHEN slop THEN 0.25 ELSE 1 END, 6)"
 
 
 _joined = lambda source, prefix: source + "".join(f" LEFT JOIN {prefix}_{s} USING (article_id)" for s in SIGNALS)
-BLENDED_SQL = f"{MATRIX}, {_norms('matrix', 'p')}, blended AS MATERIALIZED (SELECT article_id, {_mean_sql(BLEND_WEIGHTS, {s: f'n_{s}' for s in SIGNALS})}::DOUBLE AS blend FROM {_joined('matrix', 'p')})"
+BLENDED_SQL = f"{MATRIX}, {_norms('matrix', 'p')}, blended AS MATERIALIZED (SELECT article_id, {_mean_sql(SQL_BLEND, {s: f'n_{s}' for s in SIGNALS})}::DOUBLE AS blend FROM {_joined('matrix', 'p')})"
 
 
 @query("V10_blend", with_views("verdicts latest", f", {BLENDED_SQL} SELECT article_id, blend FROM blended"))
@@ -224,37 +261,156 @@ def v10(spark, sf):
     return preliminary(signal_matrix(spark, sf)).select("article_id", "blend")
 
 
+DAY, DAY_THRESHOLD = "2024-01-15", 0.3
+"""The day of the flow. No two given vectors are as close as the default threshold asks, so clusters form at 0.3."""
+
 JUDGES = {"triage": (7, 5), "quality": (3, 6), "fit": (5, 4)}
 """Rules on the id that stand in for the scores of a judge: id * a % 11, none for every b-th id."""
 
 
-def deep_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first articles by blend, with the scores of the judges and percentiles among themselves, and their utility."""
-    top = preliminary(signal_matrix(spark, sf_dir)).orderBy(F.desc_nulls_last("blend"), "article_id").limit(DEEP)
-    rows = top.select("article_id", *SIGNALS, "slop", *[f"{g}_gate" for g in GATES], "blend")
-    judged = {j: F.when(F.col("article_id") % b != 0, (F.col("article_id") * a % 11).cast("double")) for j, (a, b) in JUDGES.items()}
-    rows = normalised(rows.withColumns(judged).persist())  # six percentiles are cut from DEEP rows
+def judges(article_id: Column) -> dict[str, Column]:
+    return {j: F.when(article_id % b != 0, (article_id * a % 11).cast("double")) for j, (a, b) in JUDGES.items()}
+
+
+def with_utility(rows: DataFrame, ranking: Ranking = RANKING) -> DataFrame:
+    """Adds the judges' scores, percentiles among the given rows (signals, slop, gates), and the utility."""
+    rows = normalised(staged(rows.withColumns(judges(F.col("article_id"))), "deep"))
     absolute = {j: F.least(F.greatest(F.col(j) / 10, F.lit(0.0)), F.lit(1.0)) for j in JUDGES}
-    return rows.withColumn("utility", F.round(gated_mean(UTILITY_WEIGHTS, {s: F.col(f"n_{s}") for s in SIGNALS} | absolute), 6))
+    return rows.withColumn("utility", F.round(gated_mean(ranking.utility, {s: F.col(f"n_{s}") for s in SIGNALS} | absolute, ranking.slop_author_penalty), 6))
+
+
+def day_of(spark: SparkSession, sf_dir: str, ranking: Ranking = RANKING) -> dict[str, DataFrame]:
+    """The day's flow from signals to the shortlist, each step written once: ``signals`` (matrix, blend), ``admitted`` (every article that
+    hygiene lets in, with its stage), ``deep`` (the admitted ones with judges' scores and utility), ``clusters`` (in the order of
+    utility), ``shortlist``."""
+    signals = staged(preliminary(signal_matrix(spark, sf_dir, ranking), ranking), "signals")
+    d = table(spark, sf_dir, "documents")
+    auto = F.col("doc_id") % 97 == 0
+    open_ = d.filter(auto | (F.col("source") != "src3") | F.col("source").isNull())
+    facts = open_.select(F.col("doc_id").alias("article_id"), F.split("text", "\n")[0].alias("title"), word_count(F.col("text")).alias("words"), auto.alias("auto"))
+    rows = facts.join(signals.select("article_id", "interest", "knn", "blend"), "article_id").withColumn("triage", judges(F.col("article_id"))["triage"])
+    rows = staged(rows, "considered")
+    sound = (F.col("words") >= ranking.semantic_min_words) & ~roundup_title(F.col("title"))
+    floor = sound & F.coalesce(F.col("triage") >= 3, F.lit(True))
+    retrievers = [
+        Retriever("triage", F.when(F.col("triage") >= 5, F.col("triage")), ranking.triage_quota),
+        Retriever("interest", F.when(floor, F.col("interest")), ranking.interest_quota),
+        Retriever("knn", F.when(floor & (F.col("knn") > 0), F.col("knn")), ranking.knn_quota),
+    ]
+    key = F.sha2(F.concat(F.lit(DAY), F.col("article_id").cast("string")), 256)
+    admitted = staged(admit(rows, ranking.deep_keep, retrievers, sound & F.coalesce(F.col("triage") >= 4, F.lit(False)), ranking.exploration, key, F.col("blend")), "admitted")
+    in_ = admitted.filter("stage = 'admitted'").select("article_id", "auto", "exploration", "title")
+    deep = staged(with_utility(signals.select("article_id", *SIGNALS, "slop", *[f"{g}_gate" for g in GATED], "blend").join(in_, "article_id"), ranking), "judged")
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("v"))
+    order = [F.desc_nulls_last("utility"), F.asc("article_id")]
+    ranked = deep.join(held, "article_id", "left").select(F.col("article_id").alias("item"), "v", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # deep_keep rows and the automatic ones
+    clusters = staged(leader_clusters(ranked, DAY_THRESHOLD, 2**31 - 1), "clusters")
+    listed = clusters.join(deep.select(F.col("article_id").alias("item"), "auto", "exploration"), "item")
+    shortlist = staged(diversified(listed, ranking.shortlist_keep, ranking.protected, ranking.per_cluster), "shortlist")
+    return {"signals": signals, "admitted": admitted, "deep": deep, "clusters": clusters, "shortlist": shortlist}
+
+
+def flow_sql() -> str:
+    """admitted, deep, utility, ranked, clusters and the rounds of the shortlist, on top of matrix and blended."""
+    phrases = "|".join(p.replace("'", "''") for p in ROUNDUP_PHRASES)
+    sound = f"words >= 300 AND NOT regexp_matches(lower(coalesce(title, '')), '{phrases}')"
+    floor = f"{sound} AND coalesce(triage >= 3, true)"
+    ranked = lambda signal, test: f"SELECT article_id, auto, row_number() OVER (ORDER BY {signal} DESC, article_id) AS place FROM considered WHERE {signal} IS NOT NULL AND {test}"
+    lists = [
+        ("triage", "60", ranked("triage", "triage >= 5")),
+        ("interest", "20", ranked("interest", floor)),
+        ("knn", "20", ranked("knn", f"knn > 0 AND {floor}")),
+        ("exploration", "5", f"SELECT article_id, auto, row_number() OVER (ORDER BY sha256('{DAY}' || article_id), article_id) AS place FROM (SELECT j.*, row_number() OVER (ORDER BY blend DESC, article_id) AS b FROM considered j WHERE blend IS NOT NULL) WHERE b > 120 AND b <= 300 AND {sound} AND coalesce(triage >= 4, false)"),
+        ("blend", None, ranked("blend", "true")),
+    ]
+    parts = [
+        f"considered AS MATERIALIZED (SELECT doc_id AS article_id, string_split(text, chr(10))[1] AS title, {WORDS} AS words, doc_id % 97 = 0 AS auto, CASE WHEN doc_id % 5 <> 0 THEN (doc_id * 7 % 11)::DOUBLE END AS triage, interest, knn, blend FROM documents JOIN matrix ON doc_id = article_id JOIN blended USING (article_id) WHERE doc_id % 97 = 0 OR source IS DISTINCT FROM 'src3')",
+        "in0 AS (SELECT article_id FROM considered WHERE auto)",
+        "s0 AS (SELECT article_id, 0 AS step, 'auto_include' AS name FROM considered WHERE auto)",
+    ]
+    for i, (name, quota, rows) in enumerate(lists, 1):
+        room = f"(SELECT greatest(120 - count(*), 0) FROM in{i - 1})"
+        own = room if quota is None else quota
+        parts += [
+            f"l{i} AS MATERIALIZED ({rows})",
+            f"took{i} AS MATERIALIZED (SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY place) AS k FROM l{i} WHERE article_id NOT IN (FROM in{i - 1})) WHERE k <= least({own}, {room}))",
+            f"s{i} AS (SELECT article_id, {i} AS step, '{name}' AS name FROM l{i} WHERE place <= {own} AND article_id IN (FROM in{i - 1}) UNION ALL SELECT article_id, {i}, '{name}' FROM took{i})",
+            f"in{i} AS MATERIALIZED (FROM in{i - 1} UNION ALL FROM took{i})",
+        ]
+    every = " UNION ALL ".join(f"FROM s{i}" for i in range(len(lists) + 1))
+    parts += [
+        f"signed AS (SELECT article_id, string_agg(name, ',' ORDER BY step) AS admitted_by, arg_min(name, step) AS f FROM ({every}) GROUP BY 1)",
+        "admitted AS MATERIALIZED (SELECT article_id, auto, CASE WHEN f IS NULL THEN 'not_admitted' ELSE 'admitted' END AS stage, admitted_by, coalesce(f = 'exploration', false) AS exploration FROM considered LEFT JOIN signed USING (article_id))",
+        f"deep AS MATERIALIZED (SELECT matrix.*, blend, {', '.join(f'CASE WHEN article_id % {b} <> 0 THEN (article_id * {a} % 11)::DOUBLE END AS {j}' for j, (a, b) in JUDGES.items())} FROM matrix JOIN blended USING (article_id) JOIN admitted USING (article_id) WHERE stage = 'admitted')",
+        _norms("deep", "q"),
+        f"utility AS MATERIALIZED (SELECT article_id, {', '.join(JUDGES)}, blend, {_mean_sql(SQL_UTILITY, {s: f'n_{s}' for s in SIGNALS} | {j: f'least(greatest({j} / 10, 0), 1)' for j in JUDGES})}::DOUBLE AS utility FROM {_joined('deep', 'q')})",
+    ]
+    return ", ".join(parts)
+
+
+DEEP_SQL = f"{BLENDED_SQL}, {flow_sql()}"
+DAY_CLUSTERS = f"""{DEEP_SQL}, top AS MATERIALIZED (SELECT article_id AS item, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY utility DESC NULLS LAST, article_id)::INT AS rank FROM utility LEFT JOIN embeddings ON vec_id = article_id),
+near AS MATERIALIZED (SELECT a.rank, coalesce(list(p.rank ORDER BY p.rank) FILTER (list_cosine_similarity(a.v, p.v) >= 0.3), []) AS near FROM top a LEFT JOIN top p ON p.rank < a.rank GROUP BY 1),
+walk AS (SELECT 0 AS rank, []::INT[] AS leaders, 0 AS lead UNION ALL
+ SELECT n.rank, CASE WHEN len(list_intersect(leaders, near)) = 0 THEN list_append(leaders, n.rank) ELSE leaders END, coalesce(list_min(list_intersect(leaders, near)), n.rank) FROM walk w JOIN near n ON n.rank = w.rank + 1),
+clusters AS MATERIALIZED (SELECT t.item, t.rank, l.item AS cluster FROM walk w JOIN top t USING (rank) JOIN top l ON l.rank = w.lead)"""
+DAY_SHORTLIST = f"{DAY_CLUSTERS}, cand AS MATERIALIZED (SELECT c.*, auto, row_number() OVER (PARTITION BY exploration ORDER BY rank) AS x, exploration FROM clusters c JOIN admitted ON article_id = item), {rounds_sql(60, 10, 2)}"
+_RECURSIVE = lambda sql: with_views("verdicts latest", sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("K1_quota_admission", with_views("verdicts latest", f", {DEEP_SQL} SELECT article_id, stage, admitted_by, exploration FROM admitted"))
+def k1(spark, sf):
+    return day_of(spark, sf)["admitted"].select("article_id", "stage", "admitted_by", "exploration")
+
+
+@query("K2_clusters_of_the_day", _RECURSIVE(f", {DAY_CLUSTERS} SELECT item, rank, cluster FROM clusters"))
+def k2(spark, sf):
+    return day_of(spark, sf)["clusters"]
+
+
+@query("K3_shortlist_of_the_day", _RECURSIVE(f", {DAY_SHORTLIST} SELECT item, rank, cluster, CASE WHEN item IN (FROM i3) THEN 'shortlisted' ELSE 'assessed' END AS stage, CASE WHEN item IN (FROM i3) THEN NULL WHEN item IN (FROM suppressed) THEN 'cluster_suppressed' ELSE 'shortlist_cap' END AS reason FROM cand"))
+def k3(spark, sf):
+    return day_of(spark, sf)["shortlist"]
+
+
+@query("K14_lineup_of_the_day", _RECURSIVE(f""", {DAY_SHORTLIST}, once AS (SELECT item, min({{'place': rank, 'section': coalesce(lang, 'other')}}) AS p FROM cand JOIN documents ON doc_id = item WHERE item IN (FROM i3) GROUP BY 1),
+r AS (SELECT item AS article_id, auto, utility, p.section, p.place FROM once JOIN cand USING (item) JOIN utility ON utility.article_id = item), k AS (SELECT * FROM r ORDER BY auto DESC, utility DESC NULLS LAST, article_id LIMIT 28)
+SELECT article_id, section, row_number() OVER (PARTITION BY section ORDER BY place, article_id)::INT AS position, row_number() OVER (ORDER BY place, article_id) = 1 AS is_lead FROM k"""))
+def k14(spark, sf):
+    """The shortlist is proposed in the order of utility, each article under its language."""
+    day = day_of(spark, sf)
+    home = F.coalesce("lang", F.lit("other"))
+    known = day["deep"].join(table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), home.alias("home")), "article_id").select("article_id", "auto", F.col("utility").alias("score"), "home")
+    picks = day["shortlist"].filter("stage = 'shortlisted'").select(F.col("item").alias("article_id"), F.col("rank").alias("place")).join(known.select("article_id", F.col("home").alias("section")), "article_id")
+    return lineup(picks.select("article_id", "section", "place"), known.join(picks.select("article_id"), "article_id", "left_semi"), RANKING.hard_most)
 
 
-DEEP_SQL = f"""{BLENDED_SQL}, deep AS MATERIALIZED (SELECT matrix.*, blend, {", ".join(f"CASE WHEN article_id % {b} <> 0 THEN (article_id * {a} % 11)::DOUBLE END AS {j}" for j, (a, b) in JUDGES.items())} FROM matrix JOIN blended USING (article_id) ORDER BY blend DESC NULLS LAST, article_id LIMIT {DEEP}),
-{_norms("deep", "q")}, utility AS (SELECT article_id, {", ".join(JUDGES)}, blend, {_mean_sql(UTILITY_WEIGHTS, {s: f"n_{s}" for s in SIGNALS} | {j: f"least(greatest({j} / 10, 0), 1)" for j in JUDGES})}::DOUBLE AS utility FROM {_joined("deep", "q")})"""
+@query("K20_funnel_of_the_day", _RECURSIVE(f""", {DAY_SHORTLIST} SELECT 'considered' AS state, count(*) AS n FROM documents UNION ALL SELECT 'let_in', count(*) FROM considered UNION ALL SELECT 'admitted', count(*) FROM admitted WHERE stage = 'admitted' UNION ALL SELECT 'explored', count(*) FROM admitted WHERE exploration UNION ALL SELECT 'clusters', count(DISTINCT cluster) FROM clusters
+UNION ALL SELECT 'shortlisted', count(*) FROM i3 UNION ALL SELECT 'cluster_suppressed', count(*) FROM suppressed WHERE item NOT IN (FROM i3)"""))
+def funnel_of_the_day(spark, sf):
+    """How many articles reach each state of the day's flow."""
+    day = day_of(spark, sf)
+    count = lambda df, state, column="*": df.agg((F.count("*") if column == "*" else F.count_distinct(column)).alias("n")).select(F.lit(state).alias("state"), "n")
+    out = count(table(spark, sf, "documents"), "considered").union(count(day["admitted"], "let_in")).union(count(day["admitted"].filter("stage = 'admitted'"), "admitted"))
+    out = out.union(count(day["admitted"].filter("exploration"), "explored")).union(count(day["clusters"], "clusters", "cluster"))
+    short = day["shortlist"]
+    return out.union(count(short.filter("stage = 'shortlisted'"), "shortlisted")).union(count(short.filter("reason = 'cluster_suppressed'"), "cluster_suppressed"))
 
 
 @query("K4_utility_over_the_deep_set", with_views("verdicts latest", f", {DEEP_SQL} SELECT article_id, utility FROM utility"))
 def k4(spark, sf):
-    return deep_set(spark, sf).select("article_id", "utility")
+    return day_of(spark, sf)["deep"].select("article_id", "utility")
 
 
-@query("K18_explained_item", with_views("verdicts latest candidates", f""", {DEEP_SQL}, one AS (SELECT article_id FROM utility ORDER BY utility DESC NULLS LAST, article_id LIMIT 1)
-SELECT article_id, interest, knn, affinity, heuristic, feed, social, slop, u.triage, u.quality, u.fit, u.blend, u.utility, 1::INT AS rank, (SELECT count(*) FROM candidates c WHERE c.article_id = one.article_id) AS runs,
+@query("K18_explained_item", with_views("verdicts latest candidates", f""", {DAY_CLUSTERS}, one AS (SELECT item AS article_id, rank, cluster FROM clusters WHERE rank = 1)
+SELECT article_id, interest, knn, affinity, heuristic, feed, social, slop, u.triage, u.quality, u.fit, u.blend, u.utility, rank, cluster, (SELECT count(*) FROM clusters c WHERE c.cluster = one.cluster) AS cluster_size, (SELECT count(*) FROM candidates c WHERE c.article_id = one.article_id) AS runs,
  (SELECT arg_max(stage, run_id) FROM candidates c WHERE c.article_id = one.article_id) AS stage, (SELECT any_value(label) FROM latest l WHERE l.article_id = one.article_id) AS label,
- coalesce((SELECT string_agg(right_id::VARCHAR, ',' ORDER BY rank) FROM top3 WHERE left_id = one.article_id), '') AS interests FROM one JOIN matrix USING (article_id) JOIN utility u USING (article_id)"""))
+ coalesce((SELECT string_agg(right_id::VARCHAR, ',' ORDER BY top3.rank) FROM top3 WHERE left_id = one.article_id), '') AS interests FROM one JOIN matrix USING (article_id) JOIN utility u USING (article_id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def k18(spark, sf):
-    """All that is known of the item with the largest utility: signals, judges' scores, rank, runs, verdict, interests."""
-    first = deep_set(spark, sf).orderBy(F.desc_nulls_last("utility"), "article_id").limit(1).persist()  # one row, looked up four times
-    one = first.select("article_id", *SIGNALS, "slop", *JUDGES, "blend", "utility", F.lit(1).alias("rank"))
+    """All that is known of the item with the largest utility: signals, judges' scores, rank, cluster, runs, verdict, interests."""
+    day = day_of(spark, sf)
+    placed = day["clusters"].withColumn("cluster_size", F.count("*").over(Window.partitionBy("cluster"))).filter("rank = 1").withColumnRenamed("item", "article_id")
+    one = staged(day["deep"].join(F.broadcast(placed), "article_id").select("article_id", *SIGNALS, "slop", *JUDGES, "blend", "utility", "rank", "cluster", "cluster_size"), "one")
     seen = candidates(spark, sf).join(F.broadcast(one.select("article_id")), "article_id").groupBy("article_id").agg(F.count("*").alias("runs"), F.max_by("stage", "run_id").alias("stage"))
     said = latest_verdicts(spark, sf).select("article_id", "label")
     near = top_interests(spark, sf).join(F.broadcast(one.select(F.col("article_id").alias("left_id"))), "left_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.columns import ROUNDUP_PHRASES, canonical_url, host, plain_text, roundup_title, title_key, under_domain, weighted_mean, word_count
-from gleanery.operators.admission import Retriever, admit, lineup, pool
+from gleanery.operators.admission import lineup, pool
 from gleanery.operators.ranking import leader_clusters
 from gleanery.operators.resolution import merge, resolve
 from gleanery.sources.views import table, with_views
@@ -15,7 +15,6 @@ from .catalog import ORACLE, query
 from .lookups import CANONICAL
 from .signals import CLUSTER_THRESHOLD, CLUSTERS, KNN, MIDRANK, PAIRS, SHORTLIST, WORDS, interest_scores, ranked_vectors, v8
 
-DAY, KEEP, TRIAGE, INTEREST, KNN_QUOTA, SLOTS = "2024-01-15", 60, 25, 10, 10, 5
 BLOCKED = ["example.org", "tiontion.example.com"]
 ROUNDUPS = "|".join(p.replace("'", "''") for p in ROUNDUP_PHRASES)
 
@@ -50,44 +49,6 @@ def over_floor():
     return (F.col("words") >= 300) & ~roundup_title(F.col("title")) & F.coalesce(F.col("triage") >= 3, F.lit(True))
 
 
-def admission_sql() -> str:
-    """Each step ranks its rows, signs the first of those that are in, and takes from the others while there is room."""
-    ranked = lambda signal, test: f"SELECT article_id, auto, row_number() OVER (ORDER BY {signal} DESC, article_id) AS place FROM judged WHERE {signal} IS NOT NULL AND {test}"
-    lists = [
-        ("triage", TRIAGE, ranked("triage", "triage >= 5")),
-        ("interest", INTEREST, ranked("interest", FLOOR)),
-        ("knn", KNN_QUOTA, ranked("knn", f"knn > 0 AND {FLOOR}")),
-        ("exploration", SLOTS, f"SELECT article_id, auto, row_number() OVER (ORDER BY sha256('{DAY}' || article_id), article_id) AS place FROM (SELECT j.*, row_number() OVER (ORDER BY blend DESC, article_id) AS b FROM judged j WHERE blend IS NOT NULL) WHERE b > {KEEP} AND b <= {-(-5 * KEEP // 2)} AND words >= 300 AND NOT regexp_matches(lower(coalesce(title, '')), '{ROUNDUPS}') AND coalesce(triage >= 4, false)"),
-        ("blend", None, ranked("blend", "true")),
-    ]
-    parts = [JUDGED.replace("judged AS (", "judged AS MATERIALIZED ("), "in0 AS (SELECT article_id FROM judged WHERE auto)", "s0 AS (SELECT article_id, 0 AS step, 'auto_include' AS name FROM judged WHERE auto)"]
-    for i, (name, quota, rows) in enumerate(lists, 1):
-        room = f"(SELECT greatest({KEEP} - count(*), 0) FROM in{i - 1})"
-        own = room if quota is None else str(quota)
-        parts += [
-            f"l{i} AS MATERIALIZED ({rows})",
-            f"t{i} AS MATERIALIZED (SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY place) AS k FROM l{i} WHERE article_id NOT IN (FROM in{i - 1})) WHERE k <= least({own}, {room}))",
-            f"s{i} AS (SELECT article_id, {i} AS step, '{name}' AS name FROM l{i} WHERE place <= {own} AND article_id IN (FROM in{i - 1}) UNION ALL SELECT article_id, {i}, '{name}' FROM t{i})",
-            f"in{i} AS MATERIALIZED (FROM in{i - 1} UNION ALL FROM t{i})",
-        ]
-    every = " UNION ALL ".join(f"FROM s{i}" for i in range(len(lists) + 1))
-    return f"""WITH {", ".join(parts)}, signed AS (SELECT article_id, string_agg(name, ',' ORDER BY step) AS admitted_by, arg_min(name, step) AS f FROM ({every}) GROUP BY 1)
-SELECT article_id, CASE WHEN f IS NULL THEN 'not_admitted' ELSE 'admitted' END AS stage, admitted_by, coalesce(f = 'exploration', false) AS exploration FROM judged LEFT JOIN signed USING (article_id)"""
-
-
-@query("K1_quota_admission", admission_sql())
-def k1(spark, sf):
-    rows = judged(spark, sf).persist()  # five short rankings are cut from it
-    retrievers = [
-        Retriever("triage", F.when(F.col("triage") >= 5, F.col("triage")), TRIAGE),
-        Retriever("interest", F.when(over_floor(), F.col("interest")), INTEREST),
-        Retriever("knn", F.when(over_floor() & (F.col("knn") > 0), F.col("knn")), KNN_QUOTA),
-    ]
-    explorers = (F.col("words") >= 300) & ~roundup_title(F.col("title")) & F.coalesce(F.col("triage") >= 4, F.lit(False))
-    key = F.sha2(F.concat(F.lit(DAY), F.col("article_id").cast("string")), 256)
-    return admit(rows, KEEP, retrievers, explorers, SLOTS, key, F.col("blend")).select("article_id", "stage", "admitted_by", "exploration")
-
-
 @query("U5_pool_under_a_cap", f"""WITH {JUDGED}, r AS (SELECT *, row_number() OVER (ORDER BY blend DESC NULLS LAST, article_id) AS b, row_number() OVER (ORDER BY interest DESC NULLS LAST, article_id) AS i, row_number() OVER (ORDER BY knn DESC NULLS LAST, article_id) AS n FROM judged),
 h AS (SELECT article_id, blend, auto OR (b <= 56 AND blend IS NOT NULL) OR (i <= 10 AND interest IS NOT NULL) OR (n <= 10 AND knn IS NOT NULL) AS hit FROM r),
 f AS (SELECT article_id, hit, row_number() OVER (PARTITION BY hit ORDER BY blend DESC NULLS LAST, article_id) AS k FROM h)

@@ -208,19 +208,24 @@ def k2(spark, sf):
 KEPT, PROTECTED, CAP = 60, 10, 2
 
 
-@query("K3_diversified_shortlist", f"""WITH RECURSIVE {CLUSTERS}, cand AS (SELECT *, item % 17 = 0 AS auto, row_number() OVER (PARTITION BY item % 7 = 3 ORDER BY rank) AS x, item % 7 = 3 AS exploration FROM clusters),
-first AS (SELECT item FROM cand WHERE rank <= {PROTECTED} OR auto),
-explored AS (SELECT item FROM (SELECT item, row_number() OVER (ORDER BY rank) AS k FROM cand WHERE exploration AND x <= 3 AND item NOT IN (FROM first)) WHERE k <= greatest({KEPT} - (SELECT count(*) FROM first), 0)),
-i0 AS (FROM first UNION ALL FROM explored), target AS (SELECT greatest({KEPT}, count(*)) AS n FROM i0),
+def rounds_sql(kept: int, protected: int, cap: int) -> str:
+    """The rounds of a shortlist over cand (item, rank, cluster, auto, exploration, x: its place among explorations)."""
+    return f"""first AS (SELECT item FROM cand WHERE rank <= {protected} OR auto),
+explored AS (SELECT item FROM (SELECT item, row_number() OVER (ORDER BY rank) AS k FROM cand WHERE exploration AND x <= 3 AND item NOT IN (FROM first)) WHERE k <= greatest({kept} - (SELECT count(*) FROM first), 0)),
+i0 AS (FROM first UNION ALL FROM explored), target AS (SELECT greatest({kept}, count(*)) AS n FROM i0),
 c1 AS (SELECT cand.*, row_number() OVER (PARTITION BY cluster ORDER BY rank) + (SELECT count(*) FROM cand o WHERE o.cluster = cand.cluster AND o.item IN (FROM i0)) AS place FROM cand WHERE item NOT IN (FROM i0)),
-t1 AS (SELECT item, rank FROM c1 WHERE place <= {CAP} QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i0)),
+t1 AS (SELECT item, rank FROM c1 WHERE place <= {cap} QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i0)),
 i1 AS (FROM i0 UNION ALL SELECT item FROM t1),
-suppressed AS (SELECT item FROM c1 WHERE place > {CAP} AND ((SELECT count(*) FROM i1) < (SELECT n FROM target) OR rank < (SELECT max(rank) FROM t1))),
+suppressed AS (SELECT item FROM c1 WHERE place > {cap} AND ((SELECT count(*) FROM i1) < (SELECT n FROM target) OR rank < (SELECT max(rank) FROM t1))),
 c2 AS (SELECT cand.*, row_number() OVER (PARTITION BY cluster ORDER BY rank) + (SELECT count(*) FROM cand o WHERE o.cluster = cand.cluster AND o.item IN (FROM i1)) AS place FROM cand WHERE item NOT IN (FROM i1)),
 t2 AS (SELECT item FROM c2 WHERE place <= 3 QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i1)),
 i2 AS (FROM i1 UNION ALL FROM t2),
 t3 AS (SELECT item FROM cand WHERE item NOT IN (FROM i2) QUALIFY row_number() OVER (ORDER BY rank) <= (SELECT n FROM target) - (SELECT count(*) FROM i2)),
-i3 AS (FROM i2 UNION ALL FROM t3)
+i3 AS (FROM i2 UNION ALL FROM t3)"""
+
+
+@query("K3_diversified_shortlist", f"""WITH RECURSIVE {CLUSTERS}, cand AS (SELECT *, item % 17 = 0 AS auto, row_number() OVER (PARTITION BY item % 7 = 3 ORDER BY rank) AS x, item % 7 = 3 AS exploration FROM clusters),
+{rounds_sql(KEPT, PROTECTED, CAP)}
 SELECT item, rank, cluster, CASE WHEN item IN (FROM i3) THEN 'shortlisted' ELSE 'assessed' END AS stage,
  CASE WHEN item IN (FROM i3) THEN NULL WHEN item IN (FROM suppressed) THEN 'cluster_suppressed' ELSE 'shortlist_cap' END AS reason FROM cand""")
 def shortlist(spark, sf):

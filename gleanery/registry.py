@@ -17,5 +17,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals, blend, shortlist, clusters and their caps."""
-    return signals.shortlist(spark, sf_dir)
+    """The day's flow: signals, blend, admission, utility, clusters, shortlist."""
+    return curation.day_of(spark, sf_dir)["shortlist"]
