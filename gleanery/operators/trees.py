@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.sinks import staged
+
 
 def leaves(nodes: DataFrame, links: str = "links", most_depth: int = 16) -> DataFrame:
     """id, labels from the root down and distinct inherited links of the nodes (id, parent, label, links) without children.
@@ -76,17 +78,24 @@ def within_word_budget(nodes: DataFrame, group: str, budget: int) -> DataFrame:
     return nodes.join(kept, [group, "id"], "left_semi")
 
 
-def dotted(df: DataFrame, key: str, document: str, depth: int = 4) -> DataFrame:
-    """key, path, value of the leaves of JSON objects, paths with dots; objects below ``depth`` levels stay text."""
-    rows = df.select(key, F.explode(F.from_json(document, "map<string,string>")).alias("path", "value"))
+def dotted(df: DataFrame, key: str, document: str) -> DataFrame:
+    """key, path, value of the leaves of JSON documents of any depth, names parted by dots. Values are text; an array stays whole, as compact
+    JSON, so one in another order is one change; a null within a document is ``null``; empty objects have no leaves. A text that isn't
+    JSON, or null, has none either.
+
+    Objects are opened a level at a time, until none is left; a level is written once."""
+    rows = df.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).filter("v IS NOT NULL AND NOT is_variant_null(v)")
+    value = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
     done = None
-    for _ in range(depth - 1):
-        nested = F.col("value").rlike(r"^\s*\{.*:")
-        flat = rows.filter(~nested | F.col("value").isNull())
+    while True:
+        level = staged(rows.select(key, "path", F.to_json("v").alias("text"), F.schema_of_variant("v").startswith("OBJECT<").alias("opens"), value.alias("value")), "dotted")
+        flat = level.filter("NOT opens").select(key, F.substring("path", 2, 2**31 - 1).alias("path"), "value")
         done = flat if done is None else done.union(flat)
-        below = rows.filter(nested).select(key, F.col("path").alias("__up"), F.explode(F.from_json("value", "map<string,string>")).alias("__p", "value"))
-        rows = below.select(key, F.concat_ws(".", "__up", "__p").alias("path"), "value")
-    return rows if done is None else done.union(rows)
+        below = level.filter("opens")
+        if below.isEmpty():
+            return done
+        below.select(key, "path", F.parse_json("text").alias("v")).createOrReplaceTempView("__dotted")
+        rows = df.sparkSession.sql(f"SELECT t.`{key}`, concat(t.path, '.', e.key) AS path, e.value AS v FROM __dotted t, LATERAL variant_explode(t.v) e")
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,19 +91,6 @@ def a18(spark, sf):
     return li.select("l_orderkey", "l_suppkey").distinct().join(rates, "l_suppkey", "left").groupBy("l_orderkey").agg(F.round(F.avg("r"), 9).alias("rate"))
 
 
-CONFIG = "SELECT n_nationkey AS run, 'rank.keep' AS path, (n_nationkey % 3)::VARCHAR AS o, ((n_nationkey + 1) % 3)::VARCHAR AS n FROM nation UNION ALL SELECT n_nationkey, 'rank.caps.cluster', '2', CASE WHEN n_nationkey % 2 = 0 THEN '2' ELSE '3' END FROM nation UNION ALL SELECT n_nationkey, 'day', n_regionkey::VARCHAR, n_regionkey::VARCHAR FROM nation UNION ALL SELECT n_nationkey, 'name', NULL, n_name FROM nation"
-
-
-@query("A29_config_changes", f"SELECT run, path, o AS old_value, n AS new_value FROM ({CONFIG}) WHERE o IS DISTINCT FROM n")
-def a29(spark, sf):
-    n = table(spark, sf, "nation")
-    old = F.to_json(F.struct(F.struct((F.col("n_nationkey") % 3).alias("keep"), F.struct(F.lit(2).alias("cluster")).alias("caps")).alias("rank"), F.col("n_regionkey").alias("day")))
-    caps = F.struct(F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(3).alias("cluster")).alias("caps")
-    new = F.to_json(F.struct(F.struct(((F.col("n_nationkey") + 1) % 3).alias("keep"), caps).alias("rank"), F.col("n_regionkey").alias("day"), F.col("n_name").alias("name")))
-    docs = n.select(F.col("n_nationkey").alias("run"), old.alias("old"), new.alias("new"))
-    return changes(dotted(docs, "run", "old"), dotted(docs, "run", "new"), ["run", "path"])
-
-
 @query("A30_stage_counters", "SELECT l_linenumber, count(*) AS requested, count(*) FILTER (l_returnflag = 'A') AS reused, count(*) FILTER (l_returnflag = 'R') AS rejected, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS recovered FROM lineitem GROUP BY 1")
 def a30(spark, sf):
     flag = lambda f: F.col("l_returnflag") == f
@@ -297,15 +284,6 @@ def k32(spark, sf):
     return old.join(live, "l_partkey", "left").select("o_orderkey", "l_linenumber", "l_partkey", F.coalesce("p_name", "name").alias("name"))
 
 
-@query("K33_settings_changes", "SELECT c_custkey AS key, 'v' || c_nationkey AS old_value, CASE WHEN c_custkey % 7 <> 0 THEN 'v' || (c_nationkey + (c_custkey % 5 = 0)::INT) END AS new_value FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0")
-def k33(spark, sf):
-    c = table(spark, sf, "customer")
-    value = lambda n: F.concat(F.lit("v"), n.cast("string"))
-    old = c.select(F.col("c_custkey").alias("key"), value(F.col("c_nationkey")).alias("value"))
-    new = c.filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("key"), value(F.col("c_nationkey") + (F.col("c_custkey") % 5 == 0).cast("int")).alias("value"))
-    return changes(old, new, ["key"])
-
-
 @query("K34_interest_backfill", f"{ZS} SELECT left_id, right_id, round(z, 6) AS z FROM r WHERE rank <= 3 AND z >= 1 AND left_id % 4 <> 0")
 def k34(spark, sf):
     found = top_interests(spark, sf).filter("z >= 1").select("left_id", "right_id", F.round("z", 6).alias("z"))

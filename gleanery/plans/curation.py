@@ -16,6 +16,7 @@ from gleanery.sources.sinks import append, drafts, kept_files, named_by_day, pub
 from gleanery.sources.views import NOW, articles, candidates, runs, table, verdicts, with_views
 
 from .catalog import ORACLE, QUERIES, query
+from . import costs  # noqa: F401  (its queries are part of the statistics)
 from .composites import top_interests
 from .lookups import CANONICAL, O12_DAYS
 from .reports import HALF_LIFE, latest_verdicts, now
@@ -439,8 +440,8 @@ def k19(spark, sf):
 #: The statistics report: query, columns that name a row, column of the value.
 METRICS = (
     ("A1_count_selected", (), "n"), ("A2_verdicts_by_label", ("label",), "n"), ("A3_stage_by_reason", ("stage", "reason"), "n"), ("A4_funnel", ("stage",), "reached"), ("A4_funnel", ("stage",), "percent"),
-    ("A7_cost_by_day_and_provider", ("day",), "total"), ("A7_cost_by_day_and_provider", ("day",), "urgent"), ("A8_week_by_label", ("week", "label"), "n"), ("A9_tally_by_stage", ("stage",), "up"), ("A9_tally_by_stage", ("stage",), "down"), ("A9_tally_by_stage", ("stage",), "ratio"),
-    ("A10_mean_seconds_between_events", ("user_id",), "mean_s"), ("A11_ratio_by_day", ("day",), "ratio"), ("A12_exploration_yield", (), "selected"), ("A12_exploration_yield", (), "positive"), ("A13_spend_of_a_day", ("provider",), "spent"),
+    ("A7_cost_totals", ("level", "day", "provider"), "cost"), ("A8_week_by_label", ("week", "label"), "n"), ("A9_tally_by_stage", ("stage",), "up"), ("A9_tally_by_stage", ("stage",), "down"), ("A9_tally_by_stage", ("stage",), "ratio"),
+    ("A10_mean_seconds_between_events", ("user_id",), "mean_s"), ("A11_ratio_by_day", ("day",), "ratio"), ("A12_exploration_yield", (), "selected"), ("A12_exploration_yield", (), "positive"), ("A13_spend_of_a_day", ("level", "provider"), "spent"),
 )
 
 

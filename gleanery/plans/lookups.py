@@ -221,11 +221,6 @@ def o6(spark, sf):
     return runs(spark, sf).filter("status = 'F'").orderBy(F.desc("day"), F.desc("run_id")).limit(1).select("run_id", "provider")
 
 
-@query("O8_near_misses", with_views("candidates", "SELECT run_id, article_id, utility FROM candidates WHERE stage <> 'R' ORDER BY utility DESC, run_id, article_id LIMIT 20"))
-def o8(spark, sf):
-    return candidates(spark, sf).filter("stage <> 'R'").orderBy(F.desc("utility"), "run_id", "article_id").limit(20).select("run_id", "article_id", "utility")
-
-
 @query("O12_archive_by_month", with_views("runs", "SELECT strftime(day, '%Y-%m') AS month, count(*) AS n, list(run_id ORDER BY run_id) AS runs FROM runs WHERE status = 'P' GROUP BY 1"))
 def o12(spark, sf):
     return runs(spark, sf).filter("status = 'P'").groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("run_id")).alias("runs"))

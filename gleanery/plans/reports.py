@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.ranking import funnel, latest, top_k
+from gleanery.params import RANKING
 from gleanery.sources.views import NOW, articles, candidates, runs, table, verdicts, with_views
 
 from .catalog import query
@@ -17,6 +18,12 @@ def latest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(verdicts(spark, sf_dir).filter("explicit"), "article_id", [F.col("event_at"), F.col("id")], F.col("label") == "cleared")
 
 
+def verdicts_within(rows: DataFrame, days: int) -> DataFrame:
+    """The newest explicit verdict of each article among those of the last ``days`` days; older ones don't count at all."""
+    since = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    return latest(rows.filter(F.col("explicit") & (F.col("event_at") >= since)), "article_id", [F.col("event_at"), F.col("id")], F.col("label") == "cleared")
+
+
 def now() -> F.Column:
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -35,9 +42,19 @@ def w2(spark, sf):
     return latest_verdicts(spark, sf).filter("label = 'slop'").join(articles(spark, sf).select("article_id", "feed"), "article_id").select("feed").distinct()
 
 
+@query("W3_verdicts_in_the_look_back", with_views("verdicts latest candidates", """, r AS (SELECT l.article_id, l.label, l.value, c.run_id, c.stage, row_number() OVER (PARTITION BY l.article_id ORDER BY c.run_id DESC) AS k
+ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY event_at DESC, id DESC) AS rn2 FROM verdicts WHERE explicit AND event_at >= TIMESTAMP '2024-02-01' - INTERVAL 180 DAY) WHERE rn2 = 1 AND label <> 'cleared') l JOIN candidates c USING (article_id)) SELECT article_id, label, value, run_id, stage, 180::INT AS days FROM r WHERE k = 1
+UNION ALL SELECT article_id, label, value, NULL, NULL, 14::INT FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY event_at DESC, id DESC) AS rn2 FROM verdicts WHERE explicit AND event_at >= TIMESTAMP '2024-02-01' - INTERVAL 14 DAY) WHERE rn2 = 1 AND label <> 'cleared'"""))
+def w3(spark, sf):
+    """The newest verdict within 180 days with the newest run of its article, and within 14 days for comparison."""
+    newest = candidates(spark, sf).groupBy("article_id").agg(F.max(F.struct("run_id", "stage")).alias("r"))
+    long_ = verdicts_within(verdicts(spark, sf), RANKING.look_back_days).join(newest, "article_id").select("article_id", "label", "value", "r.run_id", "r.stage", F.lit(180).alias("days"))
+    return long_.union(verdicts_within(verdicts(spark, sf), 14).select("article_id", "label", "value", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(14)))
+
+
 @query("W3_latest_verdict_with_newest_run", with_views("verdicts latest candidates", """, r AS (SELECT l.article_id, l.label, c.run_id, c.stage, row_number() OVER (PARTITION BY l.article_id ORDER BY c.run_id DESC) AS k
  FROM latest l JOIN candidates c USING (article_id)) SELECT article_id, label, run_id, stage FROM r WHERE k = 1"""))
-def w3(spark, sf):
+def w3_any_age(spark, sf):
     newest = candidates(spark, sf).groupBy("article_id").agg(F.max(F.struct("run_id", "stage")).alias("r"))
     return latest_verdicts(spark, sf).join(newest, "article_id").select("article_id", "label", "r.run_id", "r.stage")
 
@@ -97,13 +114,6 @@ def a6(spark, sf):
     return runs(spark, sf).select("provider").distinct()
 
 
-@query("A7_cost_by_day_and_provider", with_views("runs", """SELECT CAST(day AS VARCHAR) AS day, round(sum(cost) FILTER (provider = '1-URGENT'), 2) AS urgent, round(sum(cost) FILTER (provider = '2-HIGH'), 2) AS high,
-round(sum(cost), 2) AS total FROM runs GROUP BY 1"""))
-def a7(spark, sf):
-    mine = lambda p: F.round(F.sum(F.when(F.col("provider") == p, F.col("cost"))), 2)
-    return runs(spark, sf).groupBy(F.col("day").cast("string").alias("day")).agg(mine("1-URGENT").alias("urgent"), mine("2-HIGH").alias("high"), F.round(F.sum("cost"), 2).alias("total"))
-
-
 @query("A8_week_by_label", with_views("verdicts", "SELECT CAST(CAST(date_trunc('week', event_at) AS DATE) AS VARCHAR) AS week, label, count(*) AS n FROM verdicts WHERE explicit GROUP BY 1, 2"))
 def a8(spark, sf):
     return verdicts(spark, sf).filter("explicit").groupBy(F.to_date(F.date_trunc("week", "event_at")).cast("string").alias("week"), "label").agg(F.count("*").alias("n"))
@@ -133,11 +143,6 @@ def a11(spark, sf):
     return table(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.round(F.when(both > 0, n("purchase") / both), 9).alias("ratio"))
 
 
-@query("A13_spend_of_a_day", with_views("runs", "SELECT provider, round(sum(cost), 2) AS spent, count(*) AS runs FROM runs WHERE day = DATE '1998-10-03' GROUP BY 1"))
-def a13(spark, sf):
-    return runs(spark, sf).filter(F.col("day") == F.lit("1998-10-03").cast("date")).groupBy("provider").agg(F.round(F.sum("cost"), 2).alias("spent"), F.count("*").alias("runs"))
-
-
 @query("A19_composite_log_score", "SELECT user_id, round(sum(log10(1 + greatest(value, 0))) + 0.5 * log10(1 + count(*)), 9) AS score FROM events GROUP BY 1")
 def a19(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(F.log10(1 + F.greatest("value", F.lit(0.0)))) + 0.5 * F.log10(1 + F.count("*")), 9).alias("score"))
@@ -170,20 +175,25 @@ def a24(spark, sf):
     return table(spark, sf, "conversations").filter("trim(text) <> '' AND role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
 
 
-@query("A25_feed_counts", with_views("articles", "SELECT feed, count(*) AS n, count(DISTINCT category) AS languages FROM articles GROUP BY 1"))
+@query("A25_feed_counts", with_views("articles", """, n AS (SELECT feed, count(*) AS n, count(DISTINCT category) AS languages FROM articles GROUP BY 1)
+SELECT feed, n, languages, (SELECT count(DISTINCT feed) FROM articles) AS feeds, row_number() OVER (ORDER BY n DESC, feed NULLS FIRST) <= 5 AS top FROM n"""))
 def a25(spark, sf):
-    return articles(spark, sf).groupBy("feed").agg(F.count("*").alias("n"), F.count_distinct("category").alias("languages"))
+    """Articles and languages of each feed, how many feeds there are, and whether a feed is among the five largest."""
+    n = articles(spark, sf).groupBy("feed").agg(F.count("*").alias("n"), F.count_distinct("category").alias("languages"))
+    feeds = n.agg(F.count("feed").alias("feeds"))  # one row
+    first = n.orderBy(F.desc("n"), F.asc_nulls_first("feed")).limit(5).select(F.col("feed").alias("f"), F.lit(True).alias("hit"))
+    out = n.join(F.broadcast(first), F.col("feed").eqNullSafe(F.col("f")), "left").join(F.broadcast(feeds))
+    return out.select("feed", "n", "languages", "feeds", F.coalesce("hit", F.lit(False)).alias("top"))
 
 
-@query("A26_nested_lists", "SELECT n_regionkey, list(n_name ORDER BY lower(n_name), n_name) AS names FROM nation GROUP BY 1")
+@query("A26_nested_lists", """WITH g AS (SELECT CASE WHEN p_size % 7 <> 0 THEN p_brand END AS category, p_partkey % 20 AS slot, p_name FROM part), k AS (SELECT category, slot, list(p_name ORDER BY lower(p_name), p_name) AS names FROM g GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY category NULLS LAST, slot)::INT AS place, category, slot::INT AS slot, names FROM k""")
 def a26(spark, sf):
-    names = F.transform(F.array_sort(F.collect_list(F.struct(F.lower("n_name"), F.col("n_name").alias("n")))), lambda x: x["n"])
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(names.alias("names"))
-
-
-@query("A27_run_rollup", with_views("runs", "SELECT status, count(*) AS runs, sum(CASE WHEN provider <> '5-LOW' THEN 1 ELSE 0 END)::BIGINT AS counted, round(sum(cost), 2) AS cost FROM runs GROUP BY 1"))
-def a27(spark, sf):
-    return runs(spark, sf).groupBy("status").agg(F.count("*").alias("runs"), F.sum(F.when(F.col("provider") != "5-LOW", 1).otherwise(0)).alias("counted"), F.round(F.sum("cost"), 2).alias("cost"))
+    """Names by category, those without one last, each list in the order of lower case."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct(F.lower("p_name"), F.col("p_name").alias("n")))), lambda x: x["n"])
+    g = table(spark, sf, "part").select(F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("category"), (F.col("p_partkey") % 20).cast("int").alias("slot"), "p_name")
+    k = g.groupBy("category", "slot").agg(names.alias("names"))
+    return k.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("category"), "slot")))  # a row for each category and slot
 
 
 @query("U6_calendar", "WITH d AS (SELECT CAST(unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-11', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(d.day AS VARCHAR) AS day, count(e.event_id) AS n FROM d LEFT JOIN events e ON CAST(e.ts AS DATE) = d.day GROUP BY 1")

@@ -27,7 +27,11 @@ def mapped(column, pairs: dict):
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, article_id, event_at, label, value, explicit."""
-    e = table(spark, sf_dir, "events")
+    return verdicts_of(table(spark, sf_dir, "events"))
+
+
+def verdicts_of(e: DataFrame) -> DataFrame:
+    """Verdicts of rows of events, from a table or a stream."""
     label = mapped(F.col("event_type"), LABELS)
     return e.select(
         F.col("event_id").alias("id"),

@@ -42,9 +42,9 @@ def test_leaves_inherit_labels_and_links(spark):
 def test_dotted_paths_and_changes(spark):
     docs = spark.createDataFrame([(1, '{"a":{"b":{"c":1}},"d":"x","n":null}', '{"a":{"b":{"c":2}},"d":"x","e":[1]}'), (2, None, "{}")], "k int, old string, new string")
     old, new = dotted(docs, "k", "old"), dotted(docs, "k", "new")
-    assert sorted((r["path"], r["value"]) for r in old.collect()) == [("a.b.c", "1"), ("d", "x"), ("n", None)]
+    assert sorted((r["path"], r["value"]) for r in old.collect()) == [("a.b.c", "1"), ("d", "x"), ("n", "null")]
     got = sorted((r["path"], r["old_value"], r["new_value"]) for r in changes(old, new, ["k", "path"]).collect())
-    assert got == [("a.b.c", "1", "2"), ("e", None, "[1]")]
+    assert got == [("a.b.c", "1", "2"), ("e", None, "[1]"), ("n", "null", None)]
 
 
 def test_readers_leave_other_texts_out(spark):
