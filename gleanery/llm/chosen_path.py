@@ -6,8 +6,8 @@ set form a class, and the join runs between classes, so copies are never paired
 Every run of the join is a tree. In each node a set samples some of its tokens, each with probability
 1 / (threshold * size) by a hash of node and token that all sets share, and goes on to one child for each. Sets that
 share many tokens choose the same path; others part. A node of at most ``small`` sets is compared by brute force
-and not split further; after ``depth`` levels the others are, too, in pairs of blocks of ``block`` sets, so that a
-node of any size is spread over tasks. Pairs at the threshold share one child on average, so a run finds such a pair with
+and not split further; after ``depth`` levels the others are, too, in pairs of blocks of about ``block`` sets or ``BLOCK_BYTES``
+of tokens, whichever are fewer sets, so that a node of any size is spread over tasks and long texts fill no task's memory. Pairs at the threshold share one child on average, so a run finds such a pair with
 a known chance, and as many runs are made as the target recall asks for. Links are verified by their exact Jaccard
 similarity.
 
@@ -47,6 +47,7 @@ RECALL = 0.999
 DEPTH = 3
 SMALL = 64
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 BINS = 64
 BROADCAST_ROWS = 100_000
 WIDE = 1024
@@ -153,9 +154,11 @@ def token_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def distinct_nodes(rows: DataFrame) -> DataFrame:
-    """cid, node, n: the nodes of at least two sets with their size; of nodes with the same sets one stays."""
-    members = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
-    one = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
+    """cid, node, n, tokens_n: the nodes of at least two sets with their size and the tokens of their sets (where rows have a size); of nodes
+    with the same sets one stays."""
+    weight = F.sum(F.col("size") if "size" in rows.columns else F.lit(0)).cast("long").alias("tokens_n")
+    rows, members = rows.select("cid", "node"), rows.groupBy("node").agg(F.count("*").alias("n"), weight, F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+    one = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node"), F.min("tokens_n").alias("tokens_n")).select("node", "n", "tokens_n")
     return rows.join(one, "node")
 
 
@@ -179,10 +182,10 @@ def split_nodes(classes: DataFrame, depth: int, small: int) -> tuple[DataFrame,
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Adds mine, a and b to rows with cid, node and n: every two blocks of a node meet in one (node, a, b)."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    """Adds mine, a and b to rows with cid, node, n and tokens_n: every two blocks of a node meet in one (node, a, b)."""
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("tokens_n") * 8 / BLOCK_BYTES)).cast("int")
     out = rows.withColumn("mine", F.pmod(F.xxhash64("cid", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).drop("other", "n")
+    return out.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).drop("other", "n", "tokens_n")
 
 
 def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -196,7 +199,7 @@ def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarr
 
 
 def suspects(leaves: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """cid, node of the sets that could have a link in the node."""
+    """cid, node, size of the sets that could have a link in the node."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         near = alike(np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, BINS), table["size"].to_numpy().astype(np.int64), threshold)
@@ -204,10 +207,10 @@ def suspects(leaves: DataFrame, classes: DataFrame, threshold: float, block: int
         if key[1].as_py() != key[2].as_py():
             mine = table["mine"].to_numpy()
             near &= mine[:, None] != mine
-        return table.select(["cid", "node"]).filter(pa.array(near.any(axis=1)))
+        return table.select(["cid", "node", "size"]).filter(pa.array(near.any(axis=1)))
 
     rows = leaves.join(classes.select("cid", "size", "sketch"), "cid")
-    found = dealt(rows, block).groupBy("node", "a", "b").applyInArrow(compare, "cid long, node long")
+    found = dealt(rows, block).groupBy("node", "a", "b").applyInArrow(compare, "cid long, node long, size int")
     return found.distinct()
 
 
@@ -224,10 +227,16 @@ def links_in_node(node: int, names: list[int], sets: list[np.ndarray], places: l
     if side is not None:
         open_ &= side[at][:, None] != side[at]
     before = [[p for p in own if p < node] for own in places]
-    if any(before):
-        values, column = np.unique(np.concatenate([np.array(b, np.int64) for b in before]), return_inverse=True)
-        seen = np.zeros((len(at), len(values)), np.float32)
-        seen[np.repeat(np.arange(len(at)), [len(b) for b in before]), column] = 1
+    values, column, holders = np.unique(np.array([p for b in before for p in b], np.int64), return_inverse=True, return_counts=True)
+    # a node of one set alone is no pair's; the others go in stripes
+    owner, several = np.repeat(np.arange(len(at)), [len(b) for b in before]), holders[column] > 1
+    owner, column = owner[several], (np.cumsum(holders > 1) - 1)[column[several]]
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    for lo in range(0, int((holders > 1).sum()), WIDE):
+        x, y = np.searchsorted(column, (lo, lo + WIDE))
+        seen = np.zeros((len(at), WIDE), np.float32)
+        seen[owner[x:y], column[x:y] - lo] = 1
         open_ &= (seen @ seen.T) == 0
     linked = np.zeros_like(open_)
     pairs = np.argwhere(open_)
@@ -268,10 +277,11 @@ def links_in_node(node: int, names: list[int], sets: list[np.ndarray], places: l
 
 
 def compared(leaves: DataFrame, tokens: DataFrame, threshold: float, block: int) -> DataFrame:
-    """cid, links, root: for each set and node the links counted there, and a set of the same component."""
-    own = distinct_nodes(leaves).groupBy("cid").agg(F.collect_list(F.struct("node", "n")).alias("places"))
+    """cid, links, root: for each set and node (``leaves`` has cid, node and the set's size) the links counted there, and a set of the same
+    component."""
+    own = distinct_nodes(leaves).groupBy("cid").agg(F.collect_list(F.struct("node", "n", "tokens_n")).alias("places"))
     rows = own.join(tokens, "cid").select("cid", "tokens", F.col("places.node").alias("nodes"), F.explode("places").alias("place"))
-    rows = dealt(rows.select("cid", "tokens", "nodes", "place.node", "place.n"), block)
+    rows = dealt(rows.select("cid", "tokens", "nodes", "place.node", "place.n", "place.tokens_n"), block)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, a, b = (k.as_py() for k in key)

@@ -5,8 +5,8 @@ mean log frequency of its known n-grams of the longest order that has any, from
 score is the sum over its words; the language with the largest sum is predicted.
 
 The model is fitted on a bounded sample of labelled texts: at most about ``texts_per_language`` of each language, taken
-by a hash of the key, so the sample does not depend on file order. Its tables hold about ``max_words`` and ``max_grams``
-entries over all languages, the commonest of each. Prediction covers all rows and whole texts.
+by a hash of the key, so the sample does not depend on file order; rows without a key are taken by a hash of their text. Every word
+and n-gram of these texts is known to the model. Prediction covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is everything when there is nothing to
 learn from; texts without a known word or n-gram get the first language by name with score 1 / number of languages; ties
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_to_small_batches
@@ -54,29 +54,17 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _bounded(counts: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` entries of each language, the commonest first; of the last count that has room, the part whose hashes
-    are smallest. The histogram of counts decides (a row for each language and distinct count), so no language's entries
-    meet in one task."""
-    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("entries"))
-    before = F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n"))) - F.col("entries")
-    room = sizes.select("lang", "n", ((F.lit(most) - before) / F.col("entries")).alias("room")).filter("room > 0")
-    point = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    return counts.join(F.broadcast(room), ["lang", "n"]).filter(point < F.col("room")).select(key, "lang", "n")
-
-
-def _scores(rows: list, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    place: dict[str, int] = {}
-    for r in rows:
-        place.setdefault(r[0], len(place))
-    counts = np.zeros((len(place), len(languages)))
+def _scores(rows: pa.Table, languages: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """Places of the keys, and a row of log frequencies for each. ``rows`` has key, lang, n."""
+    keys = rows.column(0).combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+    place = {key: i for i, key in enumerate(keys.dictionary.to_pylist())}
+    counts = np.zeros((len(place), len(languages)), np.float32)
     column = {lang: i for i, lang in enumerate(languages)}
-    for key, lang, n in rows:
-        counts[place[key], column[lang]] = n
-    return place, np.log((counts + SMOOTHING) / (totals + SMOOTHING * max(1, len(place))))
+    counts[keys.indices.to_numpy(zero_copy_only=False), [column[x] for x in rows.column(1).to_pylist()]] = rows.column(2).to_numpy()
+    return place, np.log((counts + SMOOTHING) / (totals + SMOOTHING * max(1, len(place)))).astype(np.float32)
 
 
-def fit(labelled: DataFrame, texts_per_language: int = 4000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
+def fit(labelled: DataFrame, texts_per_language: int = 2000) -> Model:
     """``labelled`` has doc_id, text, lang; rows without a text or language teach nothing."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     per_language = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -84,7 +72,7 @@ def fit(labelled: DataFrame, texts_per_language: int = 4000, max_words: int = 60
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     share = F.create_map(*[F.lit(x) for lang, n in per_language.items() for x in (lang, min(1.0, texts_per_language / n))])[F.col("lang")]
-    point = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    point = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.filter(point < share)
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     counts = sample.select("lang", word).filter("word != ''").groupBy("word", "lang").agg(F.count("*").alias("n")).persist()
@@ -98,9 +86,8 @@ def fit(labelled: DataFrame, texts_per_language: int = 4000, max_words: int = 60
     # a padded word has at least three characters, so only the longest order can lack room
     cuts[-1] = F.when(F.length(padded) >= LONGEST, cuts[-1]).otherwise(F.array().cast("array<string>"))
     grams = counts.select("lang", "n", F.explode(F.concat(*cuts)).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n")).persist()
-    each = max(1, len(languages))
-    word_rows = _bounded(counts, "word", max_words // each).collect()
-    gram_rows = _bounded(grams, "gram", max_grams // each).collect()
+    # as many rows as the sample has words and n-grams
+    word_rows, gram_rows = counts.select("word", "lang", "n").orderBy("word", "lang").toArrow(), grams.select("gram", "lang", "n").orderBy("gram", "lang").toArrow()
     gram_totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     counts.unpersist()
     grams.unpersist()
@@ -156,7 +143,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; the prediction sees the text alone."""
     held_to_small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # about max_words + max_grams rows
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)

@@ -125,3 +125,14 @@ def test_one_of_each_takes_clashing_names_and_empty_tables(spark):
     kept = chosen_path.one_of_each(docs)
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (3, "one two three four five six"), (5, ""), (5, "...")]
     assert chosen_path.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_very_long_near_copies_meet_in_blocks_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 1 << 20)
+    base = prose(77, 20_000)
+    texts = [" ".join(edited(base, 40 * k, k)) for k in range(12)] + [" ".join(prose(500 + k, 20_000)) for k in range(2)] + [" ".join(base)]
+    docs = documents(spark, texts)
+    got = Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in chosen_path.jaccard_join(docs, block=4, small=2).collect())
+    assert got == brute(list(enumerate(texts)))
+    node = spark.createDataFrame([(i, 7, 12, 12 * 20_000) for i in range(12)], "cid long, node long, n long, tokens_n long")
+    assert chosen_path.dealt(node, 1024).agg({"b": "max"}).first()[0] == 1

@@ -284,14 +284,34 @@ def test_language_scores_equal_plain_counting(spark):
     assert got[502]["lang_pred"] == "und"
 
 
-def test_bounded_vocabulary_keeps_a_part_of_equal_counts(spark):
-    rows = [(w, lang, 1) for lang in ("a", "b") for w in (f"{lang}{i}" for i in range(2000))] + [("often", "a", 9)]
-    counts = spark.createDataFrame(rows, "word string, lang string, n long")
-    kept = langid._bounded(counts, "word", 1000).collect()
-    for lang in ("a", "b"):
-        assert 900 <= sum(r["lang"] == lang for r in kept) <= 1100
-    assert ("often", "a", 9) in {tuple(r) for r in kept}
-    assert langid._bounded(counts, "word", 5000).count() == len(rows)
+def letters(i):
+    """A word of its own for each number."""
+    out = ""
+    while i:
+        i, r = divmod(i, 26)
+        out += chr(97 + r)
+    return out + "q"
+
+
+def test_every_word_of_the_sample_is_known(spark):
+    words = {"en": [letters(i) for i in range(1, 50_000)], "de": [letters(i) + "u" for i in range(1, 45_000)]}
+    rows = [(k, " ".join(ws[k::40]), lang) for lang, ws in words.items() for k in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.words) == {w for ws in words.values() for w in ws} and len(model.words) > 90_000
+    totals = np.array([len(words[x]) for x in model.languages])
+    for lang, ws in words.items():
+        for w in ws[:: 9_973]:
+            n = np.array([w in set(words[x]) for x in model.languages], float)
+            want = np.log((n + langid.SMOOTHING) / (totals + langid.SMOOTHING * len(model.words)))
+            assert np.allclose(model.word_scores[model.words[w]], want, atol=1e-5)
+            assert model.languages[int(model.word_scores[model.words[w]].argmax())] == lang
+
+
+def test_rows_without_an_id_are_sampled_by_their_text(spark):
+    rows = [(None, f"word{letters(i)} here", "en") for i in range(1, 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, texts_per_language=400)
+    assert 250 < len(model.words) < 600
 
 
 def test_without_anything_to_learn_texts_with_letters_stay(spark):
