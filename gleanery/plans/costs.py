@@ -48,7 +48,7 @@ def a7(spark, sf):
     return pivoted
 
 
-@query("A7_cost_totals", f"WITH {USAGE} SELECT CASE WHEN grouping(day) = 0 AND grouping(provider) = 0 THEN 'cell' WHEN grouping(day) = 0 THEN 'day' WHEN grouping(provider) = 0 THEN 'provider' ELSE 'all' END AS level, day, provider, round(sum(cost), 2) AS cost, count(DISTINCT run_id) AS runs FROM u GROUP BY GROUPING SETS ((day, provider), (day), (provider), ())")
+@query("A7_cost_totals", f"WITH {USAGE} SELECT CASE WHEN grouping(day) = 0 AND grouping(provider) = 0 THEN 'cell' WHEN grouping(day) = 0 THEN 'day' WHEN grouping(provider) = 0 THEN 'provider' ELSE 'all' END AS level, day, provider, round(sum(cost), 2) AS cost, count(DISTINCT run_id) AS runs FROM u GROUP BY GROUPING SETS ((day, provider), (day), (provider), ()) HAVING count(*) > 0")
 def a7_totals(spark, sf):
     """Cells, days, providers and all in one pass of grouping sets."""
     used = usage(stored_costs(spark, sf))
@@ -57,7 +57,7 @@ def a7_totals(spark, sf):
     return used.cube("day", "provider").agg(level.alias("level"), F.round(F.sum("cost"), 2).alias("cost"), F.count_distinct("run_id").alias("runs")).select("level", "day", "provider", "cost", "runs")
 
 
-@query("A13_spend_of_a_day", f"WITH {USAGE} SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' ELSE 'all' END AS level, provider, round(sum(cost), 2) AS spent, count(DISTINCT run_id) AS runs FROM u WHERE day = '1998-10-03' GROUP BY GROUPING SETS ((provider), ())")
+@query("A13_spend_of_a_day", f"WITH {USAGE} SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' ELSE 'all' END AS level, provider, round(sum(cost), 2) AS spent, count(DISTINCT run_id) AS runs FROM u WHERE day = '1998-10-03' GROUP BY GROUPING SETS ((provider), ()) HAVING count(*) > 0")
 def a13(spark, sf):
     """What the day's runs have spent so far: by provider, and in all."""
     mine = usage(stored_costs(spark, sf).filter("day = '1998-10-03'"))

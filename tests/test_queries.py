@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery import registry
 from gleanery.operators import ranking
-from gleanery.sources import sinks
+from gleanery.sources import sinks, views
 from gleanery.plans import curation, lookups, signals
 
 GIVEN = "/root/testdata/sf0.001"
@@ -52,6 +52,22 @@ def test_leader_clusters_by_hand(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 3}
 
 
+def test_the_flagship_shortlists_the_day_by_utility(spark):
+    day = curation.day_of(spark, GIVEN)
+    held = {r.vec_id: np.array(r.v) / np.linalg.norm(r.v) for r in views.vectors(spark, GIVEN).collect()}
+    order = [r.article_id for r in day["deep"].orderBy(F.desc_nulls_last("utility"), "article_id").collect()]
+    leaders, want = [], {}
+    for item in order:
+        v = held.get(item)
+        want[item] = next((i for i in leaders if v is not None and v @ held[i] >= curation.DAY_THRESHOLD), item)
+        if want[item] == item and v is not None:
+            leaders.append(item)
+    got = sorted(registry.flagship(spark, GIVEN).collect(), key=lambda r: r["rank"])
+    assert [r["item"] for r in got] == order and {r["item"]: r["cluster"] for r in got} == want
+    assert sum(r["stage"] == "shortlisted" for r in got) == min(60, len(order))
+    assert all(r["stage"] == "shortlisted" for r in got[:10])
+
+
 def test_clusters_of_the_shortlist_by_brute_force(spark):
     rows = sorted(signals.ranked_vectors(spark, GIVEN).collect(), key=lambda r: r["rank"])
     leaders, want = [], {}
@@ -61,7 +77,7 @@ def test_clusters_of_the_shortlist_by_brute_force(spark):
         if lead is None:
             leaders.append((r["item"], v))
         want[r["item"]] = lead or r["item"] if lead is not None else r["item"]
-    got = registry.flagship(spark, GIVEN).collect()
+    got = signals.shortlist(spark, GIVEN).collect()
     assert {r["item"]: r["cluster"] for r in got} == want
     assert all(r["stage"] == "shortlisted" for r in got if r["rank"] <= 10)
 
