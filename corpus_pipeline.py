@@ -7,6 +7,11 @@ Each stage takes what the one before kept, as Parquet, and all but the last retu
 3. benchmark decontamination: documents that cover a benchmark item go;
 4. PII: personal data in texts is masked;
 5. packing: what is left is packed along a space-filling curve.
+
+Defined cases: a null or empty text, or one without letters, has no language and goes in the first stage; nulls in any other column,
+doc_id included, go along; of repeated rows and of equal texts the second stage keeps one, of documents in one group the one with
+the smallest doc_id; texts of any length are read whole in every stage; an empty table, or an empty benchmark, passes through;
+extra columns, whatever their names, are kept by the first four stages and ignored by the last.
 """
 
 from __future__ import annotations

@@ -2,6 +2,9 @@
 
 The edges of a hub meet its minimum in inner sort-merge joins, whose hot partitions Spark splits (adaptive skew joins); all
 else is aggregated before it is shuffled.
+
+Defined cases: an edge from a node to itself, or with a null end, joins nothing; repeated edges and both directions count once; an empty
+table gives no rows; nodes are numbers, ties don't arise, and columns other than a and b are ignored.
 """
 
 from __future__ import annotations

@@ -136,3 +136,10 @@ def test_very_long_near_copies_meet_in_blocks_of_bytes(spark, monkeypatch):
     assert got == brute(list(enumerate(texts)))
     node = spark.createDataFrame([(i, 7, 12, 12 * 20_000) for i in range(12)], "cid long, node long, n long, tokens_n long")
     assert chosen_path.dealt(node, 1024).agg({"b": "max"}).first()[0] == 1
+
+
+def test_components_of_awkward_edges(spark):
+    schema = "a long, b long, id long, m string"
+    rows = [(1, 2, 0, "x"), (2, 1, 0, "x"), (1, 2, 9, "y"), (3, 3, 0, None), (4, None, 0, None), (None, None, 0, None), (7, 5, 1, "z"), (5, 9, 1, "z")]
+    assert sorted(map(tuple, components(spark.createDataFrame(rows, schema)).collect())) == [(1, 1), (2, 1), (5, 5), (7, 5), (9, 5)]
+    assert components(spark.createDataFrame([], schema)).count() == 0
