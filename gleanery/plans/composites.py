@@ -156,14 +156,6 @@ def top_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(z, "left_id", [F.desc(F.round("z", 9)), F.asc("right_id")], 3)
 
 
-@query("V11_evidence", with_views("verdicts latest candidates", ", c AS (SELECT article_id, arg_max(CASE WHEN stage = 'R' THEN 0.85 WHEN stage = 'A' THEN least(utility, 100) / 100 END, run_id) AS v FROM candidates WHERE stage <> 'N' GROUP BY 1) SELECT article_id, round(coalesce(l.value, c.v), 6)::DOUBLE AS evidence FROM c LEFT JOIN latest l USING (article_id)"))
-def v11(spark, sf):
-    v = F.when(F.col("stage") == "R", 0.85).when(F.col("stage") == "A", F.least("utility", F.lit(100)).cast("double") / 100)
-    scored = candidates(spark, sf).filter("stage <> 'N'").groupBy("article_id").agg(F.max_by(v, "run_id").alias("v"))
-    said = latest_verdicts(spark, sf).select("article_id", "value")
-    return scored.join(said, "article_id", "left").select("article_id", F.round(F.coalesce("value", "v"), 6).alias("evidence"))
-
-
 @query("V13_sparkline", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, round((row_number() OVER (ORDER BY day) - 1) * 120.0 / greatest(count(*) OVER () - 1, 1), 3)::DOUBLE AS x, round(24 - 24.0 * n / max(n) OVER (), 3)::DOUBLE AS y FROM d")
 def v13(spark, sf):
     d = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

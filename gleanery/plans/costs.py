@@ -9,6 +9,7 @@ from gleanery.operators.ranking import top_k
 from gleanery.sources.views import table, with_views
 
 from .catalog import query
+from .reports import latest_verdicts
 
 EMBEDDER = "p0"
 """The provider of vectors: its tokens are no tokens of judges."""
@@ -104,3 +105,18 @@ def o8(spark, sf):
     """The three best of each run that weren't selected, by utility or else by the blend that their stored signals give."""
     rows = stored_signals(spark, sf).filter("stage <> 'R'").withColumn("score", F.round(F.coalesce("utility", stored_blend(F.col("signals"))), 6))
     return top_k(rows, "run_id", [F.desc_nulls_last("score"), F.asc("article_id")], 3).select("run_id", "article_id", "stage", "score", "rank")
+
+
+@query("V11_evidence", with_views("verdicts latest", """, c AS (SELECT l_orderkey AS run_id, l_partkey AS article_id, min(l_returnflag) AS stage, min(l_discount) * 10 AS d, min(l_tax) * 10 AS t, min(l_quantity) AS q, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN s % 7 = 0 THEN round(q, 2) END AS utility, CASE WHEN s % 5 <> 0 THEN (0.5 * d + CASE WHEN s % 3 <> 0 THEN 0.3 * t ELSE 0 END + CASE WHEN s % 2 = 0 THEN 0.2 * q / 50 ELSE 0 END) * 100 END AS blend FROM c WHERE stage <> 'N'),
+v AS (SELECT article_id, max_by(CASE WHEN stage = 'R' THEN 0.85 ELSE least(greatest(coalesce(utility, blend) / 100, 0), 1) END, run_id) FILTER (stage = 'R' OR coalesce(utility, blend) IS NOT NULL) AS v FROM b GROUP BY 1)
+SELECT article_id, round(coalesce(l.value, v.v), 6)::DOUBLE AS evidence FROM v LEFT JOIN latest l USING (article_id)"""))
+def v11(spark, sf):
+    """What speaks for an article: its verdict, else of its newest run that tells anything 0.85 if it was selected, or its utility, or the
+    blend that its stored signals give, on a scale of one."""
+    rows = stored_signals(spark, sf).filter("stage <> 'N'")
+    told = F.coalesce("utility", stored_blend(F.col("signals"))) / 100
+    value = F.when(F.col("stage") == "R", 0.85).otherwise(F.when(told.isNotNull(), F.least(F.greatest(told, F.lit(0.0)), F.lit(1.0))))
+    scored = rows.withColumn("v", value).groupBy("article_id").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("run_id"))).alias("v"))
+    said = latest_verdicts(spark, sf).select("article_id", "value")
+    return scored.join(said, "article_id", "left").select("article_id", F.round(F.coalesce("value", "v"), 6).alias("evidence"))
