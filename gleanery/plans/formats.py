@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from gleanery.functions.columns import bound, canonical_url
+from gleanery.functions.device import for_device
 from gleanery.functions.html import nested_comments, page_sections
 from gleanery.functions.markup import (
     LABELS, attributes, closed_voids, download_size, entities_decoded, escaped, file_size, first_bytes, first_characters, first_tokens, first_words, label, percent_encoded, tag_name, tags,
@@ -157,6 +158,19 @@ def x13_cuts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", first_words(t, 12).alias("words"), first_characters(t, 80).alias("characters"), first_bytes(t, 80).alias("bytes"), first_tokens(t, 20).alias("tokens"))
 
 
+@query("X23_device_markup", """WITH p AS (SELECT page_id, list_transform(string_split(html, '<'), lambda x: regexp_extract(x, '^([^>]*>)?', 0) || regexp_replace(regexp_replace(regexp_replace(x, '^[^>]*>', ''), '(\\S{200})', '\\1' || chr(173), 'g'), chr(173) || '(\\s|$)', '\\1', 'g')) AS parts FROM pages),
+d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^(\\r\\n|\\n|\\r)', ''), '\\r\\n|\\n|\\r') AS lines FROM documents),
+b AS (SELECT doc_id, list_transform(lines, lambda l: {'head': regexp_extract(l, '^[ \\t]*'), 'rest': regexp_replace(regexp_replace(regexp_extract(l, '^[ \\t]*(.*)$', 1, 's'), '(\\S{200})', '\\1' || chr(173), 'g'), chr(173) || '(\\s|$)', '\\1', 'g')}) AS lines FROM d),
+w AS (SELECT doc_id, list_transform(lines, lambda l: replace(l.head, ' ', chr(57344)) || replace(replace(l.rest, '  ', chr(57344) || chr(57344)), chr(57344) || ' ', chr(57344) || chr(57344))) AS lines FROM b)
+SELECT 'page' AS kind, page_id AS id, md5(regexp_replace(array_to_string(parts, '<'), ' (style|align|width|height|srcset|sizes|loading|hspace|vspace|border)="[^"]*"', '', 'g')) AS markup FROM p UNION ALL SELECT 'block', doc_id, md5('<pre><code>' || replace(replace(replace(replace(replace(replace(array_to_string(lines, chr(10)), chr(9), repeat(chr(57344), 4)), chr(57344), chr(160)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>') || '</code></pre>') FROM w""")
+def x23_device(spark, sf):
+    """Pages for a small reader, and whole texts as preformatted blocks of it."""
+    p = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("m"))
+    block = F.concat(F.lit("<pre style='margin:0'><code>"), escaped(F.col("text")), F.lit("</code></pre>"))
+    d = table(spark, sf, "documents").select(F.lit("block").alias("kind"), F.col("doc_id").alias("id"), block.alias("m"))
+    return p.union(d).select("kind", "id", F.md5(for_device(F.col("m"))).alias("markup"))
+
+
 # What places an item into a section, in the order of the rules; the words stand anywhere in its category, feed and title.
 SECTION_RULES = [
     ("Boston & Local", ["boston", "massachusetts", "cambridge", "mbta", "new england"]),
