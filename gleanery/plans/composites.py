@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.columns import age_days, decay, host, word_count
-from gleanery.operators.ranking import latest, top_k
+from gleanery.functions.columns import host
+from gleanery.operators.ranking import latest, numbered, top_k
 from gleanery.operators.trees import changes, dotted, leaves, until_budget, within_budget
 from gleanery.sources.sinks import feed, replaced
-from gleanery.sources.views import articles, candidates, runs, table, with_views
+from gleanery.sources.views import candidates, runs, table, with_views
 
 from .catalog import query
-from .reports import latest_verdicts, now
-from .signals import KNN, PAIRS, WORDS, interest_scores, neighbours
+from .reports import latest_verdicts
+from .signals import KNN, PAIRS, interest_scores, neighbours
 
 
 @query("S3_ingest_window", "SELECT event_id, coalesce(c_name, 'feed ' || user_id) AS feed FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0 WHERE ts BETWEEN TIMESTAMP '2024-01-20 10:00:00' AND TIMESTAMP '2024-01-21 12:00:00'")
@@ -164,21 +164,6 @@ def v13(spark, sf):
     return d.select(F.col("day").cast("string"), F.round(x, 3).alias("x"), F.round(24 - 24.0 * F.col("n") / F.max("n").over(whole), 3).alias("y"))
 
 
-@query("K6_preference_state", with_views("verdicts latest articles", ", a AS (SELECT l.article_id, l.value, greatest(date_diff('second', date_trunc('second', event_at), TIMESTAMP '2024-02-01'), 0) / 86400.0 AS age FROM latest l) SELECT article_id, feed, round(value * pow(0.5, age / 60), 6) AS credit, e.vec_id IS NOT NULL AS has_vector FROM a JOIN articles USING (article_id) LEFT JOIN embeddings e ON e.vec_id = article_id"))
-def k6(spark, sf):
-    facts = articles(spark, sf).select("article_id", "feed")
-    held = table(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"), F.lit(True).alias("held"))
-    credit = F.col("value") * decay(age_days(F.col("event_at"), now()), 60.0)
-    rows = latest_verdicts(spark, sf).join(facts, "article_id").join(held, "article_id", "left")
-    return rows.select("article_id", "feed", F.round(credit, 6).alias("credit"), F.coalesce("held", F.lit(False)).alias("has_vector"))
-
-
-@query("K8_content_choice", f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, CASE WHEN w >= 250 THEN 'feed' WHEN doc_id % 4 * 150 > w THEN 'page' ELSE 'excerpt' END AS body FROM w")
-def k8(spark, sf):
-    w, page = word_count(F.col("text")), F.col("doc_id") % 4 * 150
-    return table(spark, sf, "documents").select("doc_id", F.when(w >= 250, "feed").when(page > w, "page").otherwise("excerpt").alias("body"))
-
-
 CACHE = "a AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS input FROM documents), c AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'old' ELSE input END AS input FROM a WHERE id % 3 <> 0)"
 
 
@@ -212,14 +197,6 @@ def k11(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(stored, "doc_id", "left")
 
 
-@query("K15_feed_discovery", "WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages WHERE page_id % 3 <> 0), memo AS (SELECT DISTINCT host FROM h WHERE page_id % 11 = 1), q AS (SELECT host, count(*) AS n FROM h WHERE host NOT IN (FROM memo) GROUP BY 1 ORDER BY n DESC, host LIMIT 20) SELECT host, page_id FROM (SELECT h.*, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM h JOIN q USING (host)) WHERE k <= 3")
-def k15(spark, sf):
-    h = table(spark, sf, "pages").filter("page_id % 3 <> 0").select("page_id", host(F.col("url")).alias("host"))
-    fresh = h.join(h.filter("page_id % 11 = 1").select("host").distinct(), "host", "left_anti")
-    queue = fresh.groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(20).select("host")
-    return top_k(fresh.join(F.broadcast(queue), "host"), "host", [F.asc("page_id")], 3).select("host", "page_id")
-
-
 @query("K22_profile_document", "SELECT p_brand, string_agg('- ' || p_name || ' (' || p_size || ')', chr(10) ORDER BY p_size DESC, p_name, p_partkey) AS document FROM part GROUP BY 1")
 def k22(spark, sf):
     line = F.concat(F.lit("- "), "p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))
@@ -249,15 +226,6 @@ def k25(spark, sf):
     return numbered(found, "id").withColumn("batch", F.floor((F.col("n") - 1) / 6)).drop("n")
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds n from 1 in the order of a unique column, by a range sort and offsets of its partitions."""
-    placed = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))  # one row for each partition
-    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return placed.withColumn("n", within).join(F.broadcast(before), "__part").withColumn("n", F.col("n") + F.col("__before")).drop("__part", "__before")
-
-
 @query("K26_assigned_categories", "WITH a AS (SELECT lower(n_name) AS k, arg_min(left(r_name, 60), n_nationkey) AS c FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(r_name) BETWEEN 1 AND 60 GROUP BY 1) SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Kept' ELSE c END AS category FROM nation LEFT JOIN a ON lower(n_name) = k")
 def k26(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -283,14 +251,6 @@ def k34(spark, sf):
     return found.join(stored, ["left_id", "right_id"], "left_anti")
 
 
-@query("K35_costs_by_provider", with_views("runs", ", p(provider, a, b) AS (VALUES ('1-URGENT', 3.0, 15.0), ('2-HIGH', 0.25, 2.0)) SELECT provider, count(*) AS runs, round(sum(run_id % 900) / 1e6 * coalesce(max(a), 0) + sum(run_id % 70) / 1e6 * coalesce(max(b), 0), 9)::DOUBLE AS cost FROM runs LEFT JOIN p USING (provider) GROUP BY 1"))
-def k35(spark, sf):
-    prices = spark.createDataFrame([("1-URGENT", 3.0, 15.0), ("2-HIGH", 0.25, 2.0)], "provider string, a double, b double")
-    used = runs(spark, sf).groupBy("provider").agg(F.count("*").alias("runs"), F.sum(F.col("run_id") % 900).alias("x"), F.sum(F.col("run_id") % 70).alias("y"))
-    cost = F.col("x") / 1e6 * F.coalesce("a", F.lit(0.0)) + F.col("y") / 1e6 * F.coalesce("b", F.lit(0.0))
-    return used.join(F.broadcast(prices), "provider", "left").select("provider", "runs", F.round(cost, 9).alias("cost"))
-
-
 @query("F20_finished_runs", with_views("runs", "SELECT run_id FROM runs WHERE status <> 'P' AND day IS NOT NULL"))
 def f20(spark, sf):
     return runs(spark, sf).filter((F.col("status") != "P") & F.col("day").isNotNull()).select("run_id")
@@ -320,18 +280,6 @@ def o9(spark, sf):
     return s.orderBy(F.desc("score"), F.desc("links"), F.desc("seen"), "feed").offset(2).limit(5).select("feed", "links", "score")
 
 
-@query("K23_rating_import", "WITH q AS (SELECT page_id + 100000 AS request, lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, CASE page_id % 5 WHEN 0 THEN 'loved' WHEN 1 THEN 'good' WHEN 2 THEN 'not_for_me' WHEN 3 THEN 'slop' ELSE 'other' END AS label FROM pages WHERE page_id % 4 = 0 OR page_id < 20), a AS (SELECT lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS u, min(page_id) AS article_id FROM pages WHERE page_id % 3 <> 0 GROUP BY 1) SELECT request, CASE WHEN label = 'other' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN label <> 'other' THEN article_id END AS article_id, label <> 'other' AND article_id IS NULL AS inserted FROM q LEFT JOIN a USING (u)")
-def k23(spark, sf):
-    key = F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""))
-    p = table(spark, sf, "pages")
-    i = F.col("page_id") % 5
-    label = F.when(i == 0, "loved").when(i == 1, "good").when(i == 2, "not_for_me").when(i == 3, "slop").otherwise("other")
-    queue = p.filter("page_id % 4 = 0 OR page_id < 20").select((F.col("page_id") + 100000).alias("request"), key.alias("u"), label.alias("label"))
-    stored = p.filter("page_id % 3 <> 0").groupBy(key.alias("u")).agg(F.min("page_id").alias("article_id"))
-    good = F.col("label") != "other"
-    return queue.join(stored, "u", "left").select("request", F.when(good, "ok").otherwise("failed").alias("status"), F.when(good, F.col("article_id")).alias("article_id"), (good & F.col("article_id").isNull()).alias("inserted"))
-
-
 @query("S6_page_sections", "WITH t AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS items FROM pages) SELECT page_id, 0 AS place, 0 AS depth, title AS label FROM t UNION ALL SELECT page_id, generate_subscripts(items, 1)::INT, 1, unnest(items) FROM t")
 def s6(spark, sf):
     items = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a>'), 1)

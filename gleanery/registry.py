@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import composites, costs, curation, formats, lookups, providers, reports, selection, settings, signals, stream, texts, writes  # noqa: F401  (they register their queries)
+from gleanery.plans import composites, costs, curation, formats, intake, lookups, providers, reports, selection, settings, signals, stream, texts, writes  # noqa: F401  (they register their queries)
 from gleanery.plans.catalog import ORACLE, QUERIES, Query
 
 
