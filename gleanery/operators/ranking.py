@@ -229,8 +229,21 @@ def funnel(items: DataFrame, stage: str, order: list[str]) -> DataFrame:
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """Adds n from 1 in the order of a unique column, by a range sort and offsets of its partitions."""
-    placed = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))  # one row for each partition
-    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return placed.withColumn("n", within).join(F.broadcast(before), "__part").withColumn("n", F.col("n") + F.col("__before")).drop("__part", "__before")
+    return numbered_within(df, [], [F.asc(order)], "n")
+
+
+def numbered_within(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds ``name``, the number from 1 of a row in its group by an order without ties. A range sort over group and order splits a group
+    of any size over many tasks; a row for each group in each partition carries the offset. Nulls are a group. The sorted rows
+    are written once, so that both readings see the same partitions, and a lost executor doesn't sort anew."""
+    ranged = df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("__part", F.spark_partition_id())
+    at = [F.col("__part"), *[F.col(g) for g in groups]]
+    local = staged(ranged.withColumn(name, F.row_number().over(Window.partitionBy(*at).orderBy(*order))), "numbered")
+    sizes = local.groupBy(*at).agg(F.count("*").alias("__size"))
+    before = sizes.select(
+        F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], (F.sum("__size").over(Window.partitionBy(*at[1:]).orderBy("__part")) - F.col("__size")).alias("__before")
+    )
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return local.join(before, same).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))

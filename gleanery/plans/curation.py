@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.columns import ROUNDUP_PHRASES, TRACKING_NAMES, age_days, bound, canonical_url, decay, gate, long_form, reading_minutes, roundup_title, under_domain, weighted_mean, word_count
 from gleanery.operators.admission import Retriever, admit, lineup
-from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, smoothed_rates, top_k
+from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, numbered_within, smoothed_rates, top_k
 from gleanery.operators.trees import pruned, within_word_budget
 from gleanery.params import RANKING, Ranking
 from gleanery.sources.sinks import append, drafts, kept_files, named_by_day, publish, staged
@@ -429,8 +429,8 @@ def k19(spark, sf):
     label."""
     share = F.col("weight") * F.when(F.col("aggregator_only"), AGGREGATOR_SHARE).otherwise(1.0) / F.size("feeds")
     rows = decayed(spark, sf).join(carriers(spark, sf), "article_id", "left").withColumn("credit", F.round("weight", 9))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.abs("credit")), "article_id"))
-    rows = rows.withColumns({"rank": place, "feed_credit": F.round(share, 9), "recent": F.col("event_at") >= F.lit("2024-01-18").cast("timestamp_ntz")})
+    rows = numbered_within(rows, ["label"], [F.desc(F.abs("credit")), F.asc("article_id")]).withColumn("rank", F.col("rank").cast("int"))
+    rows = rows.withColumns({"feed_credit": F.round(share, 9), "recent": F.col("event_at") >= F.lit("2024-01-18").cast("timestamp_ntz")})
     n = F.when(F.col("feeds").isNotNull(), F.size("feeds"))
     return rows.select("article_id", "label", "credit", "recent", n.alias("feeds"), F.coalesce("aggregator_only", F.lit(False)).alias("aggregator_only"), "feed_credit", F.col("author").isNotNull().alias("has_author"), "rank", (F.col("rank") <= 20).alias("shown"))
 

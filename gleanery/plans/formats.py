@@ -18,7 +18,7 @@ from gleanery.functions.markup import (
     LABELS, attributes, closed_voids, download_size, entities_decoded, escaped, file_size, first_bytes, first_characters, first_tokens, first_words, label, percent_encoded, tag_name, tags,
     took, unescaped,
 )
-from gleanery.operators.ranking import upsert
+from gleanery.operators.ranking import numbered_within, upsert
 from gleanery.sources.views import articles, table, with_views
 
 from .catalog import query
@@ -249,8 +249,8 @@ def theme(name: Column, themes: list[tuple[str, str]] = INTEREST_THEMES) -> Colu
 SELECT article_id, theme, row_number() OVER (PARTITION BY theme ORDER BY k, title, article_id)::INT AS place FROM t"""))
 def x22_interests(spark, sf):
     named = articles(spark, sf).filter("title IS NOT NULL").select("article_id", "title", theme(F.col("title")).alias("theme"))
-    members = F.row_number().over(Window.partitionBy("theme").orderBy(F.lower("title"), "title", "article_id"))
-    return named.select("article_id", "theme", members.alias("place"))
+    members = numbered_within(named, ["theme"], [F.asc(F.lower("title")), F.asc("title"), F.asc("article_id")], "place")
+    return members.select("article_id", "theme", F.col("place").cast("int").alias("place"))
 
 
 TOKENS = [*LABELS, "other", "open_letter"]

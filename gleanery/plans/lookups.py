@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.columns import host, paywalled, plain_text, under_domain, word_count
-from gleanery.operators.ranking import latest, top_k, upsert, upsert_keeping
+from gleanery.operators.ranking import latest, numbered_within, top_k, upsert, upsert_keeping
 from gleanery.sources.views import articles, candidates, runs, table, verdicts, with_views
 
 from .catalog import query
@@ -202,8 +202,8 @@ def j17(spark, sf):
 
 @query("O3_nulls_last", with_views("candidates", "SELECT article_id, row_number() OVER (PARTITION BY stage ORDER BY nullif(run_id % 5, 0) ASC NULLS LAST, run_id, article_id)::INT AS place, run_id FROM candidates"))
 def o3(spark, sf):
-    w = Window.partitionBy("stage").orderBy(F.nullif(F.col("run_id") % 5, F.lit(0)).asc_nulls_last(), "run_id", "article_id")
-    return candidates(spark, sf).select("article_id", F.row_number().over(w).alias("place"), "run_id")
+    order = [F.nullif(F.col("run_id") % 5, F.lit(0)).asc_nulls_last(), F.asc("run_id"), F.asc("article_id")]
+    return numbered_within(candidates(spark, sf).select("stage", "article_id", "run_id"), ["stage"], order, "place").select("article_id", F.col("place").cast("int").alias("place"), "run_id")
 
 
 def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:

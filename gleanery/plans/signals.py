@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.columns import age_days, decay, dot, gate, long_form, reading_minutes, sample_words, title_key, weighted_mean, word_count
-from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, nearest, similarities, top_k
+from gleanery.operators.ranking import diversified, leader_clusters, mid_ranks, nearest, numbered_within, similarities, top_k
 from gleanery.sources.views import NOW, articles, candidates, table, vectors, with_views
 
 from .catalog import query
@@ -179,8 +179,8 @@ b AS (SELECT article_id, round(100 * (0.3 * size + 0.5 * price + 0.2 * coalesce(
 
 @query("W8_rank_by_utility", f"WITH {BLENDED} SELECT article_id, row_number() OVER (PARTITION BY article_id % 10 ORDER BY blend DESC NULLS LAST, article_id)::INT AS rank FROM b")
 def w8(spark, sf):
-    w = Window.partitionBy(F.col("article_id") % 10).orderBy(F.desc_nulls_last("blend"), "article_id")
-    return blended(spark, sf).select("article_id", F.row_number().over(w).alias("rank"))
+    rows = blended(spark, sf).withColumn("run", F.col("article_id") % 10)
+    return numbered_within(rows, ["run"], [F.desc_nulls_last("blend"), F.asc("article_id")]).select("article_id", F.col("rank").cast("int").alias("rank"))
 
 
 SHORTLIST, CLUSTER_THRESHOLD = 120, 0.3

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import intake
+from gleanery.operators import intake, ranking
 
 
 def rows(df, *by):
@@ -89,3 +89,16 @@ def test_costs_add_four_counters_and_end_in_a_total(spark):
     got = rows(intake.usage_costs(spark.createDataFrame(calls, schema), prices), "provider", "total", "calls", *intake.COUNTERS, "cost")
     assert got == [("free", False, 1, 7, 0, 0, 0, 0.0), ("p", False, 2, 1_000_000, 2_000_000, 1_000_000, 500_000, 13.0), (None, False, 1, 1, 1, 1, 1, 0.0), (None, True, 4, 1_000_008, 2_000_001, 1_000_001, 500_001, 13.0)]
     assert intake.usage_costs(spark.createDataFrame([], schema), prices).count() == 0
+
+
+def test_rows_are_numbered_in_groups_that_span_partitions(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, (F.col("id") % 3).cast("string")).alias("g"), F.col("id"), (F.col("id") * 37 % 101).alias("v"))
+    got = ranking.numbered_within(df, ["g"], [F.desc("v"), F.asc("id")], "n").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"], []).append(r)
+    assert len(got) == 4000 and len(groups) == 5 and len(groups[None]) == 400
+    for rows_ in groups.values():
+        assert [r["n"] for r in sorted(rows_, key=lambda r: (-r["v"], r["id"]))] == list(range(1, len(rows_) + 1))
+    assert [r["n"] for r in ranking.numbered(df, "id").orderBy("id").collect()] == list(range(1, 4001))
+    assert ranking.numbered_within(df.limit(0), ["g"], [F.asc("id")]).count() == 0
