@@ -115,6 +115,36 @@ def test_nearest_in_blocks_equals_trying_every_pair(spark):
     assert ranking.nearest(left, right.limit(0), 4).collect() == []
 
 
+def test_a_candidate_counts_once_for_each_rated_article(spark, tmp_path):
+    """Repeated rows of vectors and labels, against the three nearest and the set of ids seen of the reference."""
+    r = np.random.default_rng(4)
+    drawn = np.round(r.standard_normal((9, 3)), 2).tolist()
+    held = [(i, drawn[i]) for i in [*range(9), 2, 5, 5]]
+    given = [(i, i % 2, 0) for i in [0, 2, 4, 5, 6, 2]]
+    lines = [(run, i, "R" if (run + i) % 3 else "A", "O", 1.0) for run in (1, 2) for i in range(7)]
+    tables = {
+        "embeddings": spark.createDataFrame([(i, v, 0) for i, v in held], "vec_id long, embedding array<float>, label int"),
+        "labels": spark.createDataFrame(given, "doc_id long, quality int, toxic int"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string, l_extendedprice double"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    vector = {i: np.array(v, np.float32).astype(float) for i, v in held}
+    rated = [i for i, _, _ in given for j, _ in held if i == j]
+    want = {}
+    for i in vector:
+        copies = sum(j == i for j, _ in held)
+        scored = sorted((-round(float(np.cumsum(vector[i] * vector[j])[-1]), 9), j) for j in rated * copies if j != i)[:3]
+        for j in {j for _, j in scored}:
+            listed, selected = want.get(j, (0, 0))
+            want[j] = (listed + 1, selected + (i < 7 and (2 + i) % 3 != 0))
+    got = registry.queries()["A28_neighbour_usage"](spark, str(tmp_path)).collect()
+    assert {x["right_id"]: (x["listed"], x["selected"]) for x in got} == want
+    assert {j: (a, b) for j, a, b in con.sql(registry.oracle_sql()["A28_neighbour_usage"]).fetchall()} == want
+
+
 def test_mid_rank_of_equal_and_missing_values(spark):
     df = spark.createDataFrame([(1, 5.0, 1), (2, 5.0, 2), (3, None, None)], "id int, x double, y int")
     got = {r["id"]: (r["p"], r["q"]) for r in ranking.mid_ranks(df, "id", {"x": "p", "y": "q"}).collect()}
