@@ -1,9 +1,10 @@
-"""Token ids of whole texts, by the tokenizers library, with a bounded memo of pre-tokens.
+"""Token ids of whole texts, by the tokenizers library, by ranks of byte strings, or with a bounded memo of pre-tokens.
 
 The merges of a BPE vocabulary never cross the pieces that its pre-tokenizer cuts. A text's ids are therefore the
 ids of its pieces in order, and pieces repeat far more often than texts do. The memo is used for the two kinds of
 tokenizer files whose cutting pattern is written out here, and for texts within the Latin blocks that hold none of the
-file's added tokens; any other text, and any other kind of file, goes to the library whole. All ids equal those of
+file's added tokens; any other text, and any other kind of file, goes to the library whole. A byte-level file whose merges can
+be read as ranks of byte strings (``ranked``) encodes such texts by these ranks and needs no memo. All ids equal those of
 ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 """
 
@@ -27,6 +28,8 @@ PIECES = {
     "bytes": re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
     "words": re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+"),
 }
+#: The first of them for the library of ranks, which cuts alike within the Latin blocks.
+RANKED_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a file of each kind declares.
 DECLARED = {
     "bytes": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
@@ -59,6 +62,26 @@ def kind_of(declared: dict) -> str | None:
     return None
 
 
+def ranked(declared: dict, model) -> object | None:
+    """An encoder that reads a byte-level file's merges as ranks of byte strings. Both ways merge the first of the pairs of least rank.
+    They see the same pairs if ids stand in the order of merges, if single bytes and merges are all entries, and if ``model`` makes
+    of every entry that entry alone: then no two tokens that stand side by side spell an entry without being its merge. None
+    for any other file."""
+    import tiktoken
+
+    vocabulary, byte_of = declared["model"]["vocab"], {chr(sign): bytes([b]) for b, sign in BYTE_SIGNS.items()}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in declared["model"]["merges"]]
+    ids = [vocabulary.get(m, -1) for m in merged]
+    added = {t["content"] for t in declared.get("added_tokens") or []}
+    entries = {**dict.fromkeys(byte_of), **dict.fromkeys(merged)}
+    if any(a >= b for a, b in zip([-1, *ids], ids)) or len(entries) != 256 + len(merged) or entries.keys() != vocabulary.keys() - added:
+        return None
+    if any([t.id for t in model.tokenize(x)] != [vocabulary[x]] for x in entries):
+        return None
+    ranks = {b"".join(map(byte_of.__getitem__, x)): vocabulary[x] for x in entries}
+    return tiktoken.Encoding("ranked", pat_str=RANKED_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder(dict):
     """piece -> its ids as bytes. When half of ``limit`` bytes are held (each piece counts with ``OVERHEAD`` for its objects),
     what is held becomes the older half, from which pieces come back when they are seen again; the older half of before is
@@ -80,6 +103,7 @@ class Encoder(dict):
         self.lower = self.kind == "words"
         self.added = [t["content"] for t in declared.get("added_tokens") or []]
         self.pieces = PIECES[self.kind].findall if self.kind else None
+        self.ranked = ranked(declared, self.model) if self.kind == "bytes" else None
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -103,6 +127,12 @@ class Encoder(dict):
         """The ids of a text; the array is read-only."""
         if self.pieces is None or BEYOND.search(text) or any(t in text for t in self.added):
             return np.frombuffer(self.whole(text), self.dtype)
+        if self.ranked:
+            try:
+                return np.frombuffer(array(self.dtype.char, self.ranked.encode_ordinary(text)).tobytes(), self.dtype)
+            except BaseException as limit:  # its patterns give up on some endless runs of white space by a panic; the memo doesn't
+                if isinstance(limit, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
         cased = text.lower() if self.lower else text
         if self.lower and BEYOND.search(cased):
             return np.frombuffer(self.whole(text), self.dtype)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gleanery.llm import arrow_files, hilbert_pack
-from gleanery.llm.tokens import Encoder, encoder
+from gleanery.llm.tokens import BYTE_SIGNS, Encoder, encoder
 
 from .fixtures import awkward, documents
 
@@ -61,6 +61,53 @@ def test_memo_keeps_within_its_bytes():
         assert own.held <= 10_000 and len(own) * Encoder.OVERHEAD <= 10_000
 
 
+def test_byte_level_files_are_read_as_ranks_without_a_memo():
+    own = Encoder(BYTES)
+    for text in ("unknown wrods and \n\n more  of thme, don't", "", " ", "\x85 \xa0x", "é ñandú 42½", "\x00\x1c\x1f \x7f"):
+        assert own.ids(text).tolist() == library(BYTES).encode(text, add_special_tokens=False).ids
+    assert own.held == 0 and not own.ids("read only").flags.writeable
+    assert Encoder(WORDS).ranked is None
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 400_000 + "y", "\n\t " * 100_000 + "z", "x" + " " * 400_000, "ab" * 100_000, "7" * 50_000])
+def test_endless_runs_have_the_librarys_ids(text):
+    assert encoder(BYTES).ids(text).tolist() == library(BYTES).encode(text, add_special_tokens=False).ids
+
+
+def small_file(path, merges, order=None):
+    """A byte-level file whose ids stand in the order of ``order``, else of its merges."""
+    with open(BYTES, encoding="utf-8") as file:
+        declared = json.load(file)
+    entries = [*map(chr, BYTE_SIGNS.values()), *(order or ["".join(m) for m in merges])]
+    declared["model"] |= {"vocab": {x: i for i, x in enumerate(entries)}, "merges": [" ".join(m) for m in merges]}
+    declared["added_tokens"] = []
+    path.write_text(json.dumps(declared), encoding="utf-8")
+    return str(path)
+
+
+def test_files_whose_merges_are_no_ranks_keep_the_memo(tmp_path):
+    merges = [("a", "b"), ("b", "c"), ("ab", "c")]
+    cases = {
+        "plain": (merges, None, True),
+        "order": (merges, ["bc", "ab", "abc"], False),  # ids against the order of merges
+        "other": ([("b", "c"), ("a", "b"), ("ab", "c")], None, False),  # "abc" stays a + bc, which ranks would merge
+    }
+    for name, (given_merges, order, is_ranked) in cases.items():
+        path = small_file(tmp_path / f"{name}.json", given_merges, order)
+        own = Encoder(path)
+        assert own.kind == "bytes" and (own.ranked is not None) == is_ranked
+        for text in ("abc", "bc abcabc cab", "aabbcc", "a b c"):
+            assert own.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_memo_of_words_keeps_within_its_bytes():
+    own = Encoder(WORDS, limit=10_000)
+    for i in range(300):
+        text = f"piece{'x' * (i % 50)} number {'y' * (i % 3000)}"
+        assert own.ids(text).tolist() == library(WORDS).encode(text, add_special_tokens=False).ids
+        assert 0 < own.held <= 10_000 and len(own) * Encoder.OVERHEAD <= 10_000
+
+
 def expected_ids(path, text, end):
     return np.array([*library(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
