@@ -19,9 +19,9 @@ RECHECK_DAYS, FEEDS_OF_A_HOST, LOOKUPS = 90, 3, 30
 def chosen_body(feed: Column, feed_words: Column, page: Column, page_words: Column, blocked_host: Column) -> Column:
     """A struct (body, method, words, excerpt_only): the body of the feed if it is a full text, else the page if that has more words, else
     the body of the feed with a note below, which is added once however often the choice is made. A null page was not fetched; a null
-    or blank body gives the note alone."""
+    body or one of blanks, no-break ones included, gives the note alone."""
     own, note = F.coalesce(feed, F.lit("")), F.lit(f"<p>{EXCERPT_NOTE}</p>")
-    blank, noted, added = F.trim(own) == "", F.contains(own, F.lit(EXCERPT_NOTE)), word_count(F.lit(EXCERPT_NOTE))
+    blank, noted, added = ~own.rlike(r"\P{Zs}"), F.contains(own, F.lit(EXCERPT_NOTE)), word_count(F.lit(EXCERPT_NOTE))
     excerpt = F.when(blank, note).when(noted, own).otherwise(F.concat(own, note))
     below = F.when(blank, added).when(noted, feed_words).otherwise(feed_words + added)
 
